@@ -40,6 +40,18 @@ def _needed(sql: str, found: dict[str, None]) -> None:
             found[name] = None
 
 
+def _expand_rounding(sql: str) -> str:
+    """rN(x) in check SQL stands for rounding to N digits without a negative zero."""
+    while match := re.search(r"\br(\d)\(", sql):
+        depth, end = 1, match.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[match.end() : end - 1]
+        sql = f"{sql[:match.start()]}(round({inner}, {match[1]}) + 0.0){sql[end:]}"
+    return sql
+
+
 def complete_sql(sql: str) -> str:
     """Prefix the shared sub-selects a check query uses."""
     found: dict[str, None] = {}
@@ -61,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: complete_sql(sql) for name, sql in _checks.items()}
+    return {name: _expand_rounding(complete_sql(sql)) for name, sql in _checks.items()}
