@@ -11,28 +11,31 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.columns import change, ratio
+from tessera.functions.columns import change, quarter_end, ratio
 from tessera.operators import series as S
 from tessera.operators.market import live_exits, with_offering_prices
 
 
 @dataclass(frozen=True)
 class PortfolioResult:
+    """`series` is the value path; `positions` lists what is held after each date's trades."""
+
     series: DataFrame
     positions: DataFrame
 
 
-def price_panel(members: DataFrame, prices: DataFrame, grid: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+def price_panel(members: DataFrame, prices: DataFrame, grid: DataFrame, exits: DataFrame | None = None,
+                keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per member and grid date from its first price on, with the price a held unit is worth.
 
-    Prices off the grid are dropped before filling forward. After an exit a unit is worth its terminal price (0 when
-    unknown), as pending money until settlement and as cash afterwards.
+    `grid` has one row per date with its rebalance flag and may differ per portfolio (`keys`). Prices off the grid are
+    dropped before filling forward. After an exit a unit is worth its terminal price (0 when unknown), as pending money until settlement and as cash afterwards.
     """
-    start, end = F.min("date"), F.max("date")
-    on_grid = prices.join(grid.select("date").distinct(), "date", "left_semi")
-    span = grid.agg(start.alias("_g0"), end.alias("_g1"), F.sort_array(F.collect_set("date")).alias("_dates"))
-    first = on_grid.groupBy("asset_id").agg(F.min("date").alias("_first"))
-    held = members.join(first, "asset_id").join(span)
+    owned = prices.join(members.select(*keys, "asset_id"), "asset_id") if keys else prices
+    on_grid = owned.join(grid.select(*keys, "date"), [*keys, "date"], "left_semi").select(
+        *keys, "asset_id", "date", "price")
+    calendar = grid.groupBy(*keys).agg(F.collect_list(F.struct("date", "is_rebalance")).alias("_days"))
+    held = members.join(calendar, list(keys)) if keys else members.join(calendar)
     if exits is not None:
         gone = live_exits(exits).select("asset_id", F.col("exit_effective_date").alias("gone"), "settlement_date",
                                         F.coalesce("terminal_price", F.lit(0.0)).alias("terminal"),
@@ -41,125 +44,194 @@ def price_panel(members: DataFrame, prices: DataFrame, grid: DataFrame, exits: D
     else:
         held = held.withColumns({"gone": F.lit(None).cast("date"), "settlement_date": F.lit(None).cast("date"),
                                  "terminal": F.lit(None).cast("double"), "waits": F.lit(False)})
-    dates = F.filter("_dates", lambda d: d >= F.col("_first"))
-    rows = held.withColumn("date", F.explode(dates)).drop("_dates", "_g0", "_g1", "_first")
-    filled = S.asof_backward(on_grid.select("asset_id", "date", "price"), rows, ["asset_id"], ["price"])
+    rows = held.withColumn("_day", F.explode("_days")).select("*", "_day.date", "_day.is_rebalance").drop("_days", "_day")
+    filled = S.asof_backward(on_grid, rows, [*keys, "asset_id"], ["price"]).filter("price IS NOT NULL")
     out = F.coalesce(F.col("date") >= F.col("gone"), F.lit(False))
-    pending = out & F.col("waits") & (F.col("date") < F.col("settlement_date"))
+    pending = out & F.coalesce(F.col("waits") & (F.col("date") < F.col("settlement_date")), F.lit(False))
     return filled.withColumn("is_out", out).withColumn("worth", F.when(out, F.col("terminal")).otherwise(F.col("price"))).withColumn(
         "bucket", F.when(pending, "pending").when(out, "cash").otherwise("held"))
 
 
-def simulate(panel: DataFrame, keys: list[str], base: float = 100.0, absolute_weights: bool = False,
-             calendar: DataFrame | None = None) -> PortfolioResult:
-    """Value path of every portfolio in `panel`.
+def segment_sums(panel: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
+    """Raw sums per portfolio and date for every weighting, in one pass over the panel and one combinable aggregate.
 
-    The panel carries keys, asset_id, date, worth, bucket, is_rebalance and `target`: the raw weight of an asset that
-    may be bought on that date, NULL otherwise. Targets are normalised unless `absolute_weights`, where the rest stays
-    in cash. A rebalance with nothing to buy is skipped.
+    The panel carries keys, asset_id, date, worth, bucket and is_rebalance. A target is the raw weight of an asset that
+    may be bought on that date, NULL otherwise; sums stay unnormalised, so they add up across portfolios.
     """
-    buys = panel.filter("is_rebalance AND target > 0").groupBy(*keys, "date").agg(
-        F.sum("target").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    buys = buys.withColumn("_cash", F.greatest(F.lit(0.0), 1 - F.col("_sum")) if absolute_weights else F.lit(0.0))
-    weight = F.col("target") if absolute_weights else F.col("target") / F.col("_sum")
-    p = panel.join(buys, [*keys, "date"], "left").withColumn("_seg", F.col("_sum").isNotNull())
-    p = p.withColumn("w_new", F.when(F.col("_seg") & (F.col("target") > 0), weight))
-    mark = F.when(F.col("_seg"), F.struct(F.coalesce("w_new", F.lit(0.0)).alias("w"), F.col("worth").alias("p")))
+    rows = with_holdings(panel, keys, targets)
+    sums = []
+    for name in targets:
+        held = F.col(f"_held.{name}")
+        grown = F.when(held > 0, held * F.col("worth") / F.col("_held.p"))
+        bought = F.when(F.col("is_rebalance"), F.col(f"_t_{name}"))
+        sums.append(F.struct(
+            F.lit(name).alias("weighting"), F.sum(bought).alias("target_sum"), F.count_if(bought > 0).alias("bought"), F.sum(grown).alias("grown"),
+            F.sum(F.when(F.col("bucket") == "cash", grown)).alias("cash"), F.sum(F.when(F.col("bucket") == "pending", grown)).alias("pending"),
+            F.count_if((held > 0) & (F.col("bucket") == "held")).alias("active")))
+    flat = rows.groupBy(*keys, "date").agg(F.max("is_rebalance").alias("is_rebalance"), F.array(*sums).alias("_s"))
+    return flat.select(*keys, "date", "is_rebalance", F.inline("_s"))
+
+
+def with_holdings(panel: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
+    """Each row with the price and raw weights at the last rebalance before it."""
+    rows = panel.withColumns({f"_t_{n}": c for n, c in targets.items()})
+    mark = F.when(F.col("is_rebalance"), F.struct(F.col("worth").alias("p"), *[
+        F.coalesce(f"_t_{n}", F.lit(0.0)).alias(n) for n in targets]))
     before = S.over([*keys, "asset_id"]).rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("_held", F.last(mark, ignorenulls=True).over(before))
-    p = p.withColumn("w_old", F.when(F.col("_held.w") > 0, F.col("_held.w") * F.col("worth") / F.col("_held.p")))
-    in_bucket = {b: F.sum(F.when(F.col("bucket") == b, F.col("w_old")).otherwise(0.0)) for b in ("held", "cash", "pending")}
-    per_date = p.groupBy(*keys, "date").agg(
-        F.sum("w_old").alias("_g"), *[v.alias(f"_{b}_w") for b, v in in_bucket.items()],
-        F.count_if((F.col("w_old") > 0) & (F.col("bucket") == "held")).alias("_active"), F.max("_n").alias("_n"),
-        F.max("_cash").alias("_cash"), F.max("is_rebalance").alias("rebalance_flag"))
-    if calendar is not None:
-        per_date = calendar.join(per_date, [*keys, "date"], "left")
+    return rows.withColumn("_held", F.last(mark, ignorenulls=True).over(before))
+
+
+def value_path(sums: DataFrame, keys: list[str], base: float = 100.0, absolute_weights: bool = False) -> DataFrame:
+    """Value of each portfolio from its segment sums; the windows run over one row per portfolio and date.
+
+    A rebalance with nothing to buy means that everything held has been paid out, so the value stays as it is.
+    """
     prior = S.over(keys).rowsBetween(Window.unboundedPreceding, -1)
-    seg = F.col("_n").isNotNull()
-    cash_leg = F.coalesce(F.last("_cash", ignorenulls=True).over(prior), F.lit(0.0))
-    started = F.count("_n").over(prior) > 0
-    d = per_date.withColumn("_leg", cash_leg).withColumn("_started", started)
-    d = d.withColumn("growth", F.when(F.col("_started"), F.coalesce("_g", F.lit(0.0)) + F.col("_leg")).otherwise(1.0))
-    opening = F.coalesce(F.product(F.when(seg, F.col("growth")).otherwise(1.0)).over(prior), F.lit(1.0)) * base
-    d = d.withColumn("_open", opening).withColumn("value", F.col("_open") * F.col("growth"))
-    cash = F.when(seg, F.col("value") * F.col("_cash")).when(
-        F.col("_started"), F.col("_open") * (F.coalesce("_cash_w", F.lit(0.0)) + F.col("_leg"))).otherwise(F.lit(base))
-    pending = F.when(seg, 0.0).otherwise(F.col("_open") * F.coalesce("_pending_w", F.lit(0.0)))
-    upto = S.running(keys)
-    series = (
-        d.withColumn("cash_value", cash).withColumn("pending_value", pending)
+    bought = F.coalesce("target_sum", F.lit(0.0))
+    rest = F.greatest(F.lit(0.0), 1 - bought) if absolute_weights else F.when(bought > 0, 0.0).otherwise(1.0)
+    scale = F.lit(1.0) if absolute_weights else F.when(bought > 0, bought).otherwise(1.0)
+    rebalance = F.coalesce("is_rebalance", F.lit(False))
+    mark = F.when(rebalance, F.struct(rest.alias("rest"), scale.alias("scale")))
+    d = sums.withColumn("_now", mark).withColumn("_seg", F.coalesce(
+        F.last("_now", ignorenulls=True).over(prior), F.struct(F.lit(1.0).alias("rest"), F.lit(1.0).alias("scale"))))
+
+    def share(c: str) -> Column:
+        return F.coalesce(F.col(c) / F.col("_seg.scale"), F.lit(0.0))
+
+    d = d.withColumn("growth", share("grown") + F.col("_seg.rest"))
+    opening = F.coalesce(F.product(F.when(rebalance, F.col("growth")).otherwise(1.0)).over(prior), F.lit(1.0)) * base
+    d = d.withColumn("opening", opening).withColumn("value", F.col("opening") * F.col("growth"))
+    cash = F.when(rebalance, F.col("value") * F.col("_now.rest")).otherwise(F.col("opening") * (share("cash") + F.col("_seg.rest")))
+    return (
+        d.withColumn("cash_value", cash)
+        .withColumn("pending_value", F.when(rebalance, 0.0).otherwise(F.col("opening") * share("pending")))
         .withColumn("invested_value", F.col("value") - F.col("cash_value") - F.col("pending_value"))
-        .withColumn("active_count", F.coalesce("_n", "_active", F.lit(0)))
+        .withColumn("active_count", F.when(rebalance, F.coalesce("bought", F.lit(0))).otherwise(F.coalesce("active", F.lit(0))))
         .withColumn("period_return", F.coalesce(change("value", F.lag("value").over(S.over(keys))), F.lit(0.0)))
         .withColumn("cumulative_return", F.col("value") / base - 1)
-        .withColumn("drawdown", change("value", F.max("value").over(upto)))
-        .withColumn("rebalance_flag", F.coalesce("rebalance_flag", F.lit(False)))
+        .withColumn("drawdown", change("value", F.max("value").over(S.running(keys))))
+        .withColumn("scale", F.when(rebalance, F.col("_now.scale")).otherwise(F.col("_seg.scale")))
+        .withColumn("prior_scale", F.col("_seg.scale")).withColumn("rebalance_flag", rebalance)
+        .drop("_now", "_seg", "grown", "cash", "pending", "active", "bought", "is_rebalance", "target_sum")
     )
-    path = series.select(*keys, "date", "value", "growth", "_open")
-    held_now = F.coalesce("w_new", F.when(~F.col("_seg") & (F.col("bucket") == "held"), F.col("w_old")))
-    positions = (
-        p.withColumn("_w", held_now).filter("_w > 0").join(path, [*keys, "date"])
-        .withColumn("position_value", F.when(F.col("_seg"), F.col("_w") * F.col("value")).otherwise(F.col("_w") * F.col("_open")))
-        .withColumn("portfolio_weight", ratio("position_value", "value"))
-        .withColumn("units_held", ratio("position_value", "worth"))
-        # the weight a position had before this date's rebalance
-        .withColumn("weight_before", ratio(F.coalesce("w_old", F.lit(0.0)), F.col("growth")))
+
+
+def held_positions(panel: DataFrame, keys: list[str], target: Column, path: DataFrame) -> DataFrame:
+    """Value, units and weight of every position after each date's trades, and its weight just before them."""
+    rows = with_holdings(panel, keys, {"w": target}).join(
+        path.select(*keys, "date", "value", "opening", "growth", "scale", "prior_scale"), [*keys, "date"])
+    old = F.when(F.col("_held.w") > 0, F.col("_held.w") * F.col("worth") / F.col("_held.p") / F.col("prior_scale"))
+    now = F.when(F.col("is_rebalance"), F.col("_t_w") / F.col("scale") * F.col("value")).when(
+        F.col("bucket") == "held", old * F.col("opening"))
+    return (
+        rows.withColumn("position_value", now).filter("position_value > 0")
+        .withColumn("portfolio_weight", ratio("position_value", "value")).withColumn("units_held", ratio("position_value", "worth"))
+        .withColumn("weight_before", ratio(F.coalesce(old, F.lit(0.0)), "growth"))
         .select(*keys, "date", "asset_id", F.col("worth").alias("price"), "units_held", "position_value", "portfolio_weight",
-                "weight_before", F.col("_seg").alias("rebalanced"))
+                "weight_before", F.col("is_rebalance").alias("rebalanced"))
     )
-    hidden = [c for c in series.columns if c.startswith("_")]
-    return PortfolioResult(series.drop(*hidden), positions)
 
 
-def grid_dates(assets: DataFrame, prices: DataFrame, exits: DataFrame, frequency: str) -> DataFrame:
+def grid_dates(known: DataFrame, frequency: str) -> DataFrame:
     """Distinct simulation dates: period ends between the first and last known date, or every known date."""
-    known = (assets.select(F.col("offering_date").alias("date")).union(prices.select("date"))
-             .union(exits.select(F.col("exit_effective_date"))).union(exits.select("settlement_date"))).filter("date IS NOT NULL")
     if frequency == "native":
-        return known.distinct()
+        return known.select("date").distinct()
     bounds = known.agg(F.min("date").alias("start"), F.max("date").alias("end"))
-    ends = bounds.select(F.explode(F.array("start", "end")).alias("date"))
-    return S.calendar_grid(bounds, frequency).union(ends).distinct()
+    ends = F.array_distinct(F.concat(S.period_array(F.col("start"), F.col("end"), frequency), F.array("start", "end")))
+    return bounds.select(F.explode(ends).alias("date"))
 
 
-def total_return_index(assets: DataFrame, quotes: DataFrame, exits: DataFrame, frequency: str = "month",
-                       rebalance: str = "quarter", base: float = 100.0) -> PortfolioResult:
-    """Exit-aware equal- and cap-weighted portfolios of the whole market and of every category."""
+def small_calendar(days: DataFrame) -> DataFrame:
+    """A calendar as literal rows: it is bounded by the days of the history, whatever the number of assets."""
+    return days.sparkSession.createDataFrame(days.collect(), days.schema)
+
+
+def known_dates(assets: DataFrame, observed: DataFrame, exits: DataFrame) -> DataFrame:
+    """Every date the inputs know: offerings, observations, and the events of exits."""
+    events = exits.select(F.explode(F.array("exit_effective_date", "settlement_date")).alias("date"))
+    return assets.select(F.col("offering_date").alias("date")).union(observed.select("date")).union(events).filter("date IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class TotalReturn:
+    """Market and category portfolios: lazy parts that share one price panel."""
+
+    panel: DataFrame
+    targets: dict[str, Column]
+    series: DataFrame
+
+    def positions(self, last_only: bool = False) -> DataFrame:
+        panel, series = self.panel, self.series
+        if last_only:
+            newest = series.agg(F.max("date").alias("_last"))
+            series = series.join(newest).filter(F.col("date") == F.col("_last")).drop("_last")
+        parts = []
+        for name, target in self.targets.items():
+            wide = panel.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category"))))
+            path = series.filter(F.col("weighting") == name)
+            parts.append(held_positions(wide, ["universe"], target, path).withColumn("weighting", F.lit(name)))
+        return parts[0].unionByName(parts[1])
+
+
+def total_return_index(assets: DataFrame, quotes: DataFrame, exits: DataFrame, grid: DataFrame, rebalance: str = "quarter",
+                       base: float = 100.0) -> TotalReturn:
+    """Exit-aware equal- and cap-weighted portfolios of the whole market and of every category.
+
+    The panel is read once: raw sums per category and date add up to the whole market.
+    """
     master = assets.filter("share_count > 0 AND offering_price_usd > 0 AND offering_date IS NOT NULL")
     prices = with_offering_prices(quotes, master)
-    grid = grid_dates(master, prices, exits, frequency)
     marks = S.rebalance_dates(grid, rebalance).withColumn("is_rebalance", F.lit(True))
-    panel = price_panel(master.select("asset_id", "category", "share_count", "offering_date"), prices, grid, exits)
-    panel = panel.join(marks, "date", "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False)))
+    days = small_calendar(grid.join(marks, "date", "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False))))
+    panel = price_panel(master.select("asset_id", "category", "share_count", "offering_date"), prices, days, exits)
     buyable = ~F.col("is_out") & (F.col("offering_date") <= F.col("date")) & F.col("price").isNotNull()
-    # the panel is placed by asset; each row then joins its two universes and two weightings without another shuffle
-    wide = (
-        panel.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category"))))
-        .withColumn("weighting", F.explode(F.array(F.lit("equal_weight"), F.lit("market_cap_weight"))))
-        .withColumn("target", F.when(buyable, F.when(F.col("weighting") == "equal_weight", 1.0).otherwise(
-            F.col("price") * F.col("share_count"))))
-    )
-    keys = ["universe", "weighting"]
-    calendar = wide.select(*keys).distinct().join(grid.agg(F.collect_set("date").alias("_d"))).select(*keys, F.explode("_d").alias("date"))
-    return simulate(wide, keys, base, calendar=calendar)
-
-
-def basket_portfolio(definitions: DataFrame, assets: DataFrame, quotes: DataFrame, exits: DataFrame | None, rebalance: str,
-                     base: float = 100.0, frequency: str = "native", absolute_weights: bool = False) -> PortfolioResult:
-    """Baskets `(def_id, asset_id, weight)`; weights are renormalised over the members that can be bought."""
-    master = assets.select("asset_id", "share_count", "offering_date", "offering_price_usd").join(
-        definitions.select("asset_id").distinct(), "asset_id", "left_semi")
-    prices = with_offering_prices(quotes.join(master.select("asset_id"), "asset_id", "left_semi"), master)
-    events = exits if exits is not None else quotes.select(
-        F.col("date").alias("exit_effective_date"), F.col("date").alias("settlement_date")).limit(0)
-    grid = grid_dates(master, prices, events, frequency)
-    marks = S.rebalance_dates(grid, rebalance).withColumn("is_rebalance", F.lit(True))
-    panel = price_panel(master, prices, grid, exits).join(marks, "date", "left").join(definitions, "asset_id")
-    panel = panel.withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False)))
-    # a basket holds cash until it can buy something, so its path starts with the first member price
+    targets = {"equal_weight": F.when(buyable, 1.0), "market_cap_weight": F.when(buyable, F.col("price") * F.col("share_count"))}
+    by_category = segment_sums(panel, ["category"], targets)
+    added = [F.sum(c).alias(c) for c in ("target_sum", "bought", "grown", "cash", "pending", "active")]
+    rolled = by_category.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category")))).groupBy(
+        "universe", "weighting", "date").agg(*added)
+    whole = rolled.select("universe", "weighting").distinct().join(days)
+    full = whole.join(rolled, ["universe", "weighting", "date"], "left")
+    return TotalReturn(panel, targets, value_path(full, ["universe", "weighting"], base))
+
+
+def basket_portfolio(definitions: DataFrame, assets: DataFrame, quotes: DataFrame, exits: DataFrame, rebalance: str,
+                     base: float = 100.0) -> PortfolioResult:
+    """Baskets `(def_id, asset_id, weight)` on all dates their members have; weights are renormalised over the members
+    that can be bought."""
+    members = definitions.join(assets.select("asset_id", "offering_date", "offering_price_usd"), "asset_id")
+    prices = with_offering_prices(quotes, assets)
+    events = exits.select("asset_id", F.explode(F.array("exit_effective_date", "settlement_date")).alias("date"))
+    known = prices.select("asset_id", "date").union(events.filter("date IS NOT NULL"))
+    grid = known.join(definitions.select("def_id", "asset_id"), "asset_id").select("def_id", "date").distinct()
+    marks = S.rebalance_dates(grid, rebalance, ["def_id"]).withColumn("is_rebalance", F.lit(True))
+    days = grid.join(marks, ["def_id", "date"], "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False)))
+    panel = price_panel(members, prices, days, exits, ("def_id",))
     buyable = ~F.col("is_out") & (F.col("offering_date") <= F.col("date")) & F.col("price").isNotNull()
-    return simulate(panel.withColumn("target", F.when(buyable, F.col("weight"))), ["def_id"], base, absolute_weights)
+    return _one_weighting(panel, F.when(buyable, F.col("weight")), base)
+
+
+def _one_weighting(panel: DataFrame, target: Column, base: float, absolute: bool = False) -> PortfolioResult:
+    path = value_path(segment_sums(panel, ["def_id"], {"w": target}).drop("weighting"), ["def_id"], base, absolute)
+    return PortfolioResult(path, held_positions(panel, ["def_id"], target, path))
+
+
+def category_strategy(definitions: DataFrame, canonical: DataFrame, exits: DataFrame, rebalance: str,
+                      base: float = 100.0) -> PortfolioResult:
+    """Quarter-aligned baskets with absolute weights; what the weights leave over stays in cash.
+
+    `canonical` has one price per asset and quarter end. Exits act at the end of their quarter and pay into cash.
+    """
+    periods = canonical.select("asset_id", "date").union(
+        exits.select("asset_id", quarter_end("exit_effective_date").alias("date")).filter("date IS NOT NULL"))
+    grid = periods.join(definitions.select("def_id", "asset_id"), "asset_id").select("def_id", "date").distinct()
+    due = {"none": F.lit(False), "quarter": F.lit(True), "year": F.quarter("date") == 4}[rebalance]
+    first = F.col("date") == F.min("date").over(Window.partitionBy("def_id"))
+    days = grid.withColumn("is_rebalance", first | due)
+    at_quarter = exits.withColumn("exit_effective_date", quarter_end("exit_effective_date")).withColumn(
+        "settlement_date", F.col("exit_effective_date"))
+    panel = price_panel(definitions, canonical, days, at_quarter, ("def_id",))
+    return _one_weighting(panel, F.when(~F.col("is_out"), F.col("weight")), base, absolute=True)
 
 
 def component_backtest(components: DataFrame, rebalance: str, base: float = 100.0) -> PortfolioResult:
@@ -169,8 +241,8 @@ def component_backtest(components: DataFrame, rebalance: str, base: float = 100.
     marks = S.rebalance_dates(shared, rebalance, ["def_id"]).withColumn("is_rebalance", F.lit(True))
     aligned = components.join(shared.select("def_id", "date"), ["def_id", "date"], "left_semi").join(marks, ["def_id", "date"], "left")
     panel = aligned.withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False))).withColumn("worth", F.col("price")).withColumn(
-        "bucket", F.lit("held")).withColumn("target", F.col("weight"))
-    return simulate(panel, ["def_id"], base)
+        "bucket", F.lit("held"))
+    return _one_weighting(panel, F.col("weight"), base)
 
 
 def rebalance_ledger(result: PortfolioResult, keys: list[str]) -> DataFrame:
@@ -220,7 +292,8 @@ def risk_metrics(series: DataFrame, keys: list[str], risk_free: float = 0.0) ->
     The first row of each path is the starting value, not a return, and is left out of returns and drawdowns.
     """
     w, upto = S.over(keys), S.running(keys)
-    rows = series.select(*keys, "date", "period_return").withColumn("_n", F.row_number().over(w))
+    # differences below 1e-12 are rounding noise of a flat path, not gains or losses
+    rows = series.select(*keys, "date", F.round("period_return", 12).alias("period_return")).withColumn("_n", F.row_number().over(w))
     rows = rows.withColumn("growth", F.product(1 + F.col("period_return")).over(upto))
     rows = rows.withColumn("_gap", F.datediff("date", F.lag("date").over(w))).withColumn(
         "dd", change("growth", F.max("growth").over(upto)))

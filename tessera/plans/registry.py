@@ -60,6 +60,8 @@ def complete_sql(sql: str) -> str:
     if not found:
         return body
     head = ",\n".join(f"{name} AS ({_shared[name]})" for name in found)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +39,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A reduced intermediate result kept in the shared checkpoint folder, so that later steps neither recompute nor
+    re-plan it and a lost executor costs nothing."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
