@@ -40,12 +40,12 @@ def aligned(m: Market, method: str = "quarter_end") -> DataFrame:
 
 
 @query("align_series", " UNION ALL ".join(
-    f"SELECT '{x}' AS method, date, ticker, r6(subject_value) AS subject_value, r4(benchmark_value) AS benchmark_value FROM al_{x}"
+    f"SELECT '{x}' AS method, date, ticker, r6(subject_value) AS subject_value, r6(benchmark_value) AS benchmark_value FROM al_{x}"
     for x in ("exact", "previous", "month_end", "quarter_end")))
 def _(m):
     parts = [aligned(m, x).withColumn("method", F.lit(x)) for x in ("exact", "previous", "month_end", "quarter_end")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.select("method", "date", "ticker", rnd("subject_value").alias("subject_value"), rnd("benchmark_value", 4).alias("benchmark_value"))
+    return out.select("method", "date", "ticker", rnd("subject_value").alias("subject_value"), rnd("benchmark_value").alias("benchmark_value"))
 
 
 @query("earliest_observation", """
@@ -55,10 +55,10 @@ def _(m):
 
 
 @query("select_benchmark", """
-    SELECT date, ticker, r4(adjusted_close) AS raw_value FROM benchmarks WHERE ticker = '1-URGENT' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
+    SELECT date, ticker, r6(adjusted_close) AS raw_value FROM benchmarks WHERE ticker = '1-URGENT' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
 def _(m):
     b = m.benchmarks.filter((F.upper("ticker") == "1-URGENT") & F.col("date").between("1996-01-01", "1999-12-31"))
-    return b.select("date", "ticker", rnd("adjusted_close", 4).alias("raw_value"))
+    return b.select("date", "ticker", rnd("adjusted_close").alias("raw_value"))
 
 
 @query("normalize_to_100", """
@@ -71,19 +71,19 @@ def _(m):
 @query("benchmark_merge", """
     WITH s AS (SELECT upper(ticker) AS ticker, date, adjusted_close, 0 AS seq FROM benchmarks WHERE date <= DATE '2000-06-30'
                UNION ALL SELECT upper(ticker), date, adjusted_close * 1.01, 1 FROM benchmarks WHERE date > DATE '2000-06-23')
-    SELECT ticker, date, r4(adjusted_close) AS adjusted_close FROM s QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY seq DESC) = 1""")
+    SELECT ticker, date, r6(adjusted_close) AS adjusted_close FROM s QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY seq DESC) = 1""")
 def _(m):
     b = m.benchmarks
     fresh = b.filter("date > DATE '2000-06-23'").withColumn("adjusted_close", F.col("adjusted_close") * 1.01)
-    return B.merge_history(b.filter("date <= DATE '2000-06-30'"), fresh).select("ticker", "date", rnd("adjusted_close", 4).alias("adjusted_close"))
+    return B.merge_history(b.filter("date <= DATE '2000-06-30'"), fresh).select("ticker", "date", rnd("adjusted_close").alias("adjusted_close"))
 
 
 @query("benchmark_chart_json", """
-    SELECT ticker, date, r4(adjusted_close) AS value FROM benchmarks""")
+    SELECT ticker, date, r6(adjusted_close) AS value FROM benchmarks""")
 def _(m):
     from tessera.sources.documents import chart_payloads, parse_chart
 
-    return parse_chart(chart_payloads(m.benchmarks)).select("ticker", "date", rnd("value", 4).alias("value"))
+    return parse_chart(chart_payloads(m.benchmarks)).select("ticker", "date", rnd("value").alias("value"))
 
 
 SERIES_METRICS = """

@@ -89,7 +89,7 @@ def _(m):
         rnd(F.percentile("gap", F.lit(0.5))).alias("median_observation_gap"))
 
 
-@query("point_in_time_metrics", "SELECT subject_id, date, " + ", ".join(f"r6({v}) AS {k}" for k, v in _METRIC_SQL.items()) + " FROM lb_m")
+@query("point_in_time_metrics", "SELECT subject_id, date, " + ", ".join(f"r6(CAST({v} AS DOUBLE)) AS {k}" for k, v in _METRIC_SQL.items()) + " FROM lb_m")
 def _(m):
     return metrics(m).select("subject_id", "date", *[rnd(F.col(c).cast("double")).alias(c) for c in X.LEADERBOARD_METRICS])
 

@@ -193,7 +193,7 @@ def _(m):
 @query("asof_previous_at_subject_dates", """
     WITH g AS (SELECT DISTINCT date FROM d_quotes), t AS (SELECT DISTINCT ticker FROM benchmarks),
     k AS (SELECT ticker, date FROM t CROSS JOIN g)
-    SELECT k.ticker, k.date, b.date AS effective_date, r4(b.adjusted_close) AS adjusted_close
+    SELECT k.ticker, k.date, b.date AS effective_date, r6(b.adjusted_close) AS adjusted_close
     FROM k ASOF LEFT JOIN benchmarks b ON k.ticker = b.ticker AND k.date >= b.date""")
 def _(m):
     # every ticker is sampled at every subject date: the ticker list rides along as one array per date
@@ -201,7 +201,7 @@ def _(m):
     dates = daily(m).select("date").distinct()
     grid = dates.join(tickers).select("date", F.explode("t").alias("ticker"))
     return S.asof_backward(m.benchmarks, grid, ["ticker"], ["adjusted_close"]).withColumn(
-        "adjusted_close", rnd("adjusted_close", 4))
+        "adjusted_close", rnd("adjusted_close"))
 
 
 @query("asof_lookback_return", """
