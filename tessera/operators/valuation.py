@@ -148,10 +148,10 @@ def nav_similarity_weighted(assets: DataFrame, matches: DataFrame, comps: DataFr
         d = d.join(momentum(matches, as_of, days, f"momentum_{days}d"), "asset_id", "left")
     n = F.coalesce("n", F.lit(0))
     nav = falsy_or("weighted", "median_comp_sale_usd", "mean_comp_sale_usd")
-    conf = F.when(n > 0, F.round(F.least(F.lit(0.95), F.col("sim") * F.col("conf") * F.least(F.lit(1.0), n / 5)), 4)).otherwise(0.0)
+    conf = F.when(n > 0, F.least(F.lit(0.95), F.col("sim") * F.col("conf") * F.least(F.lit(1.0), n / 5))).otherwise(0.0)
     discount = change("current_market_cap_usd", F.nullif(nav, F.lit(0.0)))
     spread = F.when(F.col("ask") >= F.col("bid"), ratio(F.col("ask") - F.col("bid"), (F.col("ask") + F.col("bid")) / 2))
-    liquidity = F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.65 - falsy_or(spread, F.lit(0.20)))), 4)
+    liquidity = F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.65 - falsy_or(spread, F.lit(0.20))))
     d = d.withColumns({"comp_count": n, "estimated_nav_usd": nav, "nav_confidence": conf, "discount": discount, "liquidity_score": liquidity,
                        "nav_low_usd": F.when(n >= 4, F.col("q1")).otherwise(F.col("lo")), "nav_high_usd": F.when(n >= 4, F.col("q3")).otherwise(F.col("hi")),
                        "premium_to_offering": change("current_market_cap_usd", "offering_market_cap_usd")})

@@ -48,7 +48,7 @@ def _expand_rounding(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         inner = sql[match.end() : end - 1]
-        sql = f"{sql[:match.start()]}(round({inner}, {match[1]}) + 0.0){sql[end:]}"
+        sql = f"{sql[:match.start()]}(round(CAST({inner} AS DOUBLE), {match[1]}) + CAST(0 AS DOUBLE)){sql[end:]}"
     return sql
 
 
