@@ -15,8 +15,9 @@ def col(c: Column | str) -> Column:
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:
-    """Report rounding; adding 0.0 keeps a negative zero out of results."""
-    return F.round(col(c), digits) + F.lit(0.0)
+    """Report rounding. A nudge far below the last digit makes halves fall the same way in whatever order a sum was
+    taken; adding 0.0 keeps a negative zero out of results."""
+    return F.round(col(c) + F.lit(10.0 ** -(digits + 4)), digits) + F.lit(0.0)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

@@ -41,14 +41,14 @@ def _needed(sql: str, found: dict[str, None]) -> None:
 
 
 def _expand_rounding(sql: str) -> str:
-    """rN(x) in check SQL stands for rounding to N digits without a negative zero."""
+    """rN(x) in check SQL stands for report rounding to N digits (see `tessera.functions.columns.rnd`)."""
     while match := re.search(r"\br(\d)\(", sql):
         depth, end = 1, match.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         inner = sql[match.end() : end - 1]
-        sql = f"{sql[:match.start()]}(round(CAST({inner} AS DOUBLE), {match[1]}) + CAST(0 AS DOUBLE)){sql[end:]}"
+        sql = f"{sql[:match.start()]}(round(CAST({inner} AS DOUBLE) + 1e-{int(match[1]) + 4}, {match[1]}) + CAST(0 AS DOUBLE)){sql[end:]}"
     return sql
 
 

@@ -114,14 +114,14 @@ def navs(m: Market) -> DataFrame:
 
 
 @query("nav_similarity_weighted", """
-    SELECT asset_id, n AS comp_count, r2(nav) AS estimated_nav_usd, r4(med) AS median_comp_sale_usd, r4(low) AS nav_low_usd, r4(high) AS nav_high_usd, r6(nc) AS nav_confidence,
+    SELECT asset_id, n AS comp_count, r2(nav) AS estimated_nav_usd, r4(med) AS median_comp_sale_usd, r4(low) AS nav_low_usd, r4(high) AS nav_high_usd, r8(nc) AS nav_confidence,
            r6(disc) AS discount, r6(prem) AS premium_to_offering, r6(ls) AS liquidity_score, r6(m90) AS momentum_90d, r6(m180) AS momentum_180d, r6(m365) AS momentum_365d,
            r6(score) AS mispricing_score FROM navs""")
 def _(m):
     out = navs(m).select("asset_id", "comp_count", "estimated_nav_usd", "median_comp_sale_usd", "nav_low_usd", "nav_high_usd", "nav_confidence", "discount", "premium_to_offering",
                          "liquidity_score", "momentum_90d", "momentum_180d", "momentum_365d", "mispricing_score")
     four = ("median_comp_sale_usd", "nav_low_usd", "nav_high_usd")
-    return rounded(out, ("estimated_nav_usd",), exact=four).withColumns({c: rnd(c, 4) for c in four})
+    return rounded(out, ("estimated_nav_usd",), exact=(*four, "nav_confidence")).withColumns({c: rnd(c, 4) for c in four}).withColumn("nav_confidence", rnd("nav_confidence", 8))
 
 
 @query("comp_momentum", """
