@@ -356,7 +356,7 @@ def _(m):
 
 
 @query("rolling_std", """
-    WITH r AS (SELECT asset_id, date, ret, count(ret) OVER w AS c, stddev_samp(ret) OVER w AS sd FROM q_returns
+    WITH r AS (SELECT asset_id, date, ret, count(ret) OVER w AS c, round(stddev_samp(ret) OVER w, 9) AS sd FROM q_returns
                WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY asset_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
     v AS (SELECT * FROM r WHERE c = 4)
     SELECT a.asset_id, a.date, r6(a.sd) AS rolling_std, r6(avg(CASE WHEN b.sd <= a.sd THEN 1.0 ELSE 0.0 END)) AS share_at_or_below
@@ -370,7 +370,7 @@ def rolling_volatility(df: DataFrame, key: str, width: int = 4) -> DataFrame:
     """Sample deviation of the last `width` returns and how much of its history it exceeds."""
     frame = S.over(key).rowsBetween(-(width - 1), 0)
     full = (df.filter(F.col("ret").isNotNull())
-            .withColumn("rolling_std", F.when(F.count("ret").over(frame) == width, F.stddev_samp("ret").over(frame)))
+            .withColumn("rolling_std", F.when(F.count("ret").over(frame) == width, F.round(F.stddev_samp("ret").over(frame), 9)))
             .filter(F.col("rolling_std").isNotNull()))
     history = F.collect_list("rolling_std").over(S.running(key))
     below = F.filter("_h", lambda x: x <= F.col("rolling_std"))

@@ -11,6 +11,7 @@ from tessera.plans.crosssection_plans import archive
 from tessera.plans.market_plans import exits
 from tessera.plans.registry import query, shared_sql
 from tessera.plans.valuation_plans import research_comps, valued
+from tessera.session import staged
 from tessera.sources.market_views import Market
 
 BENCH = "1-URGENT"
@@ -172,7 +173,7 @@ def _(m):
 @query("story_vol_regime", """
     WITH r AS (SELECT asset_id, date, price / lag(price) OVER (PARTITION BY asset_id ORDER BY date) - 1 AS ret FROM st_m),
     n AS (SELECT *, row_number() OVER w AS n, stddev_samp(ret) OVER (PARTITION BY asset_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS s0 FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY asset_id ORDER BY date)),
-    s AS (SELECT *, CASE WHEN n >= 4 THEN s0 END AS sd FROM n),
+    s AS (SELECT *, CASE WHEN n >= 4 THEN round(s0, 9) END AS sd FROM n),
     o AS (SELECT *, lag(sd, 4) OVER (PARTITION BY asset_id ORDER BY date) AS old FROM s),
     h AS (SELECT a.asset_id, a.date, avg(CASE WHEN b.sd <= a.sd THEN 1.0 ELSE 0 END) AS pct FROM o a JOIN o b ON a.asset_id = b.asset_id AND b.date <= a.date AND b.sd IS NOT NULL WHERE a.sd IS NOT NULL GROUP BY ALL),
     g AS (SELECT a.asset_id, p.period, p."end" AS d FROM (SELECT DISTINCT asset_id FROM o) a CROSS JOIN st_p p),
@@ -188,7 +189,7 @@ def _(m):
     WITH q AS (SELECT asset_id, last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS q, arg_max(price, date) AS v FROM st_m GROUP BY ALL),
     r AS (SELECT asset_id, q, CAST(sign(v / lag(v) OVER (PARTITION BY asset_id ORDER BY q) - 1) AS INT) AS s FROM q),
     n AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY q) AS n FROM r WHERE s IS NOT NULL),
-    k AS (SELECT a.asset_id, a.q, a.s, a.n, a.n - coalesce(max(b.n), 0) AS streak FROM n a LEFT JOIN n b ON b.asset_id = a.asset_id AND b.n < a.n AND b.s <> a.s GROUP BY ALL),
+    k AS (SELECT a.asset_id, a.q, a.s, a.n, a.n - coalesce(max(b.n), 0) AS streak FROM n a LEFT JOIN n b ON b.asset_id = a.asset_id AND b.n < a.n AND b.s <> a.s GROUP BY a.asset_id, a.q, a.s, a.n),
     g AS (SELECT a.asset_id, p.period FROM (SELECT DISTINCT asset_id FROM k) a CROSS JOIN st_p p),
     l AS (SELECT g.period, k.* FROM g ASOF JOIN k ON k.asset_id = g.asset_id AND g.period >= k.q)
     SELECT period, 'streak' AS family, CASE WHEN s > 0 THEN 'positive_streak' ELSE 'negative_streak' END AS kind, 'asset:' || asset_id AS subject_id, r6(streak) AS streak_length, r6(least(.95, .5 + n / 30)) AS quality
@@ -260,8 +261,11 @@ def _(m):
 
 def all_leads(m: Market) -> DataFrame:
     """Leads of every detector family that reads prices, benchmarks and exits."""
-    r, cur, p, mk = period_returns(m), current(m), periods(m), marks(m)
-    parts = [movers(m), T.category_moves(r), T.breadth(r), T.contrast(r), T.drawdowns(cur), T.benchmark_gaps(r, bench(m), p), T.stale_marks(cur),
+    p, mk = staged(periods(m)), staged(marks(m))
+    r = staged(T.period_returns(mk, p))
+    cur = staged(T.at_periods(mk, p, F.col("end"), ["price", "category", "peak", "seen"]).withColumn("age", F.datediff("date", "effective_date")))
+    totals = m.observations.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_obs"))
+    parts = [T.extreme_movers(r, totals), T.category_moves(r), T.breadth(r), T.contrast(r), T.drawdowns(cur), T.benchmark_gaps(r, bench(m), p), T.stale_marks(cur),
              T.exit_stories(T.exits_in_period(exits(m), p)), T.correlation_regimes(m.observations, bench(m), p), T.volatility_regimes(mk, p), T.streaks(mk, p)]
     out = parts[0]
     for part in parts[1:]:
