@@ -105,9 +105,10 @@ def point_in_time_metrics(subjects: DataFrame, start: str, end: str) -> DataFram
         "now": F.last("v", ignorenulls=True).over(upto), "first": F.first("v", ignorenulls=True).over(upto),
         "now_date": F.last(known_date, ignorenulls=True).over(upto), "first_date": F.first(known_date, ignorenulls=True).over(upto),
         "peak": F.max("v").over(upto)})
-    q = q.withColumns({"ret": change("v", "prev"), "dd": change("v", "peak"),
+    # returns below 1e-12 are rounding noise of a flat series
+    q = q.withColumns({"ret": F.round(change("v", "prev"), 12), "dd": F.round(change("v", "peak"), 12),
                        "gap": F.when(F.col("v").isNotNull(), F.datediff("date", "prev_date")),
-                       "island": F.count_if(change("v", "prev") <= 0).over(upto)})
+                       "island": F.count_if(F.round(change("v", "prev"), 12) <= 0).over(upto)})
     short_back = F.last_day(F.add_months("date", -6)) == F.add_months("date", -6)
 
     def trailing(rows: int) -> Column:

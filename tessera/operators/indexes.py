@@ -145,8 +145,8 @@ def concentration(df: DataFrame, keys: list[str]) -> DataFrame:
     sides = sides.filter("v IS NOT NULL")
     total = sides.groupBy(*keys, "side").agg(F.sum("v").alias("total"))
     rank = F.row_number().over(Window.partitionBy(*keys, "side").orderBy(F.desc("v"), "asset_id"))
-    top = sides.withColumn("k", rank).filter("k <= 5").groupBy(*keys, "side").agg(
-        *[F.sum(F.when(F.col("k") <= n, F.col("v"))).alias(f"sum_{n}") for n in (1, 3, 5)])
+    top = sides.withColumn("_k", rank).filter("_k <= 5").groupBy(*keys, "side").agg(
+        *[F.sum(F.when(F.col("_k") <= n, F.col("v"))).alias(f"sum_{n}") for n in (1, 3, 5)])
     joined = total.join(top, [*keys, "side"])
     return joined.select(*keys, "side", *[ratio(f"sum_{n}", F.nullif("total", F.lit(0.0))).alias(f"top_{n}") for n in (1, 3, 5)])
 

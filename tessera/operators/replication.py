@@ -45,7 +45,7 @@ def tracking_frontier(prices: DataFrame, multiples: list[float]) -> DataFrame:
     q = F.floor(F.col("budget") * F.col("target") / F.col("price")).cast("double")
     rows = rows.withColumn("q", F.when(F.col("multiple") >= 1, F.greatest(F.lit(1.0), q)).otherwise(q))
     out = weight_errors(rows, ["def_id", "multiple", "budget"], "budget")
-    return out.withColumn("feasible", F.col("invested") <= F.col("budget")).withColumn(
+    return out.withColumn("feasible", F.col("invested") <= F.col("budget") * (1 + 1e-12)).withColumn(
         "cash_weight", F.greatest(F.lit(0.0), F.col("budget") - F.col("invested")) / F.col("budget"))
 
 

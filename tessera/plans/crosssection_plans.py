@@ -30,7 +30,7 @@ shared_sql("lb_q", """
     SELECT g.*, n.obs_no, g.date - n.date AS age, CASE WHEN g.date - n.date <= 186 THEN n.value END AS v
     FROM g ASOF LEFT JOIN n ON n.subject_id = g.subject_id AND g.date >= n.date""")
 shared_sql("lb_v", """
-    SELECT subject_id, date, v, v / lag(v) OVER w - 1 AS ret, date - lag(date) OVER w AS gap, v / max(v) OVER w - 1 AS dd, row_number() OVER w AS k
+    SELECT subject_id, date, v, round(v / lag(v) OVER w - 1, 12) AS ret, date - lag(date) OVER w AS gap, round(v / max(v) OVER w - 1, 12) AS dd, row_number() OVER w AS k
     FROM lb_q WHERE v IS NOT NULL WINDOW w AS (PARTITION BY subject_id ORDER BY date)""")
 shared_sql("lb_m", """
     WITH a AS (SELECT q.subject_id, q.subject_type, q.date, q.obs_no, q.age, q.shares, q.offering_price, count(h.ret) AS n,

@@ -630,7 +630,7 @@ FRONTIER_SQL = """
 
 
 @query("tracking_frontier", FRONTIER_SQL + """
-    SELECT def_id, k::DOUBLE AS multiple, r4(budget) AS budget, r4(sum(price * q)) AS invested, sum(price * q) <= budget AS feasible,
+    SELECT def_id, k::DOUBLE AS multiple, r4(budget) AS budget, r4(sum(price * q)) AS invested, sum(price * q) <= budget * (1 + 1e-12) AS feasible,
            r8(sqrt(avg((price * q / budget - target) ** 2))) AS rmse, r8(sum(abs(price * q / budget - target))) AS absolute,
            r8(max(abs(price * q / budget - target))) AS maximum, r8(greatest(budget - sum(price * q), 0) / budget) AS cash_weight
     FROM q GROUP BY def_id, k, budget""")

@@ -1,0 +1 @@
+"""Nothing runs as a stream: late evidence is handled by availability dates in `tessera.operators.canonical`."""
