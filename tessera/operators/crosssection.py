@@ -8,6 +8,7 @@ from tessera.functions.columns import change, clip, ratio
 from tessera.operators import series as S
 from tessera.operators.market import contains_text
 from tessera.operators.quantiles import exact_quantiles
+from tessera.session import staged
 
 
 def quality_band(c: Column) -> Column:
@@ -146,8 +147,12 @@ def point_in_time_metrics(subjects: DataFrame, start: str, end: str) -> DataFram
         "observation_count": F.col("obs_no").cast("double"), "observation_age_days": F.col("age").cast("double")})
 
 
-def leaderboard_archive(metrics: DataFrame) -> DataFrame:
-    """Long archive: one row per subject, quarter and metric with eligibility reason, rank and percentile."""
+def leaderboard_archive(metrics: DataFrame, large: bool = False) -> DataFrame:
+    """Long archive: one row per subject, quarter and metric with eligibility reason, rank and percentile.
+
+    `large` ranks each (quarter, metric) group over many tasks; worth its extra pass from some ten million subjects on.
+    """
+    metrics = staged(metrics)
     names = list(LEADERBOARD_METRICS)
     ids = ["date", "subject_id", "subject_type", "obs_no", "age", "years"]
     long = metrics.withColumn("years", F.col("history_years")).unpivot(ids, names, "metric", "value")
@@ -162,13 +167,32 @@ def leaderboard_archive(metrics: DataFrame) -> DataFrame:
     # rank on rounded values: ties are ties, whatever the order sums were taken in
     key = F.round("value", 9)
     directed = F.when(rule["low"], key).otherwise(-key)
-    ranked = F.row_number().over(Window.partitionBy("date", "metric", "eligible").orderBy(directed, "subject_id")).cast("bigint")
-    n = F.count_if("eligible").over(Window.partitionBy("date", "metric"))
-    long = long.withColumns({"rank": F.when(F.col("eligible"), ranked), "eligible_universe_size": n})
+    counts = long.groupBy("date", "metric").agg(F.count_if("eligible").alias("eligible_universe_size"))
+    if large:
+        ranked = ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
+        long = ranked.unionByName(long.filter("NOT eligible").withColumn("rank", F.lit(None).cast("bigint")))
+    else:
+        within = Window.partitionBy("date", "metric", "eligible").orderBy(directed, "subject_id")
+        long = long.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(within).cast("bigint")))
+    long = long.join(counts, ["date", "metric"])
     return long.withColumn("percentile_rank", F.when(F.col("rank").isNotNull(), F.when(F.col("eligible_universe_size") == 1, 1.0).otherwise(
         ratio(F.col("eligible_universe_size") - F.col("rank"), F.col("eligible_universe_size") - 1))))
 
 
+def ordinal_rank_distributed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Ordinal rank of groups too large to sort in one task.
+
+    Rows are range-partitioned by key and order and kept in the checkpoint folder, so that counts and rows see the same
+    partitions; a rank is the rows of the group in earlier partitions plus the position inside its own.
+    """
+    placed = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return placed.join(offsets, [*keys, "_part"]).withColumn("rank", F.col("_ahead") + inside).drop("_part", "_ahead")
+
+
 def rank_movement(archive: DataFrame, metric: str, start: str, end: str) -> DataFrame:
     """Entrants, dropouts and rank changes between two quarters, by one conditional aggregate."""
     rows = archive.filter((F.col("metric") == metric) & F.col("date").isin(start, end))

@@ -190,7 +190,8 @@ def total_return_index(assets: DataFrame, quotes: DataFrame, exits: DataFrame, g
     added = [F.sum(c).alias(c) for c in ("target_sum", "bought", "grown", "cash", "pending", "active")]
     rolled = by_category.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category")))).groupBy(
         "universe", "weighting", "date").agg(*added)
-    whole = rolled.select("universe", "weighting").distinct().join(days)
+    calendar = days.agg(F.collect_list(F.struct("date", "is_rebalance")).alias("_d"))
+    whole = rolled.select("universe", "weighting").distinct().join(calendar).select("universe", "weighting", F.inline("_d"))
     full = whole.join(rolled, ["universe", "weighting", "date"], "left")
     return TotalReturn(panel, targets, value_path(full, ["universe", "weighting"], base))
 

@@ -36,49 +36,79 @@ def _patterns() -> list[tuple[str, ...]]:
     return [s for s in subsets if sum(MATCH_WEIGHTS[f] for f in s) + YEAR_BONUS >= MIN_SCORE - 1e-9]
 
 
+FIELD_BIT = {f: 1 << i for i, f in enumerate(MATCH_WEIGHTS)}
+ANY_YEAR, NO_YEAR = -1, -2
+
+
 def _keys() -> Column:
-    """One lookup key per pattern whose attributes are all present."""
+    """One lookup key `(mask, values)` per pattern whose attributes are all present."""
     keys = []
-    for number, fields in enumerate(_patterns()):
+    for fields in _patterns():
         present = F.lit(True)
         for f in fields:
             present = present & F.col(f"_{f}").isNotNull()
-        keys.append(F.when(present, F.concat_ws("|", F.lit(str(number)), *[F.col(f"_{f}") for f in fields])))
+        mask = sum(FIELD_BIT[f] for f in fields)
+        keys.append(F.when(present, F.struct(F.lit(mask).alias("mask"), F.concat_ws("|", *[F.col(f"_{f}") for f in fields]).alias("values"))))
     return F.array_compact(F.array(*keys))
 
 
+# the hash comes first only to make sorting cheap; mask and values keep the key exact
+KEY = ["hash", "mask", "values"]
+
+
+def with_keys(df: DataFrame, *columns: str) -> DataFrame:
+    flat = df.select(*columns, F.explode(_keys()).alias("_key")).select(*columns, "_key.mask", "_key.values")
+    return flat.withColumn("hash", F.xxhash64("mask", "values"))
+
+
+def short_lists(comps: DataFrame, years: DataFrame) -> DataFrame:
+    """For every key the sales that can still be among somebody's best: `(mask, values, slot, sale columns)`.
+
+    First the best sales of each key and sale year. A key that then has few sales keeps them all in the slot ANY_YEAR;
+    a longer one gets a list per asset year, ordered by year bonus, price and id.
+    """
+    rows = with_keys(comps, *comps.columns)
+    price = F.col("realized_price_usd").desc()
+    per_year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
+    rows = rows.withColumn("_k", per_year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
+    few = F.col("_n") <= TOP_COMPS
+    short = rows.filter(few).withColumn("slot", F.lit(ANY_YEAR)).drop("_n")
+    long = rows.filter(~few).drop("_n").join(years).withColumn("slot", F.explode("_slots")).drop("_slots")
+    bonus = F.coalesce(F.when(F.col("slot") != NO_YEAR, year_bonus(F.abs(F.col("slot") - F.col("comp_year")))), F.lit(0.0))
+    best = F.row_number().over(Window.partitionBy(*KEY, "slot").orderBy(bonus.desc(), price, "comp_id"))
+    return short.unionByName(long.withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k"))
+
+
 def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
     """The best comparable sales of each asset by weighted attribute match.
 
     No pair of an asset and a sale is built unless it can be among the asset's best. For every set of attributes, the
-    sales that share its values are ranked by (year bonus, price, id) and only the best survive. A sale missing from the
-    list of its own attribute set is beaten by a full list of sales that match at least as well, so the result is exact.
-    Work grows with assets + sales; a hot brand costs one short list, pruned before the shuffle.
+    sales that share its values are ranked and only the best survive. A sale missing from the list of the attribute set it
+    shares with an asset is beaten by a full list of sales that match at least as well, so the result is exact; and each
+    pair is taken from that list only, so nothing has to be de-duplicated. Work grows with assets + sales; a hot brand
+    costs one short list, pruned before the shuffle.
     """
-    def normal(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"_{f}": blank_to_null(fold_text(F.col(f).cast("string"))) for f in MATCH_WEIGHTS})
+    attrs = [f"_{f}" for f in MATCH_WEIGHTS]
+
+    def normal(df: DataFrame, *columns) -> DataFrame:
+        return df.select(*columns, *[blank_to_null(fold_text(F.col(f).cast("string"))).alias(f"_{f}") for f in MATCH_WEIGHTS])
 
-    a = normal(assets.select("asset_id", "year", *MATCH_WEIGHTS))
-    c = normal(comps.filter("realized_price_usd IS NOT NULL").select("comp_id", "realized_price_usd", "sale_date", F.col("year").alias("comp_year"),
-                                                                   *MATCH_WEIGHTS))
-    span = a.agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"), F.count_if(F.col("year").isNull()).alias("_none"))
+    a = normal(assets, "asset_id", "year")
+    c = normal(comps.filter("realized_price_usd IS NOT NULL"), "comp_id", "realized_price_usd", "sale_date", F.col("year").alias("comp_year"))
+    span = a.agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"), F.max(F.col("year").isNull()).alias("_none"))
     known = F.when(F.col("_y0").isNotNull(), F.sequence("_y0", "_y1")).otherwise(F.array().cast("array<int>"))
-    years = F.when(F.col("_none") > 0, F.concat(known, F.array(F.lit(None).cast("int")))).otherwise(known)
-    attrs = [f"_{f}" for f in MATCH_WEIGHTS]
-    listed = c.join(span).select("comp_id", "realized_price_usd", "sale_date", "comp_year", *attrs, F.explode(_keys()).alias("key"), "_y0", "_y1", "_none")
-    listed = listed.withColumn("year", F.explode(years)).drop("_y0", "_y1", "_none")
-    bonus = F.coalesce(year_bonus(F.abs(F.col("year") - F.col("comp_year"))), F.lit(0.0))
-    best = Window.partitionBy("key", "year").orderBy(bonus.desc(), F.col("realized_price_usd").desc(), "comp_id")
-    short = listed.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= TOP_COMPS)
-    short = short.select("key", "year", "comp_id", "realized_price_usd", "sale_date", "comp_year", *[F.col(x).alias(f"c{x}") for x in attrs])
-    asked = a.select("asset_id", "year", *attrs, F.explode(_keys()).alias("key"))
-    same_year = asked["year"].eqNullSafe(short["year"])
-    hits = asked.join(short, (asked["key"] == short["key"]) & same_year).drop(short["key"], short["year"])
-    score = sum((F.when(F.col(f"_{f}") == F.col(f"c_{f}"), w).otherwise(0.0) for f, w in MATCH_WEIGHTS.items()), F.lit(0.0))
+    years = span.select(F.when(F.col("_none"), F.concat(known, F.array(F.lit(NO_YEAR)))).otherwise(known).alias("_slots"))
+    lists = short_lists(c, years).withColumnsRenamed({x: f"c{x}" for x in attrs})
+    asked = with_keys(a, "asset_id", "year", *attrs)
+    asked = asked.withColumn("slot", F.explode(F.array(F.lit(ANY_YEAR), F.coalesce("year", F.lit(NO_YEAR)))))
+    same = {f: F.coalesce(F.col(f"_{f}") == F.col(f"c_{f}"), F.lit(False)) for f in MATCH_WEIGHTS}
+    matched = sum((F.when(same[f], FIELD_BIT[f]).otherwise(0) for f in MATCH_WEIGHTS), F.lit(0))
+    hits = asked.join(lists, [*KEY, "slot"]).filter(matched == F.col("mask"))
+    score = sum((F.when(same[f], w).otherwise(0.0) for f, w in MATCH_WEIGHTS.items()), F.lit(0.0))
     gap = F.abs(F.col("year") - F.col("comp_year"))
-    fields = F.concat_ws(", ", *[F.when(F.col(f"_{f}") == F.col(f"c_{f}"), f) for f in MATCH_WEIGHTS],
-                         F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near"))
-    scored = hits.dropDuplicates(["asset_id", "comp_id"]).select(
+    fields = F.concat_ws(", ", *[F.when(same[f], f) for f in MATCH_WEIGHTS], F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near"))
+    scored = hits.select(
         "asset_id", "comp_id", F.round(F.least(F.lit(1.0), score + F.coalesce(year_bonus(gap), F.lit(0.0))), 4).alias("similarity_score"),
         fields.alias("matched_fields"), "realized_price_usd", "sale_date").filter(F.col("similarity_score") >= MIN_SCORE)
     order = Window.partitionBy("asset_id").orderBy(F.desc("similarity_score"), F.desc("realized_price_usd"), "comp_id")

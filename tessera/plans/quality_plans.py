@@ -85,7 +85,7 @@ def _(m):
 
 @query("merge_assets", """
     WITH s AS (SELECT asset_id, name, share_count FROM assets WHERE asset_id % 10 <> 0),
-    n AS (SELECT asset_id, CASE WHEN asset_id % 6 = 0 THEN name || ' II' ELSE name END AS name, CASE WHEN asset_id % 9 = 0 THEN share_count + 1 ELSE share_count END AS share_count FROM assets WHERE asset_id % 3 = 0)
+    n AS (SELECT asset_id, CASE WHEN asset_id % 6 = 0 THEN name || ' II' ELSE name END AS name, CASE WHEN asset_id % 9 = 0 THEN share_count + 1 ELSE share_count END AS share_count FROM assets WHERE asset_id % 3 = 0 OR asset_id % 10 = 0)
     SELECT coalesce(s.asset_id, n.asset_id) AS asset_id, coalesce(n.name, s.name) AS name, coalesce(n.share_count, s.share_count) AS share_count,
            CASE WHEN s.asset_id IS NULL THEN 'inserted' WHEN n.asset_id IS NULL THEN 'kept' WHEN s.name <> n.name OR s.share_count <> n.share_count THEN 'updated' ELSE 'unchanged' END AS action,
            CASE WHEN s.name <> n.name AND s.share_count <> n.share_count THEN 'name,share_count' WHEN s.name <> n.name THEN 'name' WHEN s.share_count <> n.share_count THEN 'share_count' ELSE '' END AS changed
@@ -93,7 +93,7 @@ def _(m):
 def _(m):
     a = m.assets.select("asset_id", "name", "share_count")
     k = F.col("asset_id")
-    fresh = a.filter(k % 3 == 0).select("asset_id", F.when(k % 6 == 0, F.concat("name", F.lit(" II"))).otherwise(F.col("name")).alias("name"),
+    fresh = a.filter((k % 3 == 0) | (k % 10 == 0)).select("asset_id", F.when(k % 6 == 0, F.concat("name", F.lit(" II"))).otherwise(F.col("name")).alias("name"),
                                         F.when(k % 9 == 0, F.col("share_count") + 1).otherwise(F.col("share_count")).alias("share_count"))
     return Q.merge_assets(a.filter(k % 10 != 0), fresh, ["name", "share_count"])
 

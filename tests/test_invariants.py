@@ -170,10 +170,20 @@ def test_bootstrap_repeats(spark):
     assert one == two and 0 < one < 1
 
 
-def test_volatility_regime_and_rank_average(frame):
-    d = frame([("k", v) for v in (1, 2, 2, 4)], "k string, v double")
+def test_distributed_rank_equals_window_rank(spark):
+    from pyspark.sql import Window
+
+    from tessera.operators.crosssection import ordinal_rank_distributed
+
+    d = spark.range(5000).select((F.col("id") % 3 == 0).alias("hot"), F.col("id").alias("subject"), (F.col("id") * 7919 % 40).alias("v"))
+    want = d.withColumn("rank", F.row_number().over(Window.partitionBy("hot").orderBy("v", "subject")).cast("bigint"))
+    got = ordinal_rank_distributed(d, ["hot"], ["v", "subject"])
+    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == 5000
+
+
+def test_rank_average(frame):
     from tessera.operators.series import rank_average
 
+    d = frame([("k", v) for v in (1, 2, 2, 4)], "k string, v double")
     out = sorted((r["v"], r["p"]) for r in rank_average(d, ["k"], "v", "p").collect())
     assert out == [(1, 0.25), (2, 0.625), (2, 0.625), (4, 1.0)]
-    assert F.col("x") is not None
