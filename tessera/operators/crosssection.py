@@ -152,10 +152,10 @@ def leaderboard_archive(metrics: DataFrame, large: bool = False) -> DataFrame:
 
     `large` ranks each (quarter, metric) group over many tasks; worth its extra pass from some ten million subjects on.
     """
-    metrics = staged(metrics)
     names = list(LEADERBOARD_METRICS)
     ids = ["date", "subject_id", "subject_type", "obs_no", "age", "years"]
-    long = metrics.withColumn("years", F.col("history_years")).unpivot(ids, names, "metric", "value")
+    wide = metrics.withColumn("years", F.col("history_years")).select(*ids, *[F.col(n).cast("double").alias(n) for n in names])
+    long = staged(wide).unpivot(ids, names, "metric", "value")
     rules = F.create_map(*[x for n, (low, r, y) in LEADERBOARD_METRICS.items() for x in (
         F.lit(n), F.struct(F.lit(low).alias("low"), F.lit(r).alias("returns"), F.lit(y).alias("years")))])
     rule = rules[F.col("metric")]

@@ -13,8 +13,8 @@ from tessera.plans.index_plans import family
 from tessera.sources.market_views import Market
 
 
-def exits(m: Market) -> DataFrame:
-    return M.normalize_exits(m.exits, m.assets, quarterly(m))
+def exits(m: Market, quotes: DataFrame | None = None) -> DataFrame:
+    return M.normalize_exits(m.exits, m.assets, quarterly(m) if quotes is None else quotes)
 
 
 def history(m: Market) -> DataFrame:

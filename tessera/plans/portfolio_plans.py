@@ -23,7 +23,8 @@ UW = ["universe", "weighting"]
 def total_return(m: Market) -> P.TotalReturn:
     raw_exits = m.exits.select(F.col("sale_date").alias("exit_effective_date"), "settlement_date")
     known = P.known_dates(m.assets, m.observations.select(F.col("period_end").alias("date")), raw_exits)
-    return P.total_return_index(m.assets, quarterly(m), exits(m), P.grid_dates(known, "month"))
+    quotes = quarterly(m)
+    return P.total_return_index(m.assets, quotes, exits(m, quotes), P.grid_dates(known, "month"))
 
 
 def simulation_sql(prefix: str, panel: str, keys: str, absolute: bool = False) -> None:
@@ -176,7 +177,8 @@ shared_sql("bk_full", """
 
 
 def custom(m: Market) -> P.PortfolioResult:
-    return P.basket_portfolio(baskets(m).select("def_id", "asset_id", "weight"), m.assets, quarterly(m), exits(m), "year")
+    quotes = quarterly(m)
+    return P.basket_portfolio(baskets(m).select("def_id", "asset_id", "weight"), m.assets, quotes, exits(m, quotes), "year")
 
 
 @query("custom_portfolio", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -42,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A reduced intermediate result kept in the shared checkpoint folder, so that later steps neither recompute nor
-    re-plan it and a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """A reduced intermediate result as a table in the shared checkpoint folder: later steps neither recompute nor re-plan
+    it, read only the columns they need, and a lost executor costs nothing."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tessera/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
