@@ -254,7 +254,7 @@ class _Join:
     def profiles(self) -> DataFrame:
         """Stage the documents' classes; return (node, doc_id, n, class, bits)."""
         rows = self.texts.select("node", "text").mapInArrow(_profiles, _DOCS)
-        rows.write.partitionBy("kind").parquet(self.scratch.path("profiles"))
+        self.scratch.write(rows.write.partitionBy("kind"), "profiles")
         read = self.spark.read.schema(_DOCS).parquet(self.scratch.path("profiles"))
         self.keys = read.where("kind = 'key'").select("key", "docs")
         docs = read.where("kind = 'doc'").select("node", "n", "d1", "d2", "bits")

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.linededup import line_digests
+from tessera.llm.mixing import mix_plan
 from tessera.llm.packing import pack
+from tessera.llm.quality import score_documents
 from tessera.llm.tokencount import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS spot
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST([5, 2, 1][(turn - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, cap / weight AS ratio,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT level FROM levels WHERE ratio >= level ORDER BY ratio, turn LIMIT 1),
+goals AS (SELECT source, source_size, CASE WHEN (SELECT level FROM chosen) IS NULL THEN cap ELSE least(cap, (SELECT level FROM chosen) * weight) END AS target FROM levels),
+placed AS (
+  SELECT s.*, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS whole,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY spot, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, whole - place)) + greatest(0, least(size, whole - source_size - place)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@_query("op5_mixing", MIX_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import checkpoint_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """One folder below `spark.checkpoint.dir`. Tables are written with Spark's commit protocol, so a lost executor only
@@ -21,9 +23,18 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        self.write(df.write, name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def write(self, writer, name: str) -> None:
+        """Write as Parquet; the shuffle files behind the table go as soon as it is there."""
+        kept = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, kept)
+
     def drop(self, *names: str) -> None:
         for name in names:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
