@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.llm.ann import nearest
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.linededup import line_digests
 from tessera.llm.mixing import mix_plan
 from tessera.llm.packing import pack
 from tessera.llm.quality import score_documents
+from tessera.llm.secrets import find_secrets
 from tessera.llm.tokencount import token_counts
+from tessera.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,3 +105,18 @@ FROM placed
 @_query("op5_mixing", MIX_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op2_permutation_index")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
