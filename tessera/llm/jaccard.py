@@ -277,12 +277,14 @@ class _Join:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sets truly reach the threshold."""
-        if "sets" not in self.__dict__:
-            met = self.tiles.select("node").distinct()
-            self.sets = self.scratch.keep(self.texts.join(met, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles binary"), "sets")
-        a, b = (self.sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = self.texts.join(met, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles binary")
+        sets = self.scratch.keep(sets, f"sets-{name}")
+        a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
         checked = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        return self.scratch.keep(checked.mapInPandas(_intersect(self.threshold), "a long, b long"), f"links-{name}")
+        found = self.scratch.keep(checked.mapInPandas(_intersect(self.threshold), "a long, b long"), f"links-{name}")
+        self.scratch.drop(f"sets-{name}")
+        return found
 
     def star_links(self) -> DataFrame:
         sides = self.nodes.select("node", "n", "bits")
@@ -291,17 +293,18 @@ class _Join:
         bounded = pairs.join(a, "a").join(b, "b").mapInPandas(_bounded_pairs(self.threshold), "a long, b long")
         return self.links(self.scratch.keep(bounded, "star-pairs"), "stars")
 
-    def labelled(self, edges: DataFrame, name: str) -> DataFrame:
-        """Rows of the tiles that still hold several components, with component and signature."""
+    def open_rows(self, rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        """Rows (key, node, n, place, comp) of the tiles that still hold several components."""
         found = components(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch, name)
-        rows = self.tiles.select("key", "node", "n", "place").dropDuplicates(["key", "node"]).join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        rows = self.scratch.keep(rows, f"rows-{name}")
-        shares = rows.groupBy("key", "comp").agg(F.count("*").alias("rows"))
-        open_tiles = shares.groupBy("key").agg(F.sum("rows").alias("total"), F.max("rows").alias("most"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        return rows.join(open_tiles, "key").join(self.nodes.select("node", "bits"), "node")
+        tile = Window.partitionBy("key")
+        rows = rows.select("key", "node", "n", "place").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        rows = rows.withColumn("low", F.min("comp").over(tile)).withColumn("high", F.max("comp").over(tile)).where("low < high").drop("low", "high")
+        return self.scratch.keep(rows.dropDuplicates(["key", "node"]), f"rows-{name}")
 
-    def crossing_links(self, edges: DataFrame, name: str, best_only: bool) -> DataFrame:
-        rows = self.labelled(edges, name)
+    def crossing_links(self, rows: DataFrame, name: str, best_only: bool) -> DataFrame:
+        shares = rows.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+        tiles = shares.groupBy("key").agg(F.sum("rows").alias("total"), F.max("rows").alias("most"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+        rows = rows.join(tiles, "key").join(self.nodes.select("node", "bits"), "node")
         lefts, rights = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("total", "rest"))
         rows = rows.withColumn("rest", F.col("total") - F.col("most")).withColumn("lefts", lefts).withColumn("rights", rights)
         cols = ["key", "l", "r", "side", "node", "n", "place", "comp", "bits"]
@@ -314,15 +317,17 @@ class _Join:
     def run(self) -> DataFrame:
         nodes = self.profiles()
         self.tiles = self.postings()
-        edges = self.star_links()
+        edges, rows, last = self.star_links(), self.tiles, "tiles"
         for name, best_only in (("best", True), ("rest", False)):
-            edges = edges.union(self.crossing_links(edges, name, best_only))
+            rows = self.open_rows(rows, edges, name)
+            self.scratch.drop(last)
+            edges, last = edges.union(self.crossing_links(rows, name, best_only)), f"rows-{name}"
         found = components(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch, "whole")
         whole = nodes.select("node", "n", "class").join(found.select(F.col("node").alias("class"), "component"), "class", "left").select("node", "n", F.coalesce("component", "class").alias("group"))
         rows = self.texts.select("doc_id", "node").join(whole, "node")
         least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
         out = self.scratch.keep(rows.join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "result")
-        self.scratch.drop("profiles", "nodes", "tiles", "sets", "star-pairs", "rows-best", "rows-rest", "pairs-best", "pairs-rest")
+        self.scratch.drop("profiles", "nodes", "rows-rest", "star-pairs", "pairs-best", "pairs-rest")
         return out
 
 
