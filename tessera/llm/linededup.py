@@ -76,9 +76,15 @@ class LineRuns:
         return found
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, version, gone): positions of the lines that a document of this batch loses."""
+        """(doc_id, version, gone): positions of the lines that a document of this batch (doc_id, text) loses."""
+        name = f"lines-{self.count}"
+        lost = self.add_lines(self.scratch.keep(hashed_lines(docs, self.min_chars), name))
+        self.scratch.drop(name)
+        return lost
+
+    def add_lines(self, lines: DataFrame) -> DataFrame:
+        """As `add`, for a stored batch of hashed lines."""
         part = self.count
-        lines = self.scratch.keep(hashed_lines(docs, self.min_chars), f"lines-{part}")
         keys = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         older = [t for level in self.levels for t in level]
         if older:
@@ -90,7 +96,6 @@ class LineRuns:
         repeated = self.spark.table(table).where("NOT is_new OR last <> owner").select("h1", "h2", "owner")
         lost = lines.join(repeated, ["h1", "h2"]).where("doc_id <> owner").groupBy("doc_id", "version").agg(F.collect_list("pos").alias("gone"))
         lost = self.scratch.keep(lost, f"lost-{part}")
-        self.scratch.drop(f"lines-{part}")
         self._place(table, 0)
         return lost
 
@@ -116,10 +121,14 @@ def lost_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10) -> DataFr
     spark = docs.sparkSession
     cuts = sorted(set(docs.select("doc_id").where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
     store, lost = LineRuns(spark, min_chars=min_chars), None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = docs.where((F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high))
-        found = store.add(part)
+    batch = sum(((F.col("doc_id") > cut).cast("int") for cut in cuts), F.lit(0))
+    lines = hashed_lines(docs, min_chars).withColumn("batch", batch)
+    store.scratch.write(lines.write.partitionBy("batch"), "lines")
+    lines = spark.read.schema(lines.schema).parquet(store.scratch.path("lines"))
+    for number in range(len(cuts) + 1):
+        found = store.add_lines(lines.where(F.col("batch") == number).drop("batch"))
         lost = found if lost is None else lost.union(found)
+    store.scratch.drop("lines")
     store.close()
     return lost
 
