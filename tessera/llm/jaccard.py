@@ -259,7 +259,7 @@ class _Join:
         self.keys = read.where("kind = 'key'").select("key", "docs")
         docs = read.where("kind = 'doc'").select("node", "n", "d1", "d2", "bits")
         least = docs.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("class"))
-        self.nodes = self.scratch.keep(docs.join(least, ["d1", "d2"], "left").select("node", "n", "bits", F.coalesce("class", "node").alias("class")), "nodes")
+        self.nodes = self.scratch.keep(docs.join(least, ["d1", "d2"], "left").select("node", "n", "bits", F.coalesce("class", "node").alias("class")).distinct(), "nodes")
         return self.nodes
 
     def postings(self) -> DataFrame:
