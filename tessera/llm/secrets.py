@@ -3,8 +3,8 @@
 Base patterns mark credentials by kind. Their values, labelled by kind, make one prefix tree per kind; states whose futures are
 statistically compatible (Hoeffding bound on every symbol's and the end's frequency) are merged, in the red-blue order, into a
 probabilistic automaton. Every other token of credential shape in every text is then scored: the mean log-likelihood per
-symbol under the best automaton, less that under a letter-pair model of ordinary tokens. Tokens above the level that no ordinary
-token of the sample reaches, by a margin, become spans `like_<kind>`.
+symbol under an automaton, less that under a letter-pair model of ordinary tokens. Tokens that gain MARGIN and as much as all
+but a twentieth of the kind's own labelled values, less SLACK, become spans `like_<kind>`.
 
 Only the fit is bounded: it uses the documents whose id hash falls into a share of the corpus that holds about
 `fit_documents` of them, and at most `fit_values` different values per kind and ordinary tokens, by smallest hash. The scan reads every text whole.
@@ -33,8 +33,9 @@ KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+WORDS = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 HINTS = ("passw", "secret", "token", "api")
-ALPHA, MARGIN, BLUR = 0.01, 0.25, 1e-3
+ALPHA, MARGIN, SLACK, BLUR = 0.01, 0.5, 0.25, 1e-3
 
 _RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -168,28 +169,31 @@ class Ordinary:
 class Grammar:
     kinds: dict[str, Automaton]
     ordinary: Ordinary
-    level: float
+    levels: dict[str, float]
+
+    def gain(self, kind: str, token: str) -> float:
+        return (self.kinds[kind].log_likelihood(token) - self.ordinary.log_likelihood(token)) / (len(token) + 1)
 
     def kind_of(self, token: str) -> str | None:
-        base, best, kind = self.ordinary.log_likelihood(token), -math.inf, None
-        for name, automaton in self.kinds.items():
-            gain = (automaton.log_likelihood(token) - base) / (len(token) + 1)
-            if gain > best:
-                best, kind = gain, name
-        return kind if best > self.level else None
+        gains = {kind: self.gain(kind, token) for kind in self.kinds}
+        likely = [kind for kind in gains if gains[kind] >= self.levels[kind]]
+        return max(likely, key=lambda kind: gains[kind]) if likely else None
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled values and ordinary tokens of a batch, each once."""
+    """Labelled values and ordinary words of a batch, each once. What has itself the shape of a candidate is no example of
+    an ordinary word."""
     for batch in batches:
         out = set()
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
             out |= {(KINDS[k], value) for _, _, k, value in spans}
-            out |= {("ordinary", token) for _, _, token in candidates(text, spans)}
-            if not spans:
-                out |= {("ordinary", m[0]) for m in list(re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text))}
+            rest, at = [], 0
+            for start, end, _, _ in spans:
+                rest.append(text[at:start])
+                at = max(at, end)
+            out |= {("ordinary", word) for part in [*rest, text[at:]] for word in WORDS.findall(part) if not any(candidates(word, []))}
         rows = sorted(out)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
 
@@ -206,14 +210,11 @@ def fit(docs: DataFrame, fit_documents: int = 20_000, fit_values: int = 600) ->
         chain = f" {token} "
         pairs.update(chain[i : i + 2] for i in range(len(chain) - 1))
         firsts.update(chain[:-1])
-    grammar = Grammar({k: infer(values[k]) for k in KINDS if values[k]}, Ordinary(dict(pairs), dict(firsts)), -math.inf)
-    shaped = [t for t in values["ordinary"] if any(True for _ in candidates(t, []))]
-    return Grammar(grammar.kinds, grammar.ordinary, MARGIN + max([0.0, *(_gain(grammar, t) for t in shaped)]))
-
-
-def _gain(grammar: Grammar, token: str) -> float:
-    base = grammar.ordinary.log_likelihood(token)
-    return max(((a.log_likelihood(token) - base) / (len(token) + 1) for a in grammar.kinds.values()), default=0.0)
+    grammar = Grammar({k: infer(values[k]) for k in KINDS if values[k]}, Ordinary(dict(pairs), dict(firsts)), {})
+    for kind in grammar.kinds:
+        gains = sorted(grammar.gain(kind, v) for v in values[kind])
+        grammar.levels[kind] = max(MARGIN, gains[len(gains) // 20] - SLACK)
+    return grammar
 
 
 def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
