@@ -28,10 +28,15 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
     df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
     w = F.col("_words")
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
+    # five words by three pairings: (w0 w1) (w2 w3), then w4
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("_pairs", F.when(F.size(w) >= WIDTH, pairs))
+    p, n = F.col("_pairs"), F.size(w) - (WIDTH - 1)
+    fours = F.zip_with(F.slice(p, 1, n), F.slice(p, 3, n), lambda x, y: F.xxhash64(x, y))
+    many = F.zip_with(fours, F.slice(w, WIDTH, n), lambda x, y: F.xxhash64(x, y))
     few = F.array(F.xxhash64(F.array_join(F.transform(w, lambda x: x.cast("string")), " ")))
     df = df.withColumn("_hashes", F.when(F.size(w) >= WIDTH, many).otherwise(few))
-    sentinels = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: F.shiftleft(b.cast("long"), 56).bitwiseOR(F.lit(_LOW)))
+    sentinels = F.array(*(F.lit((b << 56) | _LOW).cast("long") for b in range(-BINS // 2, BINS // 2)))
     df = df.withColumn("_sorted", F.sort_array(F.concat("_hashes", sentinels)))
     s = F.col("_sorted")
     first = F.filter(s, lambda h, i: (i == 0) | (F.shiftright(h, 56) != F.shiftright(F.get(s, i - 1), 56)))
@@ -45,10 +50,15 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         tried = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda t: F.get(bins, F.pmod(F.xxhash64(j, t), F.lit(BINS)).cast("int")))
         return F.get(F.filter(tried, lambda h: ~empty(h)), 0)
 
-    rest = F.array_min(F.transform(F.filter(bins, lambda h: ~empty(h)), lambda h: F.struct(F.xxhash64(h), h.alias("h"))))["h"]
-    filled = F.transform(bins, lambda h, j: F.when(~empty(h), h).otherwise(F.coalesce(probes(j, 1, 2), probes(j, 3, 16), probes(j, 17, 1024), rest)))
-    digits = F.transform(filled, lambda h: F.lower(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1)))))
-    return df.withColumn(out, F.array_join(digits, "")).drop("_words", "_hashes", "_sorted", "_bins")
+    df = df.withColumn("_full", F.filter(bins, lambda h: ~empty(h)))
+
+    def direct(j: Column) -> Column:
+        """The filled bin of least hash with j: what the sequence of bin j would come to, for texts of few shingles."""
+        return F.array_min(F.transform("_full", lambda h: F.struct(F.xxhash64(j, F.shiftright(h, 56)), h.alias("h"))))["h"]
+
+    filled = F.transform(bins, lambda h, j: F.when(~empty(h), h).otherwise(F.coalesce(probes(j, 1, 2), probes(j, 3, 16), direct(j))))
+    digits = F.transform(filled, lambda h: F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1))))
+    return df.withColumn(out, F.array_join(digits, "")).drop("_words", "_pairs", "_hashes", "_sorted", "_bins", "_full")
 
 
 def likeness(a: Column, b: Column) -> Column:
