@@ -66,6 +66,8 @@ LEADERBOARD_METRICS = {
     "history_years": (False, 1, 0.0), "observation_age_days": (True, 1, 0.0),
 }
 STALE_DAYS = 186
+#: Digits that decide a rank: money to the cent, all else to the precision that sums keep. What then is equal goes by id.
+RANK_DIGITS, MONEY_DIGITS, MONEY = 9, 2, ("current_price", "market_cap", "offering_valuation")
 
 
 def collect_subjects(assets: DataFrame, observations: DataFrame, indices: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -147,12 +149,10 @@ def point_in_time_metrics(subjects: DataFrame, start: str, end: str) -> DataFram
         "observation_count": F.col("obs_no").cast("double"), "observation_age_days": F.col("age").cast("double")})
 
 
-def leaderboard_archive(metrics: DataFrame, large: bool = False) -> DataFrame:
-    """Long archive: one row per subject, quarter and metric with eligibility reason, rank and percentile.
-
-    `large` ranks each (quarter, metric) group over many tasks; worth its extra pass from some ten million subjects on.
-    """
-    names = list(LEADERBOARD_METRICS)
+def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Long archive: one row per subject, quarter and metric with eligibility reason, rank and percentile. Only eligible rows
+    are ranked, each (quarter, metric) over many tasks. `wanted` limits the metrics, and with them what is computed."""
+    names = wanted or list(LEADERBOARD_METRICS)
     ids = ["date", "subject_id", "subject_type", "obs_no", "age", "years"]
     wide = metrics.withColumn("years", F.col("history_years")).select(*ids, *[F.col(n).cast("double").alias(n) for n in names])
     long = staged(wide).unpivot(ids, names, "metric", "value")
@@ -165,15 +165,11 @@ def leaderboard_archive(metrics: DataFrame, large: bool = False) -> DataFrame:
               .when(F.col("value").isNull(), "invalid_metric_value").otherwise(""))
     long = long.withColumns({"exclusion_reason": reason, "eligible": reason == ""})
     # rank on rounded values: ties are ties, whatever the order sums were taken in
-    key = F.round("value", 9)
+    key = F.when(F.col("metric").isin(*MONEY), F.round("value", MONEY_DIGITS)).otherwise(F.round("value", RANK_DIGITS))
     directed = F.when(rule["low"], key).otherwise(-key)
     counts = long.groupBy("date", "metric").agg(F.count_if("eligible").alias("eligible_universe_size"))
-    if large:
-        ranked = ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
-        long = ranked.unionByName(long.filter("NOT eligible").withColumn("rank", F.lit(None).cast("bigint")))
-    else:
-        within = Window.partitionBy("date", "metric", "eligible").orderBy(directed, "subject_id")
-        long = long.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(within).cast("bigint")))
+    ranked = ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
+    long = ranked.unionByName(long.filter("NOT eligible").withColumn("rank", F.lit(None).cast("bigint")))
     long = long.join(counts, ["date", "metric"])
     return long.withColumn("percentile_rank", F.when(F.col("rank").isNotNull(), F.when(F.col("eligible_universe_size") == 1, 1.0).otherwise(
         ratio(F.col("eligible_universe_size") - F.col("rank"), F.col("eligible_universe_size") - 1))))

@@ -52,7 +52,7 @@ def normalize_exits(exits: DataFrame, assets: DataFrame, prices: DataFrame) -> D
     """Canonical exit events with the terminal price hierarchy and exit returns.
 
     Terminal price: confirmed per-share payout, else confirmed total over shares, else the last traded price on or
-    before the last trading date. One event per asset: the earliest that takes effect.
+    before the last trading date. One event per asset: the earliest that was not cancelled, else the earliest.
     """
     kind = F.lower(F.coalesce("type", F.lit("other")))
     kind = F.when(kind == "buyout_offer", "buyout").when(kind == "sale", "asset_sale").otherwise(kind)
@@ -63,7 +63,8 @@ def normalize_exits(exits: DataFrame, assets: DataFrame, prices: DataFrame) -> D
         F.when(state.isin(EXIT_STATES), state).otherwise("unknown").alias("exit_status"),
         F.col("sale_date").alias("exit_effective_date"), F.coalesce("settlement_date", "sale_date").alias("settlement_date"),
         "exit_price_per_share", "exit_total_value")
-    e = S.keep_last(e, ["asset_id"], [-F.datediff("exit_effective_date", F.lit("1970-01-01").cast("date"))])
+    standing = (F.col("exit_status") != "cancelled_exit").cast("int")
+    e = S.keep_last(e, ["asset_id"], [standing, -F.datediff("exit_effective_date", F.lit("1970-01-01").cast("date"))])
     master = assets.select("asset_id", "ticker", "category", F.col("share_count").alias("shares_at_exit"), "offering_price_usd",
                            "offering_date")
     traded = (

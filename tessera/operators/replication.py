@@ -50,15 +50,16 @@ def tracking_frontier(prices: DataFrame, multiples: list[float]) -> DataFrame:
 
 
 def minimum_capital(prices: DataFrame, tolerance: float, metric: str = "maximum", steps: int = 180, spread: float = 100.0) -> DataFrame:
-    """Smallest of a geometric ladder of budgets whose rounded allocation meets the tolerance, per basket."""
+    """Smallest of a geometric ladder of budgets whose rounded allocation meets the tolerance, per basket; a basket that none
+    meets stays, with `feasible` false."""
     one = prices.groupBy("def_id").agg(F.sum("price").alias("_one"))
     ladder = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
     rows = prices.join(one, "def_id").withColumn("anchor_no", ladder)
     budget = F.round(F.col("_one") * F.pow(F.lit(float(spread)), F.col("anchor_no") / (steps - 1)), 6)
     q = F.greatest(F.lit(1.0), F.bround(budget * F.col("target") / F.col("price")).cast("double"))
     out = weight_errors(rows.withColumn("q", q), ["def_id", "anchor_no"])
-    return out.filter(F.col(metric) <= tolerance).groupBy("def_id").agg(
-        F.min(F.struct("anchor_no", "invested", "maximum", "rmse")).alias("b")).select("def_id", "b.*")
+    met = F.when(F.col(metric) <= tolerance, F.struct("anchor_no", "invested", "maximum", "rmse"))
+    return out.groupBy("def_id").agg(F.min(met).alias("b")).select("def_id", F.col("b").isNotNull().alias("feasible"), "b.*")
 
 
 def prices_asof(history: DataFrame, requested: str, mode: str = "common", stale_days: int = 120) -> DataFrame:

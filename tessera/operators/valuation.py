@@ -64,11 +64,14 @@ def with_keys(df: DataFrame, *columns: str) -> DataFrame:
 def short_lists(comps: DataFrame, years: DataFrame) -> DataFrame:
     """For every key the sales that can still be among somebody's best: `(mask, values, slot, sale columns)`.
 
-    First the best sales of each key and sale year. A key that then has few sales keeps them all in the slot ANY_YEAR;
+    Sales that agree in all attributes and the year score alike for everybody, so of those only the best by price and id go
+    on to be keyed at all. Then the best sales of each key and sale year are taken. A key that then has few sales keeps them all in the slot ANY_YEAR;
     a longer one gets a list per asset year, ordered by year bonus, price and id.
     """
-    rows = with_keys(comps, *comps.columns)
     price = F.col("realized_price_usd").desc()
+    alike = Window.partitionBy(*[f"_{f}" for f in MATCH_WEIGHTS], "comp_year").orderBy(price, "comp_id")
+    comps = comps.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).drop("_k")
+    rows = with_keys(comps, *comps.columns)
     per_year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
     rows = rows.withColumn("_k", per_year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))

@@ -62,7 +62,7 @@ shared_sql("lb_archive", """
     WITH r AS (SELECT *, CASE WHEN obs_no IS NULL THEN 'not_yet_launched' WHEN age > 186 THEN 'stale_latest_observation' WHEN obs_no - 1 < min_returns THEN
         'insufficient_observations' WHEN years < min_years THEN 'insufficient_trailing_history' WHEN value IS NULL THEN 'invalid_metric_value' ELSE '' END AS reason FROM lb_long)
     SELECT subject_id, subject_type, date, metric, value, reason AS exclusion_reason, reason = '' AS eligible, age,
-           CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY date, metric, reason = '' ORDER BY CASE WHEN low THEN round(value, 9) ELSE -round(value, 9) END, subject_id) END AS rank,
+           CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY date, metric, reason = '' ORDER BY CASE WHEN low THEN 1 ELSE -1 END * CASE WHEN metric IN ('current_price', 'market_cap', 'offering_valuation') THEN round(value, 2) ELSE round(value, 9) END, subject_id) END AS rank,
            count(*) FILTER (reason = '') OVER (PARTITION BY date, metric) AS n FROM r""")
 
 
@@ -74,8 +74,8 @@ def metrics(m: Market) -> DataFrame:
     return X.point_in_time_metrics(subjects(m), "1995-01-01", AS_OF)
 
 
-def archive(m: Market) -> DataFrame:
-    return X.leaderboard_archive(metrics(m))
+def archive(m: Market, *wanted: str) -> DataFrame:
+    return X.leaderboard_archive(metrics(m), list(wanted))
 
 
 @query("collect_subjects", """
@@ -128,12 +128,12 @@ MOVE_SQL = """
 
 @query("rank_movement", MOVE_SQL)
 def _(m):
-    return X.rank_movement(archive(m), "total_return", "1999-12-31", "2000-12-31").withColumn("value_change", rnd("value_change"))
+    return X.rank_movement(archive(m, "total_return"), "total_return", "1999-12-31", "2000-12-31").withColumn("value_change", rnd("value_change"))
 
 
 @query("outer_movement_join", "SELECT transition, count(*) AS subjects FROM (" + MOVE_SQL + ") GROUP BY transition")
 def _(m):
-    a = archive(m).filter("metric = 'total_return'")
+    a = archive(m, "total_return")
     left = a.filter("date = DATE '1999-12-31'").select("subject_id", F.col("eligible").alias("a"))
     right = a.filter("date = DATE '2000-12-31'").select("subject_id", F.col("eligible").alias("b"))
     ok = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
@@ -146,7 +146,7 @@ def _(m):
                WHERE l.metric = 'trailing_1y_return' AND l.date = DATE '2000-12-31' AND l.eligible)
     SELECT category, min(rank) AS leader_rank, r6(arg_min(value, rank)) AS leader_value, r6(median(value)) AS median, r6(avg(value)) AS mean, count(*) AS n FROM t GROUP BY 1""")
 def _(m):
-    rows = archive(m).filter("metric = 'trailing_1y_return' AND date = DATE '2000-12-31' AND eligible AND subject_type = 'asset'")
+    rows = archive(m, "trailing_1y_return").filter("date = DATE '2000-12-31' AND eligible AND subject_type = 'asset'")
     cat = m.assets.select(F.concat(F.lit("asset:"), F.col("asset_id").cast("string")).alias("subject_id"), "category")
     rows = rows.join(cat, "subject_id").select("category", "rank", "value")
     mid = exact_quantiles(rows, ["category"], "value", {"median": 0.5})

@@ -645,7 +645,7 @@ def _(m):
 @query("minimum_capital_search")
 def _(m):
     out = N.minimum_capital(trading_prices(m), 0.002)
-    return out.select("def_id", "anchor_no", rnd("invested", 4).alias("invested"), rnd("maximum", 8).alias("maximum"), rnd("rmse", 8).alias("rmse"))
+    return out.select("def_id", "feasible", "anchor_no", rnd("invested", 4).alias("invested"), rnd("maximum", 8).alias("maximum"), rnd("rmse", 8).alias("rmse"))
 
 
 @query("prices_asof_inception", """

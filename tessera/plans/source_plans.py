@@ -195,7 +195,7 @@ def _(m):
 
 
 @query("source_fingerprint", """
-    SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws('|', asset_id, name, category, size)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, count(*) AS rows FROM assets""")
+    SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws('|', asset_id, name, category, size)), 1, 8) AS BIGINT)) AS DECIMAL(38,0)) AS checksum, count(*) AS rows FROM assets""")
 def _(m):
     return IO.fingerprint(m.assets.select("asset_id", "name", "category", "size"))
 

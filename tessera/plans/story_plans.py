@@ -85,7 +85,7 @@ def _(m):
     s AS (SELECT period, asset_id, CASE WHEN ret >= 0 THEN 'gained' ELSE 'lost' END AS kind, least(1, .35 + .1 * least(n, 6)) AS q, abs(pct - .5) * 2 AS ext, least(1, abs(ret) / .5) AS mag
           FROM k JOIN n USING (asset_id) WHERE lo <= 5 OR hi <= 5)
     SELECT period, 'asset:' || asset_id AS subject_id, substr(sha1(period || '|extreme_movers|' || kind || '|asset:' || asset_id), 1, 12) AS story_id,
-           r4(100 * (.12 * ext + .10 * mag + .05 * ext + .06 * .9 + .10 * q) * (.65 + .35 * q)) AS content_score FROM s""")
+           r4(round(100 * (.12 * ext + .10 * mag + .05 * ext + .06 * .9 + .10 * q) * (.65 + .35 * q) + 1e-9, 2)) AS content_score FROM s""")
 def _(m):
     return T.with_score(movers(m)).select("period", "subject_id", "story_id", rnd("content_score", 4).alias("content_score"))
 
@@ -204,7 +204,7 @@ def _(m):
     SELECT s.period, 'rank_history' AS family, 'rank_jump' AS kind, subject_id, r6(prev) AS previous_rank, r6(rank) AS current_rank, r6(delta) AS change, r6(.85) AS quality
     FROM j JOIN st_p s ON j.date = CASE WHEN s."end" = s.period THEN s.period ELSE s.start - 1 END WHERE abs(delta) >= .35""")
 def _(m):
-    return shown(T.rank_jumps(archive(m), periods(m)), "previous_rank", "current_rank", "change")
+    return shown(T.rank_jumps(archive(m, "latest_quarter_return"), periods(m)), "previous_rank", "current_rank", "change")
 
 
 def valuations(m: Market) -> DataFrame:
@@ -260,13 +260,17 @@ def _(m):
 
 
 def all_leads(m: Market) -> DataFrame:
-    """Leads of every detector family that reads prices, benchmarks and exits."""
+    """Leads of every detector family."""
     p, mk = staged(periods(m)), staged(marks(m))
     r = staged(T.period_returns(mk, p))
     cur = staged(T.at_periods(mk, p, F.col("end"), ["price", "category", "peak", "seen"]).withColumn("age", F.datediff("date", "effective_date")))
     totals = m.observations.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_obs"))
+    res = story_index(m)
+    days = staged(T.latest_index_day(res.series, p))
     parts = [T.extreme_movers(r, totals), T.category_moves(r), T.breadth(r), T.contrast(r), T.drawdowns(cur), T.benchmark_gaps(r, bench(m), p), T.stale_marks(cur),
-             T.exit_stories(T.exits_in_period(exits(m), p)), T.correlation_regimes(m.observations, bench(m), p), T.volatility_regimes(mk, p), T.streaks(mk, p)]
+             T.exit_stories(T.exits_in_period(exits(m), p)), T.correlation_regimes(m.observations, bench(m), p), T.volatility_regimes(mk, p), T.streaks(mk, p),
+             T.exit_benchmark(T.exits_in_period(exits(m), p), bench(m)), T.rank_jumps(archive(m, "latest_quarter_return"), p), T.fair_value_gaps(cur, valuations(m), m.assets.select("asset_id", "share_count")),
+             T.index_weighting(days), T.index_attribution(days, res.contributions)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

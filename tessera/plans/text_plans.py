@@ -246,7 +246,7 @@ def _(m):
     f = f.withColumns({"ticker": F.concat(F.lit("T"), (F.col("asset_id") % 300).cast("string")),
                        "quality": 1 + F.when(F.coalesce("shares", F.lit(0)) >= 100, 1).otherwise(0) + F.when(F.coalesce("offering_price", F.lit(0.0)) < 10000, 1).otherwise(0)
                        + F.when(F.col("status") == "exit", 1).otherwise(0)})
-    owned = m.assets.filter("category = 'ECONOMY'").select(F.substring("ticker", 2, 40).alias("ticker"))
+    owned = m.assets.filter("category = 'ECONOMY'").select(F.expr("substring(ticker, 2)").alias("ticker"))
     rest = f.join(owned, "ticker", "left_anti").select("ticker", "series_name", "quality", "asset_id", (F.col("offering_price") * F.col("shares")).alias("cap"))
     return S.keep_last(rest, ["ticker"], ["quality", "asset_id"]).select("ticker", "series_name", "quality", rnd("cap", 2).alias("offering_market_cap_usd"))
 

@@ -90,7 +90,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash and row count of a table: sums of row hashes, no sort and no collected rows."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
     part = F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.sum(part).alias("checksum"), F.count(F.lit(1)).alias("rows"))
+    return df.agg(F.sum(part.cast("decimal(20,0)")).cast("decimal(38,0)").alias("checksum"), F.count(F.lit(1)).alias("rows"))
 
 
 def ledger_row(verdicts: DataFrame, run: str) -> DataFrame:
