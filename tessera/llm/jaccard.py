@@ -37,6 +37,7 @@ HOT_KEYS = 65_536  # frequent shingles that are ordered last; a bound of the bro
 HOT_COUNT = 8  # documents of batches that make a shingle frequent
 BLOCK = 2_048  # documents of a tile that meet in one task
 STAR_ROWS = 20_000  # documents of a frequent shingle that share one star
+FILTER_BITS = 26  # size of the node filter that is broadcast: 2 ** 26 bits are 8 MB
 PAIRS = 1_000_000  # candidates that a task looks at together
 
 _DOCS = "kind string, node long, n long, d1 long, d2 long, bits binary, key long, docs long"
@@ -225,6 +226,18 @@ def _crossing(threshold: int, best_only: bool):
     return run
 
 
+def _passing(shared):
+    """Rows whose node may be among those of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("node").to_numpy(zero_copy_only=False) & (len(bits) * 8 - 1)
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [v.tobytes() for v in shingles.shingle_sets(batch.column("text"))]
@@ -278,14 +291,25 @@ class _Join:
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sets truly reach the threshold."""
         met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = self.texts.join(met, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles binary")
+        met = self.scratch.keep(met, f"met-{name}")
+        sets = self.likely(met).join(met, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles binary")
         sets = self.scratch.keep(sets, f"sets-{name}")
         a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
         checked = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
         found = self.scratch.keep(checked.mapInPandas(_intersect(self.threshold), "a long, b long"), f"links-{name}")
-        self.scratch.drop(f"sets-{name}")
+        self.scratch.drop(f"sets-{name}", f"met-{name}")
         return found
 
+    def likely(self, nodes: DataFrame) -> DataFrame:
+        """The texts that a filter of fixed size lets pass: all of these nodes and few others, so few texts are shuffled."""
+        place = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+        parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for r in parts.collect():
+            low = (r["part"] - 1) * 4096
+            bits[low : low + 4096] = np.frombuffer(r["bits"], np.uint8)
+        return self.texts.select("node", "text").mapInArrow(_passing(self.spark.sparkContext.broadcast(bits)), "node long, text string")
+
     def star_links(self) -> DataFrame:
         sides = self.nodes.select("node", "n", "bits")
         a, b = (sides.select(*(F.col(c).alias(d) for c, d in (("node", k), ("n", f"n_{k}"), ("bits", f"bits_{k}")))) for k in "ab")
