@@ -66,8 +66,8 @@ LEADERBOARD_METRICS = {
     "history_years": (False, 1, 0.0), "observation_age_days": (True, 1, 0.0),
 }
 STALE_DAYS = 186
-#: Digits that decide a rank: money to the cent, all else to the precision that sums keep. What then is equal goes by id.
-RANK_DIGITS, MONEY_DIGITS, MONEY = 9, 2, ("current_price", "market_cap", "offering_valuation")
+#: Digits that decide a rank: money to five digits, finer than any price and coarser than what sums lose; all else to the precision that sums keep. What then is equal goes by id.
+RANK_DIGITS, MONEY_DIGITS, MONEY = 9, 5, ("current_price", "market_cap", "offering_valuation")
 
 
 def collect_subjects(assets: DataFrame, observations: DataFrame, indices: DataFrame, benchmarks: DataFrame) -> DataFrame:

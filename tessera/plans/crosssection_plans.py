@@ -62,7 +62,7 @@ shared_sql("lb_archive", """
     WITH r AS (SELECT *, CASE WHEN obs_no IS NULL THEN 'not_yet_launched' WHEN age > 186 THEN 'stale_latest_observation' WHEN obs_no - 1 < min_returns THEN
         'insufficient_observations' WHEN years < min_years THEN 'insufficient_trailing_history' WHEN value IS NULL THEN 'invalid_metric_value' ELSE '' END AS reason FROM lb_long)
     SELECT subject_id, subject_type, date, metric, value, reason AS exclusion_reason, reason = '' AS eligible, age,
-           CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY date, metric, reason = '' ORDER BY CASE WHEN low THEN 1 ELSE -1 END * CASE WHEN metric IN ('current_price', 'market_cap', 'offering_valuation') THEN round(value, 2) ELSE round(value, 9) END, subject_id) END AS rank,
+           CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY date, metric, reason = '' ORDER BY CASE WHEN low THEN 1 ELSE -1 END * CASE WHEN metric IN ('current_price', 'market_cap', 'offering_valuation') THEN round(value, 5) ELSE round(value, 9) END, subject_id) END AS rank,
            count(*) FILTER (reason = '') OVER (PARTITION BY date, metric) AS n FROM r""")
 
 
