@@ -107,6 +107,19 @@ def test_exit_hierarchy(frame):
     assert out["c"]["terminal_price_quality"] == "fallback"
 
 
+def test_cancelled_exit_does_not_hide_a_settled_one(frame):
+    assets = frame([("a", "a", "a", "c", 10, "2019-01-01", 10)], ASSETS)
+    exits = frame([("a", "buyout_offer", "cancelled_exit", "2020-01-01", None, 12, None), ("a", "sale", "settled", "2022-01-01", None, 30, None)],
+                  "asset_id string, type string, status string, sale_date date, settlement_date date, exit_price_per_share double, exit_total_value double")
+    live = M.live_exits(M.normalize_exits(exits, assets, priced(frame, [("a", "2020-06-01", 22)]))).collect()
+    assert [(str(r["exit_effective_date"]), r["terminal_price"]) for r in live] == [("2022-01-01", 30)]
+
+
+def test_size_belongs_to_the_chosen_model(spark):
+    row = spark.createDataFrame([("Gold Togo Kelly 25 and Birkin 30 Palladium",)], "title string").select(*[v.alias(k) for k, v in T.title_fields("title").items()]).first()
+    assert (row["model"], row["size"], row["color"]) == ("Birkin", "30", "Gold")
+
+
 def total_return(frame, assets, prices, exits, dates, rebalance="month"):
     grid = frame([(d,) for d in dates], "date date")
     return P.total_return_index(assets, prices, exits, grid, rebalance)

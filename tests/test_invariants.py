@@ -153,6 +153,14 @@ def test_pruned_slate_equals_full_greedy(spark):
     assert [r["story_id"] for r in out.orderBy("position").collect()] == greedy(rows)
 
 
+def test_slate_with_more_families(spark):
+    rng = random.Random(4)
+    rows = [{"period": dt.date(2024, 3, 31), "story_id": f"s{i:05d}", "family": f"f{rng.randrange(23)}", "kind": "x", "subject_id": f"u{rng.randrange(9)}",
+             "content_score": float(rng.randrange(1, 50)), "quality": 0.9} for i in range(900)]
+    out = T.slate(spark.createDataFrame(rows, "period date, story_id string, family string, kind string, subject_id string, content_score double, quality double"))
+    assert [r["story_id"] for r in out.orderBy("position").collect()] == greedy(rows)
+
+
 def test_put_call_parity(spark):
     base = spark.createDataFrame([("u", 100.0, 0.3)], "subject_id string, spot double, volatility double")
     rows = O.option_grid(base, [0.8, 1.0, 1.3], [30, 365], 0.04, 0.01).collect()
