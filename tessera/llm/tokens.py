@@ -32,12 +32,23 @@ def _encoder(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encode_all(texts, path: str) -> Iterator[list[int]]:
     """The ids of each text as the vocabulary's own library gives them without added special tokens: a special string
     that stands in a text counts as one token. None counts as empty."""
     encoder = _encoder(path)
     for text in texts:
-        yield encoder.encode(text, allowed_special="all") if text else []
+        try:
+            ids = encoder.encode(text, allowed_special="all") if text else []
+        except ValueError:  # the fast encoder's pattern gives up on runs of about a million blanks
+            ids = _library(path).encode(text, add_special_tokens=False).ids
+        yield ids
 
 
 __all__ = ["VOCABULARY", "encode_all", "vocabulary_path"]

@@ -183,6 +183,14 @@ def test_packing(odd, group, monkeypatch):
     assert packing.pack(odd.where("false")).count() == 0
 
 
+def test_ids_of_unusual_texts():
+    from tessera.llm.tokens import encode_all, vocabulary_path
+
+    texts = ["", None, " " * 1_100_000 + "x", "a<|endoftext|>b", "\n\n  \t x\u00a0\u2003y \r\n", "it's I'LL 12\u00b2\u0663 \U0001f600\u0301 \u4e2d\u6587", "<|endoftext|><|endoftext"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(encode_all(texts, vocabulary_path())) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_counts(odd):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lengths = sorted(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
