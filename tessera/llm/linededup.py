@@ -93,7 +93,8 @@ class LineRuns:
         else:
             keys = keys.select("h1", "h2", F.col("first").alias("owner"), "last", F.lit(True).alias("is_new"))
         table = self._write(keys)
-        repeated = self.spark.table(table).where("NOT is_new OR last <> owner").select("h1", "h2", "owner")
+        # read as plain files: both sides are shuffled, so the rows of a very common line can be split over tasks
+        repeated = self.spark.read.parquet(self.scratch.path(table)).where("NOT is_new OR last <> owner").select("h1", "h2", "owner")
         lost = lines.join(repeated, ["h1", "h2"]).where("doc_id <> owner").groupBy("doc_id", "version").agg(F.collect_list("pos").alias("gone"))
         lost = self.scratch.keep(lost, f"lost-{part}")
         self._place(table, 0)
