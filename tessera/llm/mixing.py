@@ -68,8 +68,9 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("in_coarse") + F.col("in_source")).drop("fine", "coarse", "in_coarse", "in_source", "order")
 
 
-def _key(doc: str, version: str, source: str) -> list[Column]:
-    return [F.col(doc), F.col(version), F.col(source)]
+def _key(doc: str, version: str, source: str) -> Column:
+    """One value for an id, text and source, nulls included: window and join then share one shuffle of the texts."""
+    return F.md5(F.to_json(F.struct(F.col(doc).cast("string").alias("d"), F.col(version).alias("v"), F.col(source).cast("string").alias("s"))))
 
 
 def due(place: Column, target: Column, tilt: float) -> Column:
@@ -102,11 +103,10 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, most: int = MOST, wei
     plan = plan.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("source").alias("_source"), F.col("size").alias("_whole"), F.col("source_size").alias("_total"), F.col("target").alias("_target"), F.col("place").alias("_place"), F.posexplode("passes").alias("_pass", "_taken"))
     plan = plan.where("_taken > 0").withColumn("_position", due((F.col("_place") + F.col("_pass") * F.col("_total")).cast("double"), F.col("_target"), tilt))
     # the n-th row of one id, text and source takes the n-th plan row
-    plan = plan.withColumn("_nth", F.dense_rank().over(Window.partitionBy(*_key("_doc", "_version", "_source")).orderBy("_place"))).drop("_total", "_target", "_place", "_pass")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy(*_key("doc_id", "_hash", "source")).orderBy(F.lit(0))))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(plan, same & (F.col("_nth_row") == F.col("_nth")))
+    plan = plan.withColumn("_same", _key("_doc", "_version", "_source")).withColumn("_nth", F.dense_rank().over(Window.partitionBy("_same").orderBy("_place"))).drop("_doc", "_version", "_source", "_total", "_target", "_place", "_pass")
+    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_row_key", _key("doc_id", "_hash", "source")).drop("_hash")
+    rows = rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(0))))
+    rows = rows.join(plan, F.col("_row_key") == F.col("_same")).where("_nth_row = _nth")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), "")
     rows = rows.withColumn("_part", F.col("_taken") < F.col("_whole")).withColumn("text", F.when(F.col("_part"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
