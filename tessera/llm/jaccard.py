@@ -102,7 +102,7 @@ def _postings(threshold: int, frequent):
                     at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
                     is_hot = hot[at] == values
                     order = np.lexsort((values, np.where(is_hot, rank[at], 0)))[:keep]
-                    star = np.where(is_hot, int(doc) % salts[at], 0)[order]
+                    star = np.where(is_hot & (salts[at] > 1), int(doc) % salts[at] + 1, 0)[order]  # 0 only if the key has one star
                     values, size = values[order], len(values)
                 else:
                     values, size, star = values[:keep], len(values), star[:keep]
@@ -282,7 +282,8 @@ class _Join:
         frequent = self.spark.sparkContext.broadcast((values[order], docs[order], docs[order] // STAR_ROWS + 1))
         posted = self.texts.select("node", "text").mapInArrow(_postings(self.threshold, frequent), "key long, node long, n int, place int, star int")
         tile = Window.partitionBy("key", "star")
-        # a shingle of one document makes no tile; equal sets of other batches fall onto their class here
+        # a shingle of one document makes no tile, but a star of one document does: its key's other documents are in other stars;
+        # equal sets of other batches fall onto their class here
         met = posted.withColumn("rows", F.count("*").over(tile)).withColumn("leader", F.min("node").over(tile)).where("rows > 1 or star > 0")
         classes = self.nodes.select("node", "class")
         met = met.join(classes, "node").withColumnRenamed("class", "own").join(classes.select(F.col("node").alias("leader"), F.col("class").alias("lead")), "leader")

@@ -93,6 +93,21 @@ def test_jaccard_in_small_tiles(docs, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts_of(docs)).items()}
 
 
+def test_jaccard_pairs_of_a_very_common_passage(spark, monkeypatch):
+    """Two near copies that consist mostly of a passage which many long documents hold: their prefix keys have many stars."""
+    for name, value in (("STAR_ROWS", 2), ("HOT_COUNT", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = []
+    for p in range(20):
+        passage = " ".join(f"p{p}w{k}" for k in range(40))
+        rows += [(100 * p + i, f"{passage} at{i}") for i in range(2)]
+        rows += [(100 * p + i, passage + " " + " ".join(f"d{p}x{i}y{k}" for k in range(200))) for i in range(10, 22)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame).collect()}
+    assert got == brute_components(dict(rows))
+    assert all(got[100 * p + 1][1] == 100 * p for p in range(20))
+
+
 def test_jaccard_odd_rows(odd):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == odd.count() and jaccard.jaccard_components(odd.where("false")).count() == 0
