@@ -230,6 +230,22 @@ def test_mixing(docs):
     assert due == sorted(due) and 0 <= due[0] and due[-1] <= 1
 
 
+def test_mixing_schedules_differ(spark):
+    """Sources with different schedules: the mix of early positions is not that of late ones, and every position inverts its own source's demand."""
+    rows = [(i, " ".join(["w"] * (3 + i % 5)), "abc"[i % 3]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, tilt = [r for r in mixing.mix_plan(frame).collect() if r["taken"] > 0], dict(zip("abc", mixing.TILTS))
+    for r in plan:
+        t, k = r["position"], tilt[r["source"]]
+        assert r["tilt"] == k and r["target"] * ((1 - k) * t + k * t * t) == pytest.approx(r["place"], abs=1e-6)
+    mixed = [r["source"] for r in mixing.mixed_documents(frame).collect()]
+    third = len(mixed) // 3
+    early, late = Counter(mixed[:third]), Counter(mixed[-third:])
+    assert late["a"] > 1.2 * early["a"] and early["b"] > 1.2 * late["b"]
+    ends = mixing.mix_plan(frame, tilts=(1.0, -1.0, 0.0)).where("taken > 0").collect()
+    assert all(0 <= r["position"] <= 1 for r in ends) and [r["position"] for r in ends] == sorted(r["position"] for r in ends)
+
+
 def test_mixed_documents(odd):
     mixed, taken = mixing.mixed_documents(odd), sum(r["taken"] for r in mixing.mix_plan(odd).collect())
     assert mixed.columns == odd.columns
