@@ -6,8 +6,8 @@ probabilistic automaton. Every other token of credential shape in every text is
 symbol under an automaton, less that under a letter-pair model of ordinary tokens. Tokens that gain MARGIN and as much as all
 but a twentieth of the kind's own labelled values, less SLACK, become spans `like_<kind>`.
 
-Only the fit is bounded: it uses the documents whose id hash falls into a share of the corpus that holds about
-`fit_documents` of them, and at most `fit_values` different values per kind and ordinary tokens, by smallest hash. The scan reads every text whole.
+Only the fit's labelled values are bounded: of those of all documents at most `fit_values` different ones per kind, by smallest
+hash. Letter pairs of ordinary tokens are counted over all texts. The scan reads every text whole.
 
 Defined cases: null text is empty. Kinds without labelled values add no spans. Repeated rows give repeated results. Extra
 columns are ignored.
@@ -22,14 +22,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.staging import Scratch
+
 # fixed values: the base patterns by kind, in their order, and the least length of what they must find
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
+ORDINARY = "ordinary"
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
@@ -180,37 +184,56 @@ class Grammar:
         return max(likely, key=lambda kind: gains[kind]) if likely else None
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled values and ordinary words of a batch, each once. What has itself the shape of a candidate is no example of
-    an ordinary word."""
-    for batch in batches:
-        out = set()
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            out |= {(KINDS[k], value) for _, _, k, value in spans}
-            rest, at = [], 0
-            for start, end, _, _ in spans:
-                rest.append(text[at:start])
-                at = max(at, end)
-            out |= {("ordinary", word) for part in [*rest, text[at:]] for word in WORDS.findall(part) if not any(candidates(word, []))}
-        rows = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
-
-
-def fit(docs: DataFrame, fit_documents: int = 20_000, fit_values: int = 600) -> Grammar:
-    share = min(1.0, fit_documents / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = chosen.select("text").mapInArrow(_values, "kind string, value string").distinct()
-    values = {}
-    for kind, most in [*((k, fit_values) for k in KINDS), ("ordinary", 20 * fit_values)]:
-        values[kind] = [r["value"] for r in found.where(F.col("kind") == kind).orderBy(F.md5("value")).limit(most).collect()]
-    pairs, firsts = Counter(), Counter()
-    for token in values["ordinary"]:
-        chain = f" {token} "
-        pairs.update(chain[i : i + 2] for i in range(len(chain) - 1))
-        firsts.update(chain[:-1])
-    grammar = Grammar({k: infer(values[k]) for k in KINDS if values[k]}, Ordinary(dict(pairs), dict(firsts)), {})
+def _is_candidate(word: str) -> bool:
+    """A word of WORDS that is a token of credential shape."""
+    return len(word) >= 12 and not word.isalpha() and any(c.isalpha() for c in word) and any(c.isdigit() for c in word)
+
+
+def _counts(most: int):
+    """Of a task's texts: the `most` labelled values of smallest hash of each kind, and how often each letter pair stands in
+    ordinary words. What has itself the shape of a candidate is no example of an ordinary word."""
+
+    def smallest(values: dict[str, str]) -> dict[str, str]:
+        return dict(sorted(values.items(), key=lambda x: (x[1], x[0]))[:most])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labelled: dict[str, dict[str, str]] = {kind: {} for kind in KINDS}
+        pairs = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                rest, at = [], 0
+                for start, end, k, value in base_spans(text):
+                    rest.append(text[at:start])
+                    at = max(at, end)
+                    if value not in labelled[KINDS[k]]:
+                        labelled[KINDS[k]][value] = hashlib.md5(value.encode()).hexdigest()
+                        if len(labelled[KINDS[k]]) > 8 * most:
+                            labelled[KINDS[k]] = smallest(labelled[KINDS[k]])
+                words = [word for part in [*rest, text[at:]] for word in WORDS.findall(part) if not _is_candidate(word)]
+                if words:
+                    chain = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8).astype(np.uint16)
+                    found, times = np.unique((chain[:-1] << 8) | chain[1:], return_counts=True)
+                    pairs[found] += times
+        rows = [(kind, value, 1) for kind in KINDS for value in smallest(labelled[kind])]
+        rows += [(ORDINARY, chr(code >> 8) + chr(code & 255), int(pairs[code])) for code in np.flatnonzero(pairs).tolist()]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["kind", "value", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, fit_values: int = 600) -> Grammar:
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found = docs.select("text").mapInArrow(_counts(fit_values), "kind string, value string, n long")
+    found = scratch.keep(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "counts")
+    pairs = {r["value"]: r["n"] for r in found.where(F.col("kind") == ORDINARY).collect()}
+    values = {kind: [r["value"] for r in found.where(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(fit_values).collect()] for kind in KINDS}
+    scratch.drop("counts")
+    firsts: Counter = Counter()
+    for pair, n in pairs.items():
+        firsts[pair[0]] += n
+    grammar = Grammar({k: infer(values[k]) for k in KINDS if values[k]}, Ordinary(pairs, dict(firsts)), {})
     for kind in grammar.kinds:
         gains = sorted(grammar.gain(kind, v) for v in values[kind])
         grammar.levels[kind] = max(MARGIN, gains[len(gains) // 20] - SLACK)
@@ -239,5 +262,5 @@ def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _RESULT)
 
 
-def find_secrets(docs: DataFrame, fit_documents: int = 20_000, fit_values: int = 600) -> DataFrame:
-    return scan(docs, fit(docs, fit_documents, fit_values))
+def find_secrets(docs: DataFrame, fit_values: int = 600) -> DataFrame:
+    return scan(docs, fit(docs, fit_values))

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import ann, fingerprint, jaccard, linededup, mixing, packing, quality, secrets, tokencount, warc
@@ -364,6 +365,23 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame.where("false")).count() == 0
 
 
+def test_secrets_of_few_documents(spark):
+    """The fit sees every labelled value and every ordinary word of a table, however few documents hold them."""
+    rng = random.Random(11)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    rows = spark.range(40_000).select("id", F.concat(F.lit("some ordinary words of document "), F.col("id").cast("string")).alias("text"))
+    keys = [key() for _ in range(6)]
+    few = spark.createDataFrame([(50_000 + i, f"the key is {k} here") for i, k in enumerate(keys)], "id long, text string")
+    docs = rows.union(few).withColumnRenamed("id", "doc_id").repartition(4, "doc_id")
+    grammar = secrets.fit(docs)
+    want = secrets.infer(sorted(keys, key=lambda k: hashlib.md5(k.encode()).hexdigest()))
+    assert grammar.kinds == {"access": want}
+    assert grammar.ordinary.pairs["rd"] == 80_000 and grammar.ordinary.pairs["oc"] == 40_000 and "ke" not in grammar.ordinary.pairs
+    assert grammar.ordinary.firsts["d"] == sum(n for pair, n in grammar.ordinary.pairs.items() if pair[0] == "d")
+    one = secrets.fit(docs, fit_values=2)
+    assert one.kinds == {"access": secrets.infer(sorted(keys, key=lambda k: hashlib.md5(k.encode()).hexdigest())[:2])}
+
+
 def test_inferred_automaton_generalises():
     rng = random.Random(1)
     automaton = secrets.infer(["K-" + "".join(rng.choice("01") for _ in range(rng.randrange(6, 12))) for _ in range(400)])
