@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import normal
@@ -120,11 +122,15 @@ def hypothetical_spread(mid: Column, intrinsic: Column, liquidity: Column, confi
     return {"bid": bid, "ask": F.greatest(mid + half, bid)}
 
 
-def bootstrap_profit(series: DataFrame, base: DataFrame, horizon_years: float, paths: int, seed: int) -> DataFrame:
-    """Share of resampled paths with a positive profit.
+BOOTSTRAP_BLOCK = 250  # paths that one row draws
+
+
+def bootstrap_profit(series: DataFrame, base: DataFrame, horizon_years: float, paths: int, seed: int, strategies: Sequence[str] = ("long_call",)) -> DataFrame:
+    """Share of resampled paths with a positive profit, per subject and strategy.
 
-    Draws are a hash of (seed, subject, path, step), so every retry of a task repeats them. Each subject carries its own
-    short return list, so drawing needs no join and paths spread over the cluster.
+    Draws are a hash of (seed, subject, path, step), so every retry of a task repeats them, and all strategies see the same
+    paths. Each subject carries its own short return list, so drawing needs no join; a row draws a block of paths, and blocks
+    spread over the cluster.
     """
     w = S.over("subject_id")
     r = series.filter("value > 0").withColumns({"r": F.ln(ratio("value", F.lag("value").over(w))), "gap": F.datediff("date", F.lag("date").over(w))})
@@ -132,9 +138,15 @@ def bootstrap_profit(series: DataFrame, base: DataFrame, horizon_years: float, p
         F.transform(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("date", "r")))), lambda x: x["r"]).alias("rs"),
         F.percentile("gap", F.lit(0.5)).alias("gap")).filter(F.size("rs") >= 8)
     lists = lists.withColumn("steps", F.greatest(F.lit(1), F.round(horizon_years * 365.25 / F.col("gap")).cast("int"))).join(base, "subject_id")
-    walks = lists.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
-    draw = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: F.element_at(
-        F.col("rs"), (F.pmod(F.xxhash64(F.lit(seed), F.col("subject_id"), F.col("path"), i), F.size("rs").cast("bigint")) + 1).cast("int")))
-    total = F.aggregate(draw, F.lit(0.0), lambda a, x: a + x)
-    profit = strategy_profit(F.lit("long_call"), F.col("spot") * F.exp(total), F.col("spot"), F.col("strike"), F.col("premium"))
-    return walks.groupBy("subject_id").agg(F.avg(F.when(profit > 0, 1.0).otherwise(0.0)).alias("probability_of_profit"), F.count(F.lit(1)).alias("paths"))
+    blocks = lists.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(paths), F.lit(BOOTSTRAP_BLOCK)))).repartition("subject_id", "first")
+
+    def total(path: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.col("steps")), F.lit(0.0), lambda a, i: a + F.element_at(
+            F.col("rs"), (F.pmod(F.xxhash64(F.lit(seed), F.col("subject_id"), path, i), F.size("rs").cast("bigint")) + 1).cast("int")))
+
+    last = F.least(F.col("first") + (BOOTSTRAP_BLOCK - 1), F.lit(paths))
+    ends = blocks.select("subject_id", "spot", "strike", "premium", F.explode(F.transform(F.sequence("first", last), lambda p: F.col("spot") * F.exp(total(p)))).alias("terminal"))
+    wins = [F.avg(F.when(strategy_profit(F.lit(x), F.col("terminal"), F.col("spot"), F.col("strike"), F.col("premium")) > 0, 1.0).otherwise(0.0)).alias(x) for x in strategies]
+    rows = ends.groupBy("subject_id").agg(*wins, F.count(F.lit(1)).alias("paths"))
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("probability_of_profit")) for x in strategies]))
+    return rows.select("subject_id", each.alias("each"), "paths").select("subject_id", "each.strategy", "each.probability_of_profit", "paths")

@@ -560,5 +560,5 @@ def _(m):
 def _(m):
     s = option_series(m)
     base = O.underlyings(s).filter("eligible").select("subject_id", "spot", (F.col("spot") * 1.02).alias("strike"), (F.col("spot") * 0.01).alias("premium"))
-    return rounded(O.bootstrap_profit(s, base, 1.0, 200, 42))
+    return rounded(O.bootstrap_profit(s, base, 1.0, 5_000, 42, O.STRATEGIES))
 

@@ -178,6 +178,26 @@ def test_bootstrap_repeats(spark):
     assert one == two and 0 < one < 1
 
 
+def test_bootstrap_strategies_by_brute_force(spark):
+    """All registered strategies over the same drawn paths, in blocks of which the last is not full."""
+    start, base, paths = dt.date(2020, 1, 1), [("u", 100.0, 101.3, 1.1), ("v", 50.0, 45.0, 2.0)], 610
+    values = {s: [100.0 * (1 + 0.02 * k) ** (i % 3) + i for i in range(12)] for k, s in enumerate("uv", 1)}
+    rows = [(s, start + dt.timedelta(days=90 * i), v) for s in values for i, v in enumerate(values[s])]
+    series = spark.createDataFrame(rows, "subject_id string, date date, value double")
+    frame = spark.createDataFrame(base, "subject_id string, spot double, strike double, premium double")
+    got = {(r["subject_id"], r["strategy"]): (r["probability_of_profit"], r["paths"]) for r in O.bootstrap_profit(series, frame, 1.0, paths, 5, O.STRATEGIES).collect()}
+    steps = spark.createDataFrame([(s, p, i) for s in values for p in range(1, paths + 1) for i in range(1, 5)], "s string, p int, i int")
+    draws = {(r["s"], r["p"], r["i"]): r["h"] % 11 for r in steps.withColumn("h", F.xxhash64(F.lit(5), "s", "p", "i")).collect()}
+    want = {}
+    for s, spot, strike, premium in base:
+        returns = np.diff(np.log(values[s]))
+        ends = [spot * np.exp(sum(returns[draws[s, p, i]] for i in range(1, 5))) for p in range(1, paths + 1)]
+        gains = {"long_call": lambda x: max(x - strike, 0) - premium, "long_put": lambda x: max(strike - x, 0) - premium,
+                 "covered_call": lambda x: x - spot + premium - max(x - strike, 0), "protective_put": lambda x: x - spot - premium + max(strike - x, 0)}
+        want |= {(s, name): (pytest.approx(np.mean([gain(x) > 0 for x in ends])), paths) for name, gain in gains.items()}
+    assert got == want and {s for _, s in got} == set(O.STRATEGIES)
+
+
 def test_distributed_rank_equals_window_rank(spark):
     from pyspark.sql import Window
 
