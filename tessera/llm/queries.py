@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.ann import nearest
+from tessera.llm.bpe import round_trip_digests
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.linededup import line_digests
@@ -120,3 +121,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_table(spark, sf_dir, "documents"))
