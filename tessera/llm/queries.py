@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm.ann import nearest
 from tessera.llm.bpe import round_trip_digests
 from tessera.llm.fingerprint import fingerprints
+from tessera.llm.fptree import best_documents
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.linededup import line_digests
 from tessera.llm.mixing import mix_plan
 from tessera.llm.packing import pack
+from tessera.llm.prefixtrie import trie_nodes
 from tessera.llm.quality import score_documents
 from tessera.llm.secrets import find_secrets
 from tessera.llm.tokencount import token_counts
@@ -126,3 +128,69 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = """
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), bytes),
+turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], t.turns[c.h + 1:]) AS turns
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id LEFT JOIN turns b ON b.conv_id = c.base),
+prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS node, turns[1:d - 1] AS parent, len(turns) AS size,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].text, '[^\\x20\\x09-\\x0D]+')) END AS words
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, any_value(CASE WHEN depth > 0 THEN parent END) AS parent, count(*) AS n_convs, max(size) AS longest, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, node),
+kids AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+under AS (
+  SELECT node AS below, node AS top, depth FROM nodes
+  UNION ALL SELECT u.below, n.parent, n.depth - 1 FROM under u JOIN nodes n ON n.node = u.top WHERE n.depth > 0),
+sums AS (
+  SELECT u.top, count(*) FILTER (WHERE n.longest = n.depth) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM under u JOIN nodes n ON n.node = u.below GROUP BY u.top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.node LEFT JOIN kids k ON k.parent = n.node LEFT JOIN nodes p ON p.node = n.parent
+"""
+
+
+@_query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(_table(spark, sf_dir, "conversations")).drop("ref_conv", "ref_turn")
+
+
+RANK_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM rows WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+items AS (
+  SELECT row_number() OVER () AS item, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM items GROUP BY item, item_id, term),
+tf AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weighed AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(t.docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals t GROUP BY term),
+scored AS (
+  SELECT a.item, a.item_id, d.row, d.doc_id, CAST(sum(a.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * d.n * t.docs) // t.terms)))) AS BIGINT) AS score
+  FROM asked a JOIN tf f USING (term) JOIN weighed w USING (term) JOIN docs d ON d.row = f.row, totals t GROUP BY a.item, a.item_id, d.row, d.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+
+@_query("op12_ranked_search", RANK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
