@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.columns import blank_to_null, change, clip, falsy_or, first_nonblank, fold_text, ratio, rule_names
 from tessera.operators.quantiles import exact_quantiles
+from tessera.session import staged
 
 # Weights of matching attributes, year bonus by distance, and the score that counts as a match.
 MATCH_WEIGHTS = {"brand": 0.25, "model": 0.25, "size": 0.15, "material": 0.15, "color": 0.08, "hardware": 0.07}
@@ -37,85 +39,111 @@ def _patterns() -> list[tuple[str, ...]]:
 
 
 FIELD_BIT = {f: 1 << i for i, f in enumerate(MATCH_WEIGHTS)}
-ANY_YEAR, NO_YEAR = -1, -2
+ATTRIBUTES = [f"_{f}" for f in MATCH_WEIGHTS]
+# the hash comes first only to make sorting cheap; mask and values keep the key exact
+KEY = ["hash", "mask", "values"]
+#: Attribute sets matched together, heaviest first; what is left is the last round.
+ROUND_SETS = (3, 8, 16)
 
 
-def _keys() -> Column:
-    """One lookup key `(mask, values)` per pattern whose attributes are all present."""
-    keys = []
-    for fields in _patterns():
-        present = F.lit(True)
-        for f in fields:
-            present = present & F.col(f"_{f}").isNotNull()
-        mask = sum(FIELD_BIT[f] for f in fields)
-        keys.append(F.when(present, F.struct(F.lit(mask).alias("mask"), F.concat_ws("|", *[F.col(f"_{f}") for f in fields]).alias("values"))))
-    return F.array_compact(F.array(*keys))
+def _weight(fields: tuple[str, ...]) -> float:
+    return sum(MATCH_WEIGHTS[f] for f in fields)
 
 
-# the hash comes first only to make sorting cheap; mask and values keep the key exact
-KEY = ["hash", "mask", "values"]
+def lattice_rounds() -> list[list[tuple[str, ...]]]:
+    """The attribute sets in falling order of weight, cut into rounds. A set always comes after the sets that contain it."""
+    sets, out = sorted(_patterns(), key=lambda s: (-round(_weight(s), 9), s)), []
+    for n in ROUND_SETS:
+        out.append(sets[:n])
+        sets = sets[n:]
+    return [r for r in [*out, sets] if r]
 
 
-def with_keys(df: DataFrame, *columns: str) -> DataFrame:
-    flat = df.select(*columns, F.explode(_keys()).alias("_key")).select(*columns, "_key.mask", "_key.values")
+def with_keys(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """One row per attribute set of which a row has every attribute, with the lookup key (hash, mask, values)."""
+    keys = []
+    for fields in sets:
+        present = reduce(Column.__and__, [F.col(f"_{f}").isNotNull() for f in fields])
+        keys.append(F.when(present, F.struct(F.lit(sum(FIELD_BIT[f] for f in fields)).alias("mask"), F.concat_ws("|", *[F.concat(F.char_length(f"_{f}"), F.lit(":"), F.col(f"_{f}")) for f in fields]).alias("values"))))
+    flat = df.select("*", F.explode(F.array_compact(F.array(*keys))).alias("_key")).select(*df.columns, "_key.mask", "_key.values")
     return flat.withColumn("hash", F.xxhash64("mask", "values"))
 
 
-def short_lists(comps: DataFrame, years: DataFrame) -> DataFrame:
-    """For every key the sales that can still be among somebody's best: `(mask, values, slot, sale columns)`.
+def normal_attribute(df: DataFrame, field: str) -> Column:
+    """An attribute as compared: folded text, a whole number without its ".0", blank as missing."""
+    value = F.col(field)
+    if df.schema[field].dataType.typeName() in ("double", "float"):
+        value = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return blank_to_null(F.regexp_replace(fold_text(value.cast("string")), r"^(\d+)\.0$", "$1"))
+
 
-    Sales that agree in all attributes and the year score alike for everybody, so of those only the best by price and id go
-    on to be keyed at all. Then the best sales of each key and sale year are taken. A key that then has few sales keeps them all in the slot ANY_YEAR;
-    a longer one gets a list per asset year, ordered by year bonus, price and id.
+def _lists(sales: DataFrame, wanted: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """The best sales of every wanted (key, asset year): by year bonus, price and id, at most TOP_COMPS each.
+
+    Only keys somebody asks for go on. Of a key, at most TOP_COMPS sales per sale year can be in any list, which is decided before the rows
+    meet, so a hot key costs a short list per year.
     """
     price = F.col("realized_price_usd").desc()
-    alike = Window.partitionBy(*[f"_{f}" for f in MATCH_WEIGHTS], "comp_year").orderBy(price, "comp_id")
-    comps = comps.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).drop("_k")
-    rows = with_keys(comps, *comps.columns)
-    per_year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
-    rows = rows.withColumn("_k", per_year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
-    few = F.col("_n") <= TOP_COMPS
-    short = rows.filter(few).withColumn("slot", F.lit(ANY_YEAR)).drop("_n")
-    long = rows.filter(~few).drop("_n").join(years).withColumn("slot", F.explode("_slots")).drop("_slots")
-    bonus = F.coalesce(F.when(F.col("slot") != NO_YEAR, year_bonus(F.abs(F.col("slot") - F.col("comp_year")))), F.lit(0.0))
-    best = F.row_number().over(Window.partitionBy(*KEY, "slot").orderBy(bonus.desc(), price, "comp_id"))
-    return short.unionByName(long.withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k"))
+    keyed = with_keys(sales, sets).join(wanted.select(KEY).distinct(), KEY, "left_semi")
+    year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
+    keyed = keyed.withColumn("_k", year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
+    bonus = F.coalesce(year_bonus(F.abs(F.col("year") - F.col("comp_year"))), F.lit(0.0))
+    best = F.row_number().over(Window.partitionBy(*KEY, "year").orderBy(bonus.desc(), price, "comp_id"))
+    met = keyed.join(wanted, KEY).withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k")
+    return met.withColumnsRenamed({x: f"c{x}" for x in ATTRIBUTES})
 
 
-def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The best comparable sales of each asset by weighted attribute match.
-
-    No pair of an asset and a sale is built unless it can be among the asset's best. For every set of attributes, the
-    sales that share its values are ranked and only the best survive. A sale missing from the list of the attribute set it
-    shares with an asset is beaten by a full list of sales that match at least as well, so the result is exact; and each
-    pair is taken from that list only, so nothing has to be de-duplicated. Work grows with assets + sales; a hot brand
-    costs one short list, pruned before the shuffle.
-    """
-    attrs = [f"_{f}" for f in MATCH_WEIGHTS]
-
-    def normal(df: DataFrame, *columns) -> DataFrame:
-        return df.select(*columns, *[blank_to_null(fold_text(F.col(f).cast("string"))).alias(f"_{f}") for f in MATCH_WEIGHTS])
-
-    a = normal(assets, "asset_id", "year")
-    c = normal(comps.filter("realized_price_usd IS NOT NULL"), "comp_id", "realized_price_usd", "sale_date", F.col("year").alias("comp_year"))
-    span = a.agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"), F.max(F.col("year").isNull()).alias("_none"))
-    known = F.when(F.col("_y0").isNotNull(), F.sequence("_y0", "_y1")).otherwise(F.array().cast("array<int>"))
-    years = span.select(F.when(F.col("_none"), F.concat(known, F.array(F.lit(NO_YEAR)))).otherwise(known).alias("_slots"))
-    lists = short_lists(c, years).withColumnsRenamed({x: f"c{x}" for x in attrs})
-    asked = with_keys(a, "asset_id", "year", *attrs)
-    asked = asked.withColumn("slot", F.explode(F.array(F.lit(ANY_YEAR), F.coalesce("year", F.lit(NO_YEAR)))))
+def _scored(hits: DataFrame) -> DataFrame:
+    """Score and matched fields of pairs that meet in the list of exactly the attributes they share, so each pair once."""
     same = {f: F.coalesce(F.col(f"_{f}") == F.col(f"c_{f}"), F.lit(False)) for f in MATCH_WEIGHTS}
     matched = sum((F.when(same[f], FIELD_BIT[f]).otherwise(0) for f in MATCH_WEIGHTS), F.lit(0))
-    hits = asked.join(lists, [*KEY, "slot"]).filter(matched == F.col("mask"))
     score = sum((F.when(same[f], w).otherwise(0.0) for f, w in MATCH_WEIGHTS.items()), F.lit(0.0))
     gap = F.abs(F.col("year") - F.col("comp_year"))
     fields = F.concat_ws(", ", *[F.when(same[f], f) for f in MATCH_WEIGHTS], F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near"))
-    scored = hits.select(
-        "asset_id", "comp_id", F.round(F.least(F.lit(1.0), score + F.coalesce(year_bonus(gap), F.lit(0.0))), 4).alias("similarity_score"),
+    return hits.filter(matched == F.col("mask")).select(
+        "profile", "comp_id", F.round(F.least(F.lit(1.0), score + F.coalesce(year_bonus(gap), F.lit(0.0))), 4).alias("similarity_score"),
         fields.alias("matched_fields"), "realized_price_usd", "sale_date").filter(F.col("similarity_score") >= MIN_SCORE)
-    order = Window.partitionBy("asset_id").orderBy(F.desc("similarity_score"), F.desc("realized_price_usd"), "comp_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= TOP_COMPS)
+
+
+def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The best comparable sales of each asset by weighted attribute match: a rank join over the lattice of attribute sets.
+
+    Assets that agree in all attributes and the year are one profile and matched once; of sales that agree so, only the best by price and
+    id can matter. The attribute sets are visited in falling order of weight, in rounds. In a round the sales that share a set's
+    values with an open profile form short sorted lists. A sale missing from the list of the set it shares with a profile is beaten by
+    a full list of sales that match at least as well, so lists suffice. A profile closes when its TOP_COMPS-th score is above what any
+    set still to come can reach with the best year bonus; only open profiles ask in later rounds, and only keys that are asked
+    for are looked up. The result is exact, and no pair is built that cannot be among a profile's best of its round.
+
+    Rounds end in written tables: the next round's size follows from what is still open. A missing or zero year gives no bonus.
+    """
+    a = assets.select("asset_id", F.nullif(F.col("year"), F.lit(0)).alias("year"), *[normal_attribute(assets, f).alias(f"_{f}") for f in MATCH_WEIGHTS])
+    a = a.withColumn("_same", F.struct(*ATTRIBUTES, "year"))
+    profiles = a.groupBy("_same").agg(F.min("asset_id").alias("profile")).select("profile", "_same", "_same.*")
+    profiles = staged(profiles)
+
+    sales = comps.filter("realized_price_usd IS NOT NULL").select(
+        "comp_id", "realized_price_usd", "sale_date", F.nullif(F.col("year"), F.lit(0)).alias("comp_year"), *[normal_attribute(comps, f).alias(f"_{f}") for f in MATCH_WEIGHTS])
+    alike = Window.partitionBy(*ATTRIBUTES, "comp_year").orderBy(F.desc("realized_price_usd"), "comp_id")
+    sales = staged(sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).drop("_k"))
+
+    order = Window.partitionBy("profile").orderBy(F.desc("similarity_score"), F.desc("realized_price_usd"), "comp_id")
+    open_, found, rounds = profiles.drop("_same"), None, lattice_rounds()
+    for number, sets in enumerate(rounds):
+        asked = with_keys(open_, sets)
+        lists = _lists(sales, asked.select(*KEY, "year").distinct(), sets).withColumnRenamed("year", "_year")
+        met = asked.join(lists.withColumnsRenamed({k: f"c{k}" for k in KEY}), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
+        hits = _scored(met.drop("_year", *[f"c{k}" for k in KEY]))
+        ranked = (hits if found is None else hits.unionByName(found.drop("rank"))).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= TOP_COMPS)
+        found = staged(ranked)
+        if number + 1 < len(rounds):
+            reachable = max(map(_weight, rounds[number + 1])) + YEAR_BONUS
+            closed = found.filter((F.col("rank") == TOP_COMPS) & (F.col("similarity_score") > reachable + 1e-9)).select("profile")
+            open_ = staged(open_.join(closed, "profile", "left_anti"))
+            if open_.isEmpty():
+                break
+    members = a.select("asset_id", "_same").join(profiles.select("profile", "_same"), "_same").select("asset_id", "profile")
+    return members.join(found, "profile").select("asset_id", "comp_id", "similarity_score", "matched_fields", "realized_price_usd", "sale_date", "rank")
 
 
 def recency_weight(age_days: Column) -> Column:

@@ -70,6 +70,23 @@ def test_similarity_join_equals_brute_force_on_skewed_brands(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_similarity_join_stops_when_all_lists_are_full(spark, monkeypatch):
+    """Assets with 20 full matches close after the first round; no later attribute set is looked up. Sizes meet as 30 and 30.0."""
+    asked, sound = [], V._lists
+    monkeypatch.setattr(V, "_lists", lambda sales, wanted, sets: asked.append(sets) or sound(sales, wanted, sets))
+    attrs = "brand string, model string, size {}, material string, color string, hardware string, year int"
+    a = spark.createDataFrame([(f"a{i}", "B|x", "m", "30", "t", "r", "A", 1999) for i in range(3)], "asset_id string, " + attrs.format("string"))
+    sales = [(f"c{i:02d}", "b|X ", "M", 30.0, "t", "r", "A", 1999, float(i), dt.date(2020, 1, 1)) for i in range(30)]
+    sales += [(f"d{i:02d}", "b", "x|m", 30.0, "t", "r", "A", 1999, 999.0, dt.date(2020, 1, 1)) for i in range(30)]
+    c = spark.createDataFrame(sales, "comp_id string, " + attrs.format("double") + ", realized_price_usd double, sale_date date")
+    rows = V.similarity_join(a, c).collect()
+    assert len(asked) == 1 and len(rows) == 60 and {r["similarity_score"] for r in rows} == {1.0}
+    assert {r["comp_id"] for r in rows} == {f"c{i:02d}" for i in range(10, 30)}
+    asked.clear()
+    assert V.similarity_join(a.withColumn("size", F.lit("31.0")), c).count() == 60 and len(asked) == 2
+    assert V.similarity_join(a.where("false"), c).count() == 0 == V.similarity_join(a, c.where("false")).count()
+
+
 def sequential_total_return(assets, prices, exits, dates, marks, weighting):
     """Unit accounting date by date for one universe."""
     units, cash, pending, path = {}, 100.0, {}, []
