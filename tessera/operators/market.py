@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.columns import any_of, change, falsy_or, first_nonblank, fold_text, ratio, rule_names
+from tessera.functions.columns import any_of, blank_to_null, change, falsy_or, first_nonblank, fold_text, ratio, rule_names
 from tessera.operators import series as S
 
 # Raw status spellings and their canonical state.
@@ -48,32 +48,78 @@ def is_production(columns: list[str], environment: Column | None = None) -> Colu
 
 # --- exits --------------------------------------------------------------------------------
 
+# For every field of an exit event the columns that may hold it, best first.
+EXIT_DATE_FIELDS = {
+    "exit_announcement_date": ["exit_announcement_date", "announcement_date", "sale_date"],
+    "last_trading_date": ["last_trading_date", "sale_date"],
+    "exit_valuation_date": ["exit_valuation_date", "valuation_date", "sale_date"],
+    "exit_effective_date": ["exit_effective_date", "effective_date", "sale_date"],
+    "settlement_date": ["settlement_date", "sale_date"],
+}
+EXIT_NUMBER_FIELDS = {
+    "exit_price_per_share": ["exit_price_per_share", "terminal_price", "payout_per_share"],
+    "exit_total_value": ["exit_total_value", "exit_value_total", "sale_price", "terminal_value"],
+    "shares_at_exit": ["shares_at_exit", "share_count", "shares"],
+    "last_observed_price_before_exit": ["last_observed_price_before_exit"],
+}
+EXIT_TEXT_FIELDS = {
+    "exit_type": ["exit_type", "type"], "exit_status": ["exit_status", "status"], "is_confirmed": ["is_confirmed"],
+    "payout_source": ["payout_source", "source_url", "source_reference"], "source_reference": ["source_reference", "source_url"],
+    "notes": ["notes"], "data_quality_flag": ["data_quality_flag"],
+}
+EXIT_STEPS = ["announced", "trading_ended", "pending_settlement", "settled"]
+
+
+def exit_dates(exits: DataFrame) -> dict[str, Column]:
+    """The authored dates of raw exit rows; a missing one is the sale date."""
+    return {name: _first_of(exits, sources, "date") for name, sources in EXIT_DATE_FIELDS.items()}
+
+
+def _first_of(df: DataFrame, names: list[str], kind: str) -> Column:
+    found = [blank_to_null(F.col(n).cast("string")).try_cast(kind) if df.schema[n].dataType.typeName() == "string" else F.col(n).cast(kind) for n in names if n in df.columns]
+    return F.coalesce(*found) if found else F.lit(None).cast(kind)
+
+
+def linked_exits(exits: DataFrame, assets: DataFrame) -> DataFrame:
+    """Exit rows with the asset their series name stands for where they name none."""
+    if "asset_id" not in exits.columns:
+        exits = exits.withColumn("asset_id", F.lit(None).cast(assets.schema["asset_id"].dataType))
+    own = F.col("asset_id")
+    if exits.schema["asset_id"].dataType.typeName() == "string":
+        own = F.when(~F.lower(F.trim(own)).isin("", "nan", "none", "<na>"), own)
+    if "series_name" not in exits.columns:
+        return exits.withColumn("asset_id", own)
+    tickers = assets.groupBy(F.trim(F.replace(F.upper("ticker"), F.lit("#"), F.lit(""))).alias("_ticker")).agg(F.min("asset_id").alias("_linked"))
+    series = F.trim(F.replace(F.regexp_replace(F.upper("series_name"), "SERIES", ""), F.lit("#"), F.lit("")))
+    rows = exits.withColumn("_series", F.when(own.isNull(), series)).join(tickers, F.col("_series") == F.col("_ticker"), "left")
+    return rows.withColumn("asset_id", F.coalesce(own, "_linked")).drop("_series", "_ticker", "_linked")
+
+
 def normalize_exits(exits: DataFrame, assets: DataFrame, prices: DataFrame) -> DataFrame:
-    """Canonical exit events with the terminal price hierarchy and exit returns.
+    """Canonical exit events, several per asset where several are known, with all authored dates, the terminal price hierarchy, and
+    premium, return and quality columns.
 
     Terminal price: confirmed per-share payout, else confirmed total over shares, else the last traded price on or
-    before the last trading date. One event per asset: the earliest that was not cancelled, else the earliest.
+    before the last trading date. `standing_exits` chooses the event that counts for an asset.
     """
-    kind = F.lower(F.coalesce("type", F.lit("other")))
+    rows = linked_exits(exits, assets)
+    text = {name: _first_of(rows, sources, "string") for name, sources in EXIT_TEXT_FIELDS.items()}
+    kind = F.lower(F.coalesce(text["exit_type"], F.lit("other")))
     kind = F.when(kind == "buyout_offer", "buyout").when(kind == "sale", "asset_sale").otherwise(kind)
-    state = F.lower(F.coalesce("status", F.lit("settled")))
-    e = exits.select(
-        "asset_id",
-        F.when(kind.isin(EXIT_TYPES), kind).otherwise("other").alias("exit_type"),
-        F.when(state.isin(EXIT_STATES), state).otherwise("unknown").alias("exit_status"),
-        F.col("sale_date").alias("exit_effective_date"), F.coalesce("settlement_date", "sale_date").alias("settlement_date"),
-        "exit_price_per_share", "exit_total_value")
-    standing = (F.col("exit_status") != "cancelled_exit").cast("int")
-    e = S.keep_last(e, ["asset_id"], [standing, -F.datediff("exit_effective_date", F.lit("1970-01-01").cast("date"))])
-    master = assets.select("asset_id", "ticker", "category", F.col("share_count").alias("shares_at_exit"), "offering_price_usd",
-                           "offering_date")
-    traded = (
-        prices.join(e.select("asset_id", "exit_effective_date"), "asset_id")
-        .filter("date <= exit_effective_date").groupBy("asset_id")
-        .agg(F.max_by("price", "date").alias("last_observed_price_before_exit"))
-    )
-    joined = e.join(master, "asset_id", "left").join(traded, "asset_id", "left")
-    confirmed = F.col("exit_status") != "cancelled_exit"
+    state = F.lower(F.coalesce(text["exit_status"], F.lit("settled")))
+    numbers = {name: _first_of(rows, sources, "double") for name, sources in EXIT_NUMBER_FIELDS.items()}
+    e = rows.select(
+        "asset_id", F.when(kind.isin(EXIT_TYPES), kind).otherwise("other").alias("exit_type"), F.when(state.isin(EXIT_STATES), state).otherwise("unknown").alias("exit_status"),
+        *[c.alias(name) for name, c in exit_dates(rows).items()], *[c.alias(f"_{name}" if name in ("shares_at_exit", "last_observed_price_before_exit") else name) for name, c in numbers.items()],
+        F.lower(F.coalesce(text["is_confirmed"], F.lit("true"))).isin("true", "1", "yes", "y").alias("_said"),
+        *[F.coalesce(text[name], F.lit("")).alias(name) for name in ("payout_source", "source_reference", "notes", "data_quality_flag")])
+    e = e.withColumn("_cutoff", F.coalesce("last_trading_date", "exit_effective_date"))
+    cutoffs = e.filter("asset_id IS NOT NULL AND _cutoff IS NOT NULL").select("asset_id", F.col("_cutoff").alias("date")).distinct()
+    traded = S.asof_backward(prices.filter("price > 0"), cutoffs, ["asset_id"], ["price"]).select("asset_id", F.col("date").alias("_cutoff"), F.col("price").alias("_traded"))
+    master = assets.select("asset_id", "ticker", "category", F.col("share_count").alias("_shares"), "offering_price_usd", "offering_date")
+    joined = e.join(master, "asset_id", "left").join(traded, ["asset_id", "_cutoff"], "left")
+    joined = joined.withColumn("shares_at_exit", F.coalesce("_shares_at_exit", "_shares")).withColumn("last_observed_price_before_exit", F.coalesce("_last_observed_price_before_exit", "_traded"))
+    confirmed = F.col("_said") & (F.col("exit_status") != "cancelled_exit")
     per_share = confirmed & (F.col("exit_price_per_share") > 0)
     from_total = confirmed & (F.col("exit_total_value") > 0) & (F.col("shares_at_exit") > 0)
     from_trade = confirmed & (F.col("last_observed_price_before_exit") > 0)
@@ -82,21 +128,64 @@ def normalize_exits(exits: DataFrame, assets: DataFrame, prices: DataFrame) -> D
                 .when(from_trade, F.col("last_observed_price_before_exit")))
     source = (F.when(per_share, "confirmed_per_share_payout").when(from_total, "confirmed_total_payout_divided_by_shares")
               .when(from_trade, "last_valid_secondary_market_price").otherwise("missing"))
+    fallback = F.col("terminal_price_source") == "last_valid_secondary_market_price"
     years = F.datediff("exit_effective_date", "offering_date") / 365.25
     return (
         joined.withColumn("is_confirmed", confirmed).withColumn("terminal_price", terminal)
         .withColumn("terminal_price_source", source)
-        .withColumn("terminal_price_quality", F.when(source == "missing", "blocking")
-                    .when(source == "last_valid_secondary_market_price", "fallback").otherwise("confirmed"))
+        .withColumn("terminal_price_quality", F.when(F.col("terminal_price_source") == "missing", "blocking").when(fallback, "fallback").otherwise("confirmed"))
+        .withColumn("data_quality_flag", F.when(fallback, F.concat("data_quality_flag", F.lit(";terminal_price_fallback_last_trade"))).otherwise(F.col("data_quality_flag")))
+        .withColumn("last_observed_market_cap_before_exit", F.col("last_observed_price_before_exit") * F.col("shares_at_exit"))
         .withColumn("terminal_value", F.col("terminal_price") * F.col("shares_at_exit"))
         .withColumn("terminal_return", change("terminal_price", "last_observed_price_before_exit"))
+        .withColumn("exit_premium_vs_last_trade", F.col("terminal_return"))
         .withColumn("exit_return_vs_offering", change("terminal_price", "offering_price_usd"))
         .withColumn("annualized_exit_return", F.when(years > 0, F.pow(1 + F.col("exit_return_vs_offering"), 1 / years) - 1))
+        .drop("_cutoff", "_shares", "_shares_at_exit", "_last_observed_price_before_exit", "_traded", "_said")
     )
 
 
+def standing_exits(events: DataFrame) -> DataFrame:
+    """The exit event that counts for each asset: the earliest that was not cancelled, else the earliest. Events of one day go by
+    settlement, type and price."""
+    day = F.datediff("exit_effective_date", F.lit("1970-01-01").cast("date"))
+    live = (F.col("exit_status") != "cancelled_exit").cast("int")
+    settled = F.datediff("settlement_date", F.lit("1970-01-01").cast("date"))
+    return S.keep_last(events.filter("asset_id IS NOT NULL"), ["asset_id"], [live, -day, -settled, "exit_type", "terminal_price"])
+
+
 def live_exits(events: DataFrame) -> DataFrame:
-    return events.filter("exit_status <> 'cancelled_exit' AND exit_effective_date IS NOT NULL")
+    """The exit that removes each asset, if one does."""
+    return standing_exits(events.filter("exit_status <> 'cancelled_exit' AND exit_effective_date IS NOT NULL"))
+
+
+def exit_states(events: DataFrame) -> DataFrame:
+    """State intervals of every asset with an exit event: asset_id, state, from_date, to_date (exclusive, null while it lasts).
+
+    Each event covers its steps from announcement to settlement; a cancelled one is announced until the day it would have taken effect.
+    Where events overlap the furthest step counts; where none holds the asset trades. One running count per step, so work is linear
+    in the events.
+    """
+    announced, ended, effective, settled = (F.col(c) for c in ("exit_announcement_date", "last_trading_date", "exit_effective_date", "settlement_date"))
+    bounds = {"announced": (announced, F.least(ended, effective)), "trading_ended": (F.least(ended, effective), effective), "pending_settlement": (effective, F.greatest(effective, settled)),
+              "settled": (F.greatest(effective, settled), F.lit(None).cast("date"))}
+    live = F.col("exit_status") != "cancelled_exit"
+    steps = []
+    for rank, step in enumerate(EXIT_STEPS):
+        start, end = bounds[step]
+        if step == "announced":
+            end = F.when(live, end).otherwise(effective)
+        held = start.isNotNull() & (end.isNull() | (start < end)) & (F.lit(True) if step == "announced" else live)
+        steps += [F.when(held, F.struct(start.alias("date"), F.lit(rank).alias("rank"), F.lit(1).alias("delta"))),
+                  F.when(held & end.isNotNull(), F.struct(end.alias("date"), F.lit(rank).alias("rank"), F.lit(-1).alias("delta")))]
+    moves = events.filter("asset_id IS NOT NULL AND exit_effective_date IS NOT NULL").select("asset_id", F.inline(F.array_compact(F.array(*steps))))
+    days = moves.groupBy("asset_id", "date").agg(*[F.sum(F.when(F.col("rank") == r, F.col("delta")).otherwise(0)).alias(f"_{r}") for r in range(len(EXIT_STEPS))])
+    w, running = S.over("asset_id"), S.over("asset_id").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.lit("trading")
+    for r, step in enumerate(EXIT_STEPS):
+        state = F.when(F.sum(f"_{r}").over(running) > 0, step).otherwise(state)
+    changes = days.select("asset_id", "date", state.alias("state")).withColumn("_before", F.lag("state").over(w)).filter("_before IS NULL OR _before <> state")
+    return changes.select("asset_id", "state", F.col("date").alias("from_date"), F.lead("date").over(w).alias("to_date"))
 
 
 # --- market-cap history -------------------------------------------------------------------

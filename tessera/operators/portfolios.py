@@ -147,8 +147,10 @@ def small_calendar(days: DataFrame) -> DataFrame:
 
 
 def known_dates(assets: DataFrame, observed: DataFrame, exits: DataFrame) -> DataFrame:
-    """Every date the inputs know: offerings, observations, and the events of exits."""
-    events = exits.select(F.explode(F.array("exit_effective_date", "settlement_date")).alias("date"))
+    """Every date the inputs know: offerings, observations, and of all exit events the announcement, the last trading, the effective and
+    the settlement date."""
+    named = [c for c in ("exit_announcement_date", "last_trading_date", "exit_effective_date", "settlement_date") if c in exits.columns]
+    events = exits.select(F.explode(F.array(*named)).alias("date"))
     return assets.select(F.col("offering_date").alias("date")).union(observed.select("date")).union(events).filter("date IS NOT NULL")
 
 

@@ -13,8 +13,14 @@ from tessera.plans.index_plans import family
 from tessera.sources.market_views import Market
 
 
+def exit_rows(m: Market, quotes: DataFrame | None = None) -> DataFrame:
+    """All exit events. A seventh of the raw rows name their asset by series only."""
+    raw = m.exits.withColumn("asset_id", F.when(F.col("asset_id") % 7 != 0, F.col("asset_id")))
+    return M.normalize_exits(raw, m.assets, quarterly(m) if quotes is None else quotes)
+
+
 def exits(m: Market, quotes: DataFrame | None = None) -> DataFrame:
-    return M.normalize_exits(m.exits, m.assets, quarterly(m) if quotes is None else quotes)
+    return M.standing_exits(exit_rows(m, quotes))
 
 
 def history(m: Market) -> DataFrame:
@@ -29,20 +35,25 @@ def rounded(df: DataFrame, money: tuple[str, ...] = (), digits: int = 6, exact:
 shared_sql("status_map", """
     SELECT unnest(['trading', 'buyout_pending', 'exited']) AS status,
            unnest(['active_tradable', 'trading_paused', 'exited']) AS canonical_status""")
-shared_sql("exit_events", """
+shared_sql("exit_all", """
+    WITH d AS (
+      SELECT e.*, coalesce(announcement_date, sale_date) AS exit_announcement_date, coalesce(last_trading_date, sale_date) AS traded_until,
+             coalesce(valuation_date, sale_date) AS exit_valuation_date, e.status <> 'cancelled_exit' AND coalesce(is_confirmed, 'true') <> 'no' AS sure FROM exits e)
     SELECT e.asset_id, a.ticker, a.category,
-           CASE e.type WHEN 'sale' THEN 'asset_sale' ELSE 'buyout' END AS exit_type, e.status AS exit_status,
+           CASE lower(e.type) WHEN 'sale' THEN 'asset_sale' WHEN 'buyout_offer' THEN 'buyout' ELSE lower(e.type) END AS exit_type, e.status AS exit_status,
+           e.exit_announcement_date, e.traded_until AS last_trading_date, e.exit_valuation_date,
            e.sale_date AS exit_effective_date, coalesce(e.settlement_date, e.sale_date) AS settlement_date,
-           a.share_count AS shares_at_exit, p.price AS last_observed_price_before_exit, a.offering_price_usd, a.offering_date,
-           e.status <> 'cancelled_exit' AS is_confirmed,
-           CASE WHEN e.status = 'cancelled_exit' THEN NULL
-                ELSE coalesce(e.exit_price_per_share, e.exit_total_value / a.share_count, p.price) END AS terminal_price,
-           CASE WHEN e.status = 'cancelled_exit' THEN 'missing'
+           a.share_count AS shares_at_exit, p.price AS last_observed_price_before_exit, a.offering_price_usd, a.offering_date, e.source_url AS payout_source,
+           sure AS is_confirmed,
+           CASE WHEN sure THEN coalesce(e.exit_price_per_share, e.exit_total_value / a.share_count, p.price) END AS terminal_price,
+           CASE WHEN NOT sure THEN 'missing'
                 WHEN e.exit_price_per_share > 0 THEN 'confirmed_per_share_payout'
                 WHEN e.exit_total_value > 0 THEN 'confirmed_total_payout_divided_by_shares'
                 WHEN p.price > 0 THEN 'last_valid_secondary_market_price' ELSE 'missing' END AS terminal_price_source
-    FROM exits e JOIN assets a USING (asset_id)
-    ASOF LEFT JOIN q_quotes p ON p.asset_id = e.asset_id AND e.sale_date >= p.date""")
+    FROM d e JOIN assets a USING (asset_id)
+    ASOF LEFT JOIN q_quotes p ON p.asset_id = e.asset_id AND e.traded_until >= p.date""")
+shared_sql("exit_events", """
+    SELECT * FROM exit_all QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY exit_status = 'cancelled_exit', exit_effective_date) = 1""")
 shared_sql("px", """
     SELECT asset_id, date, price, event_type <> 'offering_price' AS is_direct FROM q_quotes
     UNION ALL SELECT asset_id, offering_date, offering_price_usd, FALSE FROM assets a
@@ -92,23 +103,41 @@ shared_sql("xtotal", """
            total_market_cap - (prior_market_cap + price_effect + new_issuance - removed_capital) AS diff FROM r""")
 
 
+EXIT_COLUMNS = ["asset_id", "ticker", "exit_type", "exit_status", "exit_announcement_date", "last_trading_date", "exit_valuation_date", "exit_effective_date", "settlement_date",
+                "is_confirmed", "payout_source", "data_quality_flag", "last_price", "last_cap", "terminal_price", "terminal_price_source", "terminal_price_quality", "terminal_value",
+                "terminal_return", "exit_premium_vs_last_trade", "exit_return_vs_offering", "annualized_exit_return"]
+
+
 @query("normalize_exits", """
-    SELECT asset_id, ticker, exit_type, exit_status, exit_effective_date, settlement_date, is_confirmed,
-           r6(last_observed_price_before_exit) AS last_price, r6(terminal_price) AS terminal_price, terminal_price_source,
+    SELECT asset_id, ticker, exit_type, exit_status, exit_announcement_date, last_trading_date, exit_valuation_date, exit_effective_date, settlement_date, is_confirmed, payout_source,
+           CASE terminal_price_source WHEN 'last_valid_secondary_market_price' THEN ';terminal_price_fallback_last_trade' ELSE '' END AS data_quality_flag,
+           r6(last_observed_price_before_exit) AS last_price, r2(last_observed_price_before_exit * shares_at_exit) AS last_cap, r6(terminal_price) AS terminal_price, terminal_price_source,
            CASE terminal_price_source WHEN 'missing' THEN 'blocking' WHEN 'last_valid_secondary_market_price' THEN 'fallback'
                 ELSE 'confirmed' END AS terminal_price_quality,
            r2(terminal_price * shares_at_exit) AS terminal_value,
-           r6(terminal_price / last_observed_price_before_exit - 1) AS terminal_return,
+           r6(terminal_price / last_observed_price_before_exit - 1) AS terminal_return, r6(terminal_price / last_observed_price_before_exit - 1) AS exit_premium_vs_last_trade,
            r6(terminal_price / offering_price_usd - 1) AS exit_return_vs_offering,
            r6((terminal_price / offering_price_usd) ** (1 / ((exit_effective_date - offering_date) / 365.25)) - 1)
              AS annualized_exit_return
-    FROM exit_events""")
+    FROM exit_all""")
+def _(m):
+    out = exit_rows(m).withColumnsRenamed({"last_observed_price_before_exit": "last_price", "last_observed_market_cap_before_exit": "last_cap"}).select(EXIT_COLUMNS)
+    return rounded(out, ("terminal_value", "last_cap"))
+
+
+@query("exit_states", """
+    WITH i AS (
+      SELECT asset_id, 1 AS rank, exit_announcement_date AS f, CASE WHEN exit_status = 'cancelled_exit' THEN exit_effective_date ELSE least(last_trading_date, exit_effective_date) END AS t FROM exit_all
+      UNION ALL SELECT asset_id, 2, least(last_trading_date, exit_effective_date), exit_effective_date FROM exit_all WHERE exit_status <> 'cancelled_exit'
+      UNION ALL SELECT asset_id, 3, exit_effective_date, greatest(exit_effective_date, settlement_date) FROM exit_all WHERE exit_status <> 'cancelled_exit'
+      UNION ALL SELECT asset_id, 4, greatest(exit_effective_date, settlement_date), DATE '9999-12-31' FROM exit_all WHERE exit_status <> 'cancelled_exit'),
+    k AS (SELECT * FROM i WHERE f < t),
+    d AS (SELECT asset_id, f AS date FROM k UNION SELECT asset_id, t FROM k WHERE t < DATE '9999-12-31'),
+    s AS (SELECT d.asset_id, d.date, coalesce(max(k.rank), 0) AS rank FROM d LEFT JOIN k ON k.asset_id = d.asset_id AND d.date >= k.f AND d.date < k.t GROUP BY ALL),
+    c AS (SELECT * FROM s QUALIFY rank IS DISTINCT FROM lag(rank) OVER (PARTITION BY asset_id ORDER BY date))
+    SELECT asset_id, ['trading', 'announced', 'trading_ended', 'pending_settlement', 'settled'][rank + 1] AS state, date AS from_date, lead(date) OVER (PARTITION BY asset_id ORDER BY date) AS to_date FROM c""")
 def _(m):
-    out = exits(m).withColumnRenamed("last_observed_price_before_exit", "last_price").select(
-        "asset_id", "ticker", "exit_type", "exit_status", "exit_effective_date", "settlement_date", "is_confirmed", "last_price",
-        "terminal_price", "terminal_price_source", "terminal_price_quality", "terminal_value", "terminal_return",
-        "exit_return_vs_offering", "annualized_exit_return")
-    return rounded(out, ("terminal_value",))
+    return M.exit_states(exit_rows(m))
 
 
 @query("exit_analytics", """

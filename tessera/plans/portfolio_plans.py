@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import rnd
+from tessera.operators import market as M
 from tessera.operators import portfolios as P
 from tessera.operators import rules as R
 from tessera.operators import series as S
@@ -20,9 +21,13 @@ from tessera.sources.market_views import Market
 UW = ["universe", "weighting"]
 
 
+def known_dates(m: Market) -> DataFrame:
+    events = m.exits.select(*[c.alias(name) for name, c in M.exit_dates(m.exits).items()])
+    return P.known_dates(m.assets, m.observations.select(F.col("period_end").alias("date")), events)
+
+
 def total_return(m: Market) -> P.TotalReturn:
-    raw_exits = m.exits.select(F.col("sale_date").alias("exit_effective_date"), "settlement_date")
-    known = P.known_dates(m.assets, m.observations.select(F.col("period_end").alias("date")), raw_exits)
+    known = known_dates(m)
     quotes = quarterly(m)
     return P.total_return_index(m.assets, quotes, exits(m, quotes), P.grid_dates(known, "month"))
 
@@ -65,8 +70,8 @@ def simulation_sql(prefix: str, panel: str, keys: str, absolute: bool = False) -
 # --- total return -------------------------------------------------------------------------
 
 shared_sql("tr_known", """
-    SELECT offering_date AS date FROM assets UNION SELECT date FROM px UNION SELECT exit_effective_date FROM exit_events
-    UNION SELECT settlement_date FROM exit_events""")
+    SELECT offering_date AS date FROM assets UNION SELECT date FROM px UNION SELECT exit_effective_date FROM exit_all
+    UNION SELECT settlement_date FROM exit_all UNION SELECT exit_announcement_date FROM exit_all UNION SELECT last_trading_date FROM exit_all""")
 shared_sql("tr_grid", """
     WITH b AS (SELECT min(date) AS s, max(date) AS e FROM tr_known),
     d AS (SELECT unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS date, s, e FROM b)
@@ -145,9 +150,7 @@ def _(m):
 
 @query("event_date_grids", "SELECT DISTINCT date FROM tr_known")
 def _(m):
-    raw_exits = m.exits.select(F.col("sale_date").alias("exit_effective_date"), "settlement_date")
-    known = P.known_dates(m.assets, m.observations.select(F.col("period_end").alias("date")), raw_exits)
-    return P.grid_dates(known, "native")
+    return P.grid_dates(known_dates(m), "native")
 
 
 # --- baskets ------------------------------------------------------------------------------

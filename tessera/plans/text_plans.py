@@ -218,7 +218,7 @@ def _(m):
 @query("asset_universe_build", """
     WITH l AS (SELECT asset_id, arg_max(price, date) AS p, arg_max_null(cap, date) AS cap FROM d_quotes GROUP BY 1),
     j AS (SELECT a.*, l.p, l.cap, x.sale_date, CASE WHEN asset_id % 5 = 0 THEN 0 ELSE share_count END AS own_shares, f.shares AS filed_shares, f.offering_price AS filed_price
-          FROM assets a LEFT JOIN l USING (asset_id) LEFT JOIN filing_truth f USING (asset_id) LEFT JOIN (SELECT asset_id, sale_date FROM exits WHERE status <> 'cancelled_exit') x USING (asset_id))
+          FROM assets a LEFT JOIN l USING (asset_id) LEFT JOIN filing_truth f USING (asset_id) LEFT JOIN (SELECT asset_id, min(sale_date) AS sale_date FROM exits WHERE status <> 'cancelled_exit' GROUP BY 1) x USING (asset_id))
     SELECT asset_id, ticker, coalesce(nullif(filed_shares, 0)::DOUBLE, own_shares) AS share_count, r2(filed_price * coalesce(nullif(filed_shares, 0), own_shares)) AS offering_market_cap_usd,
            r2(cap) AS current_market_cap_usd, r6(p) AS last_trade_price, CASE WHEN sale_date IS NOT NULL THEN 'exited' WHEN status IN ('active', 'live', 'trading') THEN 'trading' ELSE status END AS status, sale_date AS exit_date
     FROM j""")
@@ -226,7 +226,7 @@ def _(m):
     q = daily(m).groupBy("asset_id").agg(F.max_by("price", "date").alias("p"), F.max_by("cap", "date").alias("cap"))
     filed = T.parse_filings(filings(m)).select(F.regexp_extract("accession", r"A-(\d+)", 1).cast("bigint").alias("asset_id"), F.col("shares").alias("filed_shares"),
                                                F.col("offering_price").alias("filed_price"))
-    gone = m.exits.filter("status <> 'cancelled_exit'").select("asset_id", F.col("sale_date").alias("exit_date"))
+    gone = m.exits.filter("status <> 'cancelled_exit'").groupBy("asset_id").agg(F.min("sale_date").alias("exit_date"))
     own = F.when(F.col("asset_id") % 5 == 0, 0.0).otherwise(F.col("share_count"))
     j = m.assets.drop("exit_date").join(q, "asset_id", "left").join(filed, "asset_id", "left").join(gone, "asset_id", "left")
     shares = falsy_or(F.col("filed_shares").cast("double"), own)

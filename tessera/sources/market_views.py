@@ -120,11 +120,12 @@ class Market:
 
     @property
     def exits(self) -> DataFrame:
-        """Authored exit rows: settled, pending settlement, and cancelled offers."""
+        """Authored exit rows: settled, pending settlement, and cancelled offers; some assets have two."""
         key = F.col("asset_id")
         pending = key % 60 == 0
-        return self.assets.filter(F.col("status").isin("exited", "buyout_pending")).select(
-            "asset_id",
+        left = self.assets.filter(F.col("status").isin("exited", "buyout_pending"))
+        first = left.select(
+            "asset_id", F.concat(F.lit("Series "), "ticker").alias("series_name"),
             F.when(F.col("status") == "exited", "sale").otherwise("buyout_offer").alias("type"),
             F.when(F.col("status") == "buyout_pending", "cancelled_exit")
             .when(pending, "pending_settlement").otherwise("settled").alias("status"),
@@ -132,7 +133,19 @@ class Market:
             F.when(pending, F.date_add(F.col("exit_date"), 45)).alias("settlement_date"),
             "exit_price_per_share",
             F.when(key % 100 == 20, F.col("offering_price_usd") * F.col("share_count") * 1.1).alias("exit_total_value"),
+            F.lit(None).cast("string").alias("is_confirmed"),
         )
+        later = left.filter((key % 80 == 0) | (key % 120 == 1)).select(
+            "asset_id", F.concat(F.lit("Series "), "ticker").alias("series_name"),
+            F.when(key % 80 == 0, "auction_sale").otherwise("Redemption").alias("type"), F.when(key % 160 == 0, "pending_settlement").otherwise("settled").alias("status"),
+            F.date_add(F.coalesce("exit_date", F.lit("2001-03-31").cast("date")), 100).alias("sale_date"), F.lit(None).cast("date").alias("settlement_date"),
+            (F.col("offering_price_usd") * 1.4).alias("exit_price_per_share"), F.lit(None).cast("double").alias("exit_total_value"),
+            F.when(key % 240 == 0, "no").alias("is_confirmed"),
+        )
+        day = F.col("sale_date")
+        return first.unionByName(later).select(
+            "*", F.when(key % 3 == 0, F.date_sub(day, 40)).alias("announcement_date"), F.when(key % 4 == 0, F.date_sub(day, 10)).alias("last_trading_date"),
+            F.when(key % 5 == 0, F.date_sub(day, 5)).alias("valuation_date"), F.concat(F.lit("notice/"), key.cast("string")).alias("source_url"))
 
 
 MARKET_SQL = {
@@ -178,11 +191,18 @@ MARKET_SQL = {
                CASE l_linestatus WHEN 'F' THEN 'excellent' ELSE 'good' END AS condition
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "exits": """
-        SELECT asset_id, CASE status WHEN 'exited' THEN 'sale' ELSE 'buyout_offer' END AS type,
-               CASE WHEN status = 'buyout_pending' THEN 'cancelled_exit'
-                    WHEN asset_id % 60 = 0 THEN 'pending_settlement' ELSE 'settled' END AS status,
-               coalesce(exit_date, DATE '2001-03-31') AS sale_date,
-               CASE WHEN asset_id % 60 = 0 THEN exit_date + 45 END AS settlement_date, exit_price_per_share,
-               CASE WHEN asset_id % 100 = 20 THEN offering_price_usd * share_count * 1.1 END AS exit_total_value
-        FROM assets WHERE status IN ('exited', 'buyout_pending')""",
+        WITH f AS (
+          SELECT asset_id, 'Series ' || ticker AS series_name, CASE status WHEN 'exited' THEN 'sale' ELSE 'buyout_offer' END AS type,
+                 CASE WHEN status = 'buyout_pending' THEN 'cancelled_exit'
+                      WHEN asset_id % 60 = 0 THEN 'pending_settlement' ELSE 'settled' END AS status,
+                 coalesce(exit_date, DATE '2001-03-31') AS sale_date,
+                 CASE WHEN asset_id % 60 = 0 THEN exit_date + 45 END AS settlement_date, exit_price_per_share,
+                 CASE WHEN asset_id % 100 = 20 THEN offering_price_usd * share_count * 1.1 END AS exit_total_value, NULL::VARCHAR AS is_confirmed
+          FROM assets WHERE status IN ('exited', 'buyout_pending')
+          UNION ALL
+          SELECT asset_id, 'Series ' || ticker, CASE WHEN asset_id % 80 = 0 THEN 'auction_sale' ELSE 'Redemption' END, CASE WHEN asset_id % 160 = 0 THEN 'pending_settlement' ELSE 'settled' END,
+                 coalesce(exit_date, DATE '2001-03-31') + 100, NULL, offering_price_usd * 1.4, NULL, CASE WHEN asset_id % 240 = 0 THEN 'no' END
+          FROM assets WHERE status IN ('exited', 'buyout_pending') AND (asset_id % 80 = 0 OR asset_id % 120 = 1))
+        SELECT *, CASE WHEN asset_id % 3 = 0 THEN sale_date - 40 END AS announcement_date, CASE WHEN asset_id % 4 = 0 THEN sale_date - 10 END AS last_trading_date,
+               CASE WHEN asset_id % 5 = 0 THEN sale_date - 5 END AS valuation_date, 'notice/' || asset_id AS source_url FROM f""",
 }

@@ -115,6 +115,31 @@ def test_cancelled_exit_does_not_hide_a_settled_one(frame):
     assert [(str(r["exit_effective_date"]), r["terminal_price"]) for r in live] == [("2022-01-01", 30)]
 
 
+def test_two_exits_of_one_asset(frame):
+    """Both events stay; the earlier live one removes the asset; series names link; dates and quality follow the hierarchy."""
+    assets = frame([("a", "#AB", "a", "c", 10, "2019-01-01", 10), ("b", "#B", "b", "c", 10, "2019-01-01", 10)], ASSETS)
+    exits = frame([
+        ("a", None, "sale", "settled", "2021-06-30", None, None, None, 30, None, None), (None, "Series #AB", "Redemption", "settled", "2020-06-30", "2020-05-01", "2020-06-10", "2020-07-15", None, None, "yes"),
+        ("a", None, "buyout_offer", "cancelled_exit", "2019-12-31", "2019-11-30", None, None, 99, None, None), ("b", None, "spin", "odd", "2020-01-01", None, None, None, 12, None, "no")],
+        "asset_id string, series_name string, type string, status string, sale_date date, announcement_date date, last_trading_date date, settlement_date date, exit_price_per_share double, exit_total_value double, is_confirmed string")
+    events = M.normalize_exits(exits, assets, priced(frame, [("a", "2020-06-01", 22), ("a", "2020-06-20", 50)]))
+    rows = {(r["asset_id"], str(r["exit_effective_date"])): r for r in events.collect()}
+    assert len(rows) == 4
+    first, other = rows[("a", "2020-06-30")], rows[("b", "2020-01-01")]
+    assert (first["terminal_price"], first["terminal_price_quality"], first["data_quality_flag"], first["exit_type"]) == (22, "fallback", ";terminal_price_fallback_last_trade", "redemption")
+    assert [str(first[c]) for c in ("exit_announcement_date", "last_trading_date", "exit_valuation_date", "settlement_date")] == ["2020-05-01", "2020-06-10", "2020-06-30", "2020-07-15"]
+    assert first["exit_premium_vs_last_trade"] == 0 and first["last_observed_market_cap_before_exit"] == 220
+    assert (other["exit_type"], other["exit_status"], other["is_confirmed"], other["terminal_price"], other["terminal_price_quality"]) == ("other", "unknown", False, None, "blocking")
+    live = {r["asset_id"]: str(r["exit_effective_date"]) for r in M.live_exits(events).collect()}
+    assert live == {"a": "2020-06-30", "b": "2020-01-01"}
+    states = [(r["state"], str(r["from_date"]), str(r["to_date"])) for r in M.exit_states(events).filter("asset_id = 'a'").orderBy("from_date").collect()]
+    assert states == [("announced", "2019-11-30", "2019-12-31"), ("trading", "2019-12-31", "2020-05-01"), ("announced", "2020-05-01", "2020-06-10"), ("trading_ended", "2020-06-10", "2020-06-30"),
+                      ("pending_settlement", "2020-06-30", "2020-07-15"), ("settled", "2020-07-15", "None")]
+    quotes = priced(frame, [("a", "2020-03-31", 20), ("a", "2021-03-31", 25)])
+    h = M.exchange_asset_history(assets, quotes, events, "2022-12-31", "month").filter("asset_id = 'a'")
+    assert [str(r["date"]) for r in h.filter("is_exit_effective_date").collect()] == ["2020-06-30"] and h.groupBy("date").count().filter("count > 1").count() == 0
+
+
 def test_size_belongs_to_the_chosen_model(spark):
     row = spark.createDataFrame([("Gold Togo Kelly 25 and Birkin 30 Palladium",)], "title string").select(*[v.alias(k) for k, v in T.title_fields("title").items()]).first()
     assert (row["model"], row["size"], row["color"]) == ("Birkin", "30", "Gold")
