@@ -168,27 +168,13 @@ def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None) ->
     key = F.when(F.col("metric").isin(*MONEY), F.round("value", MONEY_DIGITS)).otherwise(F.round("value", RANK_DIGITS))
     directed = F.when(rule["low"], key).otherwise(-key)
     counts = long.groupBy("date", "metric").agg(F.count_if("eligible").alias("eligible_universe_size"))
-    ranked = ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
+    ranked = S.ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
     long = ranked.unionByName(long.filter("NOT eligible").withColumn("rank", F.lit(None).cast("bigint")))
     long = long.join(counts, ["date", "metric"])
     return long.withColumn("percentile_rank", F.when(F.col("rank").isNotNull(), F.when(F.col("eligible_universe_size") == 1, 1.0).otherwise(
         ratio(F.col("eligible_universe_size") - F.col("rank"), F.col("eligible_universe_size") - 1))))
 
 
-def ordinal_rank_distributed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Ordinal rank of groups too large to sort in one task.
-
-    Rows are range-partitioned by key and order and kept in the checkpoint folder, so that counts and rows see the same
-    partitions; a rank is the rows of the group in earlier partitions plus the position inside its own.
-    """
-    placed = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
-    ahead = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*keys, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    return placed.join(offsets, [*keys, "_part"]).withColumn("rank", F.col("_ahead") + inside).drop("_part", "_ahead")
-
-
 def rank_movement(archive: DataFrame, metric: str, start: str, end: str) -> DataFrame:
     """Entrants, dropouts and rank changes between two quarters, by one conditional aggregate."""
     rows = archive.filter((F.col("metric") == metric) & F.col("date").isin(start, end))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.columns import change, col, period_of, ratio
+from tessera.session import staged
 
 # Event kinds that count as a market price, and the precedence used inside one period.
 PRICE_EVENTS = ["executed_trade", "daily_close", "chart_observation"]
@@ -180,10 +181,53 @@ def frequency_label(median: Column | str, std: Column | str) -> Column:
     return F.when(ratio(std, m) > 0.35, F.concat(name, F.lit(" (irregular)"))).otherwise(name)
 
 
+def _placed_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column) -> DataFrame:
+    """Rows dealt to tasks by range and kept, with `_part` and the summed size of the same group in earlier parts, `_ahead`. Counts and rows
+    see the same stored parts."""
+    placed = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.sum(size).alias("_size"))
+    ahead = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("_size").over(Window.partitionBy(*keys))
+    offsets = sizes.select(*keys, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"), total.alias("_total"))
+    return placed.join(offsets, [*keys, "_part"])
+
+
+def ordinal_rank_distributed(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str | None = None) -> DataFrame:
+    """Ordinal rank of groups too large to sort in one task: the rows of the group in earlier parts plus the position inside its own.
+    `size` names a column for the rows of the group."""
+    placed = _placed_by_range(df, keys, order, F.lit(1))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    ranked = placed.withColumn("rank", F.col("_ahead") + inside)
+    return (ranked.withColumn(size, F.col("_total")) if size else ranked).drop("_part", "_ahead", "_total")
+
+
 def rank_average(df: DataFrame, keys: Sequence[str], value: str, out: str, pct: bool = True) -> DataFrame:
-    """Average rank of ties, as a share of the group when `pct`."""
-    group = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(group.orderBy(value)) + (ties - 1) / 2
-    return df.withColumn(out, rank / F.count(value).over(group) if pct else rank)
+    """Average rank of ties, as a share of the group when `pct`; a missing value has no rank and counts for nothing.
 
+    Equal values are one counted row before anything is ordered, and the distinct values of a group are ranked over many tasks.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = _placed_by_range(counted, keys, [value], F.col("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("_ahead") + upto - (F.col("_c") - 1) / 2
+    ranks = placed.select(*keys, value, (rank / F.col("_total") if pct else rank).alias(out))
+    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+
+
+def share_of_history(df: DataFrame, key: str, value: str, out: str, order: str = "date") -> DataFrame:
+    """For every row the share of the rows of its key up to it whose value is at most its own.
+
+    An ordered merge count: rows are numbered in order, and at level k the row numbers are paired in blocks of 2^k. A row in the right
+    block of a pair counts the rows of the left block that are not above it, by one ordered pass over the pair. The blocks a row is right
+    of make up all rows before it, so n log n rows are counted and no history is held. Rows without a value have no share and count for nothing.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    numbered = rows.select(key, order, F.col(value).alias("_x"), (F.row_number().over(over(key, order)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
+    levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2("_n")).cast("int")))
+    pairs = numbered.withColumn("_k", F.explode(levels)).withColumn("_at", F.floor(F.col("_i") / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+    pairs = pairs.withColumns({"_right": F.col("_at") % 2, "_pair": F.floor(F.col("_at") / 2).cast("long")})
+    w = Window.partitionBy(key, "_k", "_pair").orderBy("_x", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    counts = pairs.withColumn("_c", F.when(F.col("_right") == 1, F.sum(1 - F.col("_right")).over(w)).otherwise(0))
+    found = counts.groupBy(key, order).agg(F.sum("_c").alias("_below"), F.max("_i").alias("_i"))
+    found = found.select(key, order, ((F.col("_below") + 1) / (F.col("_i") + 1)).alias(out))
+    return df.join(found, [key, order], "left").select(*df.columns, F.when(F.col(value).isNotNull(), F.col(out)).alias(out))

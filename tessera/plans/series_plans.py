@@ -372,9 +372,7 @@ def rolling_volatility(df: DataFrame, key: str, width: int = 4) -> DataFrame:
     full = (df.filter(F.col("ret").isNotNull())
             .withColumn("rolling_std", F.when(F.count("ret").over(frame) == width, F.round(F.stddev_samp("ret").over(frame), 9)))
             .filter(F.col("rolling_std").isNotNull()))
-    history = F.collect_list("rolling_std").over(S.running(key))
-    below = F.filter("_h", lambda x: x <= F.col("rolling_std"))
-    return full.withColumn("_h", history).withColumn("share_at_or_below", F.size(below) / F.size("_h")).drop("_h")
+    return S.share_of_history(full, key, "rolling_std", "share_at_or_below")
 
 
 @query("rank_ordinal", """
@@ -384,16 +382,10 @@ def rolling_volatility(df: DataFrame, key: str, width: int = 4) -> DataFrame:
              AS percentile
     FROM q_returns WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY date ORDER BY r8(ret) DESC, asset_id)""")
 def _(m):
-    return ordinal_rank(returns(m).filter("ret IS NOT NULL").withColumn("ret", rnd("ret", 8)), ["date"], F.col("ret").desc(), "asset_id").select(
-        "date", "asset_id", "rank", "n", rnd("percentile").alias("percentile"))
-
-
-def ordinal_rank(df: DataFrame, keys: list[str], order, tie: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(order, tie)).cast("bigint")).withColumn(
-        "n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("percentile", F.when(F.col("n") == 1, 1.0).otherwise(
-        ratio(F.col("n") - F.col("rank"), F.col("n") - 1)))
+    r = returns(m).filter("ret IS NOT NULL").select("date", "asset_id", (-rnd("ret", 8)).alias("_down"))
+    n, rank = F.col("n"), F.col("rank")
+    return S.ordinal_rank_distributed(r, ["date"], ["_down", "asset_id"], "n").select(
+        "date", "asset_id", "rank", "n", rnd(F.when(n == 1, 1.0).otherwise(ratio(n - rank, n - 1))).alias("percentile"))
 
 
 @query("rank_pct_average", """

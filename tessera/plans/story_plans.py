@@ -156,18 +156,34 @@ def _(m):
     return shown(T.exit_benchmark(T.exits_in_period(exits(m), periods(m)), bench(m)), "realized_return", "benchmark_return", "excess_return")
 
 
+shared_sql("late_observations", """
+    SELECT * REPLACE (CASE WHEN (asset_id + month(observed_at)) % 9 = 0 THEN last_day(CAST(date_trunc('quarter', period_end) - INTERVAL 1 MONTH AS DATE)) ELSE period_end END AS period_end)
+    FROM observations WHERE NOT (category = 'SMALL' AND period_end BETWEEN DATE '1996-06-30' AND DATE '1997-01-31' OR category = 'PROMO' AND period_end = DATE '1998-06-30')""")
+
+
+def late_observations(m: Market) -> DataFrame:
+    """Observations of which some arrive a quarter late and some categories lack quarters, short and long."""
+    late = (F.col("asset_id") + F.month("observed_at")) % 9 == 0
+    before = F.date_sub(F.trunc("period_end", "quarter"), 1)
+    gap = ((F.col("category") == "SMALL") & F.col("period_end").between("1996-06-30", "1997-01-31")) | ((F.col("category") == "PROMO") & (F.col("period_end") == "1998-06-30"))
+    return m.observations.filter(~gap).withColumn("period_end", F.when(late, before).otherwise(F.col("period_end")))
+
+
 @query("story_corr_regime", """
-    WITH c AS (SELECT category, period_end AS date, avg(price_per_share) AS v FROM observations GROUP BY ALL),
-    x AS (SELECT category, date, v / lag(v) OVER (PARTITION BY category ORDER BY date) - 1 AS x FROM c),
-    q AS (SELECT last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS date, arg_max(adjusted_close, date) AS v FROM st_bench GROUP BY 1),
-    y AS (SELECT date, v / lag(v) OVER (ORDER BY date) - 1 AS y FROM q),
-    r AS (SELECT category, date, x, y, row_number() OVER (PARTITION BY category ORDER BY date) AS n FROM x JOIN y USING (date) WHERE x IS NOT NULL AND y IS NOT NULL),
-    w AS (SELECT a.category, a.date, corr(b.x, b.y) FILTER (b.n > a.n - 8) AS recent, corr(b.x, b.y) FILTER (b.n <= a.n - 8) AS prior FROM r a JOIN r b ON a.category = b.category AND b.n BETWEEN a.n - 15 AND a.n
-          WHERE a.n >= 16 GROUP BY ALL)
-    SELECT p.period, 'correlation_regime' AS family, 'possible_regime_shift' AS kind, 'category:' || category AS subject_id, r6(prior) AS prior_correlation, r6(recent) AS recent_correlation, r6(.8) AS quality
-    FROM w JOIN st_p p ON w.date = CASE WHEN p."end" = p.period THEN p.period ELSE p.start - 1 END WHERE abs(recent - prior) >= .5""")
+    WITH v AS (SELECT o.category, p.period, p."end" AS e, o.period_end AS date, avg(o.price_per_share) AS v FROM late_observations o
+               JOIN st_p p ON o.observed_at <= p."end" AND o.period_end <= p."end" GROUP BY ALL),
+    b AS (SELECT category, period, e, min(date) AS f FROM v GROUP BY ALL),
+    g AS (SELECT category, period, d AS date FROM (SELECT *, unnest(generate_series(f, e, INTERVAL 1 DAY))::DATE AS d FROM b) WHERE last_day(d) = d AND month(d) % 3 = 0),
+    x AS (SELECT g.*, CASE WHEN g.date - v.date <= 186 THEN v.v END AS v FROM g ASOF JOIN v ON v.category = g.category AND v.period = g.period AND g.date >= v.date),
+    xr AS (SELECT *, v / lag(v) OVER (PARTITION BY category, period ORDER BY date) - 1 AS x FROM x),
+    q AS (SELECT g.date, CASE WHEN g.date - s.date <= 186 THEN s.adjusted_close END AS v FROM (SELECT DISTINCT date FROM g) g ASOF JOIN st_bench s ON g.date >= s.date),
+    yr AS (SELECT date, v / lag(v) OVER (ORDER BY date) - 1 AS y FROM q),
+    r AS (SELECT category, period, x, y, row_number() OVER (PARTITION BY category, period ORDER BY date DESC) AS n FROM xr JOIN yr USING (date) WHERE x IS NOT NULL AND y IS NOT NULL),
+    w AS (SELECT category, period, corr(x, y) FILTER (n <= 8) AS recent, corr(x, y) FILTER (n BETWEEN 9 AND 16) AS prior, count(*) AS n FROM r GROUP BY ALL)
+    SELECT period, 'correlation_regime' AS family, 'possible_regime_shift' AS kind, 'category:' || category AS subject_id, r6(prior) AS prior_correlation, r6(recent) AS recent_correlation, r6(.8) AS quality
+    FROM w WHERE n >= 16 AND abs(recent - prior) >= .5""")
 def _(m):
-    return shown(T.correlation_regimes(m.observations, bench(m), periods(m)), "prior_correlation", "recent_correlation")
+    return shown(T.correlation_regimes(late_observations(m), bench(m), periods(m)), "prior_correlation", "recent_correlation")
 
 
 @query("story_vol_regime", """

@@ -218,7 +218,7 @@ def test_bootstrap_strategies_by_brute_force(spark):
 def test_distributed_rank_equals_window_rank(spark):
     from pyspark.sql import Window
 
-    from tessera.operators.crosssection import ordinal_rank_distributed
+    from tessera.operators.series import ordinal_rank_distributed
 
     d = spark.range(5000).select((F.col("id") % 3 == 0).alias("hot"), F.col("id").alias("subject"), (F.col("id") * 7919 % 40).alias("v"))
     want = d.withColumn("rank", F.row_number().over(Window.partitionBy("hot").orderBy("v", "subject")).cast("bigint"))
@@ -232,3 +232,65 @@ def test_rank_average(frame):
     d = frame([("k", v) for v in (1, 2, 2, 4)], "k string, v double")
     out = sorted((r["v"], r["p"]) for r in rank_average(d, ["k"], "v", "p").collect())
     assert out == [(1, 0.25), (2, 0.625), (2, 0.625), (4, 1.0)]
+
+
+def test_share_of_history_equals_counting(spark):
+    """Ties, missing values, several keys, and one key of 100,000 days whose history no row carries."""
+    from tessera.operators.series import share_of_history
+
+    rng = random.Random(4)
+    rows = [(k, d, rng.choice([None, 0.0, 1.0, 1.0, 2.5, float(rng.randrange(50))])) for k, n in (("a", 37), ("b", 1), ("c", 64), ("d", 100)) for d in range(n)]
+    got = {(r["k"], r["d"]): r["s"] for r in share_of_history(spark.createDataFrame(rows, "k string, d int, v double"), "k", "v", "s", "d").collect()}
+    for k, d, v in rows:
+        past = [x for kk, dd, x in rows if kk == k and dd <= d and x is not None]
+        assert got[(k, d)] is None if v is None else abs(got[(k, d)] - sum(x <= v for x in past) / len(past)) < 1e-12
+    long = spark.range(100_000).select(F.lit("x").alias("k"), F.col("id").alias("d"), F.pmod(F.xxhash64("id"), F.lit(1_000)).cast("double").alias("v"))
+    out = share_of_history(long, "k", "v", "s", "d")
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    values = [r["v"] for r in long.orderBy("d").select("v").collect()]
+    last = out.orderBy(F.desc("d")).first()
+    assert abs(last["s"] - sum(x <= values[-1] for x in values) / len(values)) < 1e-12
+
+
+def test_ranks_of_one_large_date_use_many_tasks(spark):
+    """A million rows of one date: both ranks agree with numpy and no task orders the whole date."""
+    from tessera.operators.series import ordinal_rank_distributed, rank_average
+
+    n = 1_000_000
+    d = spark.range(0, n, 1, 8).select(F.lit("day").alias("date"), F.col("id"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(5_000)).cast("double")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordinal_rank_distributed(d, ["date"], ["v", "id"], "n")
+        assert got.filter(f"n <> {n}").count() == 0 and got.agg(F.countDistinct("rank")).first()[0] == n
+        average = rank_average(d, ["date"], "v", "p", pct=False).select("v", "p").distinct().toPandas().sort_values("v")
+        counts = d.groupBy("v").count().toPandas().sort_values("v")
+        upto = counts["count"].cumsum().to_numpy()
+        assert np.allclose(average["p"].to_numpy(), upto - (counts["count"].to_numpy() - 1) / 2)
+        from tessera.operators.series import _placed_by_range
+        parts = _placed_by_range(d, ["date"], ["v", "id"], F.lit(1)).groupBy("_part").count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    gone = rank_average(spark.createDataFrame([("k", None), ("k", 1.0), ("k", 3.0)], "date string, v double"), ["date"], "v", "p")
+    assert sorted(((r["v"], r["p"]) for r in gone.collect()), key=repr) == [(1.0, 0.5), (3.0, 1.0), (None, None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 999, 2_500, 30_000])
+def test_quantiles_of_every_size_by_one_rule(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice([rng.gauss(0, 1), 5.0, float(rng.randrange(9)), 1e9]) for _ in range(n)]
+    qs = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.95, "g": 1.0}
+    row = exact_quantiles(spark.createDataFrame([("k", v) for v in values], "k string, v double"), ["k"], "v", qs).first()
+    for name, q in qs.items():
+        assert np.isclose(row[name], np.quantile(values, q), rtol=1e-12, atol=1e-9), (n, name)
+
+
+def test_correlation_windows_use_only_what_had_arrived(frame):
+    """A row that arrives two quarters late changes its quarter from then on, not before."""
+    rows = [(f"a{i}", "c", f"{y}-{m}", f"{y}-{m}", 10.0 + i) for y in (2000, 2001) for m in ("03-31", "06-30", "09-30", "12-31") for i in range(2)]
+    rows.append(("a0", "c", "2000-09-15", "2000-03-31", 41.0))
+    o = frame(rows, "asset_id string, category string, observed_at date, period_end date, price_per_share double")
+    known = {(str(r["period"]), str(r["date"])): r["price"] for r in T.known_category_prices(o, T.periods(o)).collect()}
+    assert known[("2000-03-31", "2000-03-31")] == known[("2000-06-30", "2000-03-31")] == 10.5
+    assert known[("2000-09-30", "2000-03-31")] == known[("2001-12-31", "2000-03-31")] == 62 / 3
+    assert ("2000-03-31", "2000-06-30") not in known
