@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.columns import falsy_or, rnd
 from tessera.operators import series as S
+from tessera.operators import linking as L
+from tessera.operators import market as M
 from tessera.operators import text as T
 from tessera.plans.registry import query, shared_sql
-from tessera.plans.series_plans import daily
+from tessera.plans.series_plans import daily, quarterly
 from tessera.sources.market_views import Market
 
 COLORS = ["Gold", "Noir", "Bleu Nuit", "Rouge", "Étoupe"]
@@ -182,37 +184,50 @@ def _(m):
 # --- identifiers --------------------------------------------------------------------------
 
 @query("resolve_identifier", """
-    WITH q AS (SELECT asset_id AS qid, CASE asset_id % 4 WHEN 0 THEN lower(ticker) WHEN 1 THEN upper(name) WHEN 2 THEN CAST(asset_id AS VARCHAR) ELSE 'unknown ' || asset_id END AS ident FROM assets),
+    WITH q AS (SELECT asset_id AS qid, CASE asset_id % 5 WHEN 0 THEN lower(ticker) WHEN 1 THEN upper(name) WHEN 2 THEN ' ' || asset_id || ' ' WHEN 3 THEN 'nick' || asset_id ELSE 'unknown ' || asset_id END AS ident,
+                      CASE asset_id % 4 WHEN 0 THEN lower(category) WHEN 1 THEN 'elsewhere' END AS expected FROM assets),
     a AS (SELECT lower(ticker) AS key, asset_id FROM assets UNION SELECT lower(name), asset_id FROM assets UNION SELECT CAST(asset_id AS VARCHAR), asset_id FROM assets),
-    n AS (SELECT qid, count(DISTINCT a.asset_id) AS n, min(a.asset_id) AS hit FROM q LEFT JOIN a ON a.key = lower(trim(ident)) GROUP BY qid)
-    SELECT qid, n AS matches, CASE n WHEN 0 THEN 'unknown' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN hit END AS asset_id FROM n""")
+    k AS (SELECT qid, lower(trim(ident)) AS key FROM q UNION SELECT qid, '#t' || substr(ident, 5) FROM q WHERE ident LIKE 'nick%' AND qid % 10 = 3),
+    n AS (SELECT qid, count(DISTINCT a.asset_id) AS n, min(a.asset_id) AS hit FROM k JOIN a USING (key) GROUP BY qid),
+    r AS (SELECT q.*, trim(ident) AS i, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN hit END AS hit FROM q LEFT JOIN n USING (qid)),
+    j AS (SELECT r.*, s.category, r.n = 1 AND expected IS NOT NULL AND lower(s.category) <> expected AS off, r.hit IN (SELECT asset_id FROM q_quotes WHERE date > DATE '1999-06-30') AS priced FROM r LEFT JOIN assets s ON s.asset_id = r.hit)
+    SELECT qid, n AS matches, CASE WHEN n = 0 THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN off THEN 'category_mismatch' ELSE 'matched' END AS status, hit AS asset_id,
+           array_to_string(list_filter([CASE WHEN n = 0 THEN 'unknown_asset_id:' || i END, CASE WHEN n > 1 THEN 'ambiguous_asset_match:' || i END,
+             CASE WHEN off THEN 'category_mismatch: factors=' || expected || ' registry=' || category END, CASE WHEN n = 1 AND NOT coalesce(priced, FALSE) THEN 'missing_historical_price_data' END], lambda x: x IS NOT NULL), ';') AS warnings
+    FROM j""")
 def _(m):
     k = F.col("asset_id")
-    a = m.assets
-    wanted = a.select(k.alias("qid"), F.when(k % 4 == 0, F.lower("ticker")).when(k % 4 == 1, F.upper("name")).when(k % 4 == 2, k.cast("string")).otherwise(
-        F.concat(F.lit("unknown "), k.cast("string"))).alias("ident"))
-    # a common name may belong to very many assets: count per name first, then join one row per name
-    names = a.select(k, F.explode(F.array_distinct(F.array(F.lower("ticker"), F.lower("name"), k.cast("string")))).alias("key"))
-    known = names.groupBy("key").agg(F.countDistinct("asset_id").alias("n"), F.min("asset_id").alias("hit"))
-    j = wanted.join(known, F.lower(F.trim("ident")) == F.col("key"), "left")
-    n = F.coalesce("n", F.lit(0))
-    return j.select("qid", n.alias("matches"), F.when(n == 0, "unknown").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("hit")).alias("asset_id"))
-
-
-def exit_rows(m: Market) -> DataFrame:
-    k = F.col("asset_id")
-    e = m.exits
-    return e.select(F.when(k % 3 != 0, k).alias("asset_id"), F.concat(F.lit("Series #T"), k.cast("string")).alias("series_name"), "sale_date", k.alias("truth"))
+    a, id_text = m.assets, F.col("asset_id").cast("string")
+    ident = F.when(k % 5 == 0, F.lower("ticker")).when(k % 5 == 1, F.upper("name")).when(k % 5 == 2, F.concat(F.lit(" "), id_text, F.lit(" "))).when(
+        k % 5 == 3, F.concat(F.lit("nick"), id_text)).otherwise(F.concat(F.lit("unknown "), id_text))
+    asked = a.select(k.alias("qid"), ident.alias("ident"), F.when(k % 4 == 0, F.lower("category")).when(k % 4 == 1, F.lit("elsewhere")).alias("expected_category"))
+    aliases = a.filter(k % 10 == 3).select(F.concat(F.lit("nick"), id_text).alias("alias"), F.col("ticker").alias("target"))
+    out = L.resolve_identifiers(asked, a, quarterly(m).filter("date > '1999-06-30'"), aliases)
+    return out.select("qid", "matches", "status", "asset_id", F.concat_ws(";", "warnings").alias("warnings"))
 
 
 @query("ticker_fallback_link", """
     SELECT asset_id AS truth, asset_id, CASE WHEN asset_id % 3 <> 0 THEN 'asset_id' ELSE 'series_name' END AS linked_by FROM exits""")
 def _(m):
-    e = exit_rows(m)
-    lookup = m.assets.select(F.upper(F.replace("ticker", F.lit("#"), F.lit(""))).alias("_key"), F.col("asset_id").alias("_found"))
-    key = F.trim(F.replace(F.regexp_replace(F.upper("series_name"), "SERIES", ""), F.lit("#"), F.lit("")))
-    j = e.join(lookup, key == F.col("_key"), "left")
-    return j.select("truth", F.coalesce("asset_id", "_found").alias("asset_id"), F.when(F.col("asset_id").isNotNull(), "asset_id").otherwise("series_name").alias("linked_by"))
+    k = F.col("asset_id")
+    e = m.exits.select(F.when(k % 3 != 0, k).alias("asset_id"), "series_name", k.alias("truth"), (k % 3 != 0).alias("own"))
+    return M.linked_exits(e, m.assets).select("truth", "asset_id", F.when(F.col("own"), "asset_id").otherwise("series_name").alias("linked_by"))
+
+
+@query("filing_link", """
+    WITH f AS (SELECT asset_id AS n, CASE asset_id % 3 WHEN 0 THEN 'T' || asset_id WHEN 1 THEN CASE WHEN asset_id % 6 = 1 THEN 'T' || asset_id ELSE 'ALIAS' || asset_id END END AS ticker,
+                      lower(CASE asset_id % 3 WHEN 0 THEN 'Series #T' || asset_id WHEN 1 THEN 'Series #Alias' || asset_id ELSE 'Series ' || asset_id END || ' ' || CASE WHEN asset_id % 3 = 2 THEN name || 's' ELSE '' END) AS text FROM assets),
+    t AS (SELECT a.asset_id, max(f.n) AS hit FROM assets a JOIN f ON f.ticker = ltrim(a.ticker, '#') GROUP BY 1),
+    w AS (SELECT DISTINCT name, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: len(x) >= 4) AS tokens FROM assets),
+    s AS (SELECT w.name, f.n, len(list_filter(tokens, lambda x: contains(f.text, x))) AS score FROM w CROSS JOIN f),
+    b AS (SELECT name, arg_min(n, (-score, n)) AS hit FROM s WHERE score >= 2 GROUP BY name)
+    SELECT a.asset_id, coalesce(t.hit, b.hit) AS filing_id, CASE WHEN t.hit IS NOT NULL THEN 'ticker' WHEN b.hit IS NOT NULL THEN 'name' END AS linked_by FROM assets a LEFT JOIN t USING (asset_id) LEFT JOIN b USING (name)""")
+def _(m):
+    k, id_text = F.col("asset_id"), F.col("asset_id").cast("string")
+    series = F.when(k % 3 == 0, F.concat(F.lit("Series #T"), id_text)).when(k % 3 == 1, F.concat(F.lit("Series #Alias"), id_text)).otherwise(F.concat(F.lit("Series "), id_text))
+    rows = m.assets.select(k.alias("filing_id"), series.alias("series_name"), F.when(k % 3 == 2, F.concat("name", F.lit("s"))).otherwise("").alias("asset_name"))
+    aliases = m.assets.filter(k % 6 == 1).select(F.concat(F.lit("Alias"), id_text).alias("alias"), F.concat(F.lit("t"), id_text).alias("target"))
+    return L.link_filings(m.assets, rows, aliases)
 
 
 @query("asset_universe_build", """

@@ -294,3 +294,51 @@ def test_correlation_windows_use_only_what_had_arrived(frame):
     assert known[("2000-03-31", "2000-03-31")] == known[("2000-06-30", "2000-03-31")] == 10.5
     assert known[("2000-09-30", "2000-03-31")] == known[("2001-12-31", "2000-03-31")] == 62 / 3
     assert ("2000-03-31", "2000-06-30") not in known
+
+
+def test_filing_links_equal_brute_force_with_common_tokens(spark):
+    """Every second name holds the same two common tokens; links must equal scanning all filings, and rare tokens alone are looked up where there are any."""
+    import re
+
+    from tessera.operators import linking as L
+
+    rng = random.Random(9)
+    words = ["gold", "watch", *[f"model{i:03d}" for i in range(60)], "abc", "fossil"]
+    name = lambda: " ".join(([] if rng.random() < 0.5 else ["gold", "watch"]) + rng.sample(words, rng.randrange(1, 4)) + rng.choice([[], ["twin", "twin"]]))
+    assets = [(i, f"#A{i}", rng.choice([None, name(), name()])) for i in range(150)]
+    filings = [(i, rng.choice([f"Series #A{i}", f"Series #B{i}", f"series {i}", None]), rng.choice([None, name(), name() + "s", "twinned golden"])) for i in range(120)]
+    aliases = [(f"b{i}", f"a{i}") for i in range(0, 120, 2)]
+
+    def tokens(text):
+        return [t for t in re.split(r"[^a-z0-9]+", (text or "").lower()) if len(t) >= 4 and t not in L.STOP_TOKENS]
+
+    def ticker(series):
+        found = re.search(r"#([A-Za-z0-9]+)\b", series or "")
+        t = found.group(1).upper() if found else (series or "").upper()
+        return {a.upper(): b.upper() for a, b in aliases}.get(t, t)
+
+    want = {}
+    for i, tick, text in assets:
+        hits = [f for f, s, _ in filings if ticker(s) == tick[1:]]
+        if hits:
+            want[i] = (hits[-1], "ticker")
+            continue
+        scores = [(-sum(t in f"{(s or '').lower()} {(n or '').lower()}" for t in tokens(text)), f) for f, s, n in filings]
+        best = min(scores)
+        want[i] = (best[1], "name") if best[0] <= -2 else (None, None)
+    got = L.link_filings(spark.createDataFrame(assets, "asset_id long, ticker string, name string"), spark.createDataFrame(filings, "filing_id long, series_name string, asset_name string"),
+                         spark.createDataFrame(aliases, "alias string, target string"))
+    assert {r["asset_id"]: (r["filing_id"], r["linked_by"]) for r in got.collect()} == want
+    assert {v[1] for v in want.values()} == {"ticker", "name", None}
+
+
+def test_identifiers_resolve_with_mismatch_and_history(spark):
+    from tessera.operators import linking as L
+
+    registry = spark.createDataFrame([("a1", "#AA", "Gold Watch", "watches"), ("a2", "#BB", "Gold Watch", "cards"), ("a3", "#CC", "Red Car", "cars")], "asset_id string, ticker string, name string, category string")
+    asked = spark.createDataFrame([(1, " #aa ", None), (2, "gold watch", None), (3, "nobody", None), (4, "RED CAR", "watches"), (5, "red", "CARS"), (6, "A3", "cars"), (7, None, None)], "qid int, ident string, expected_category string")
+    aliases = spark.createDataFrame([("red", "#CC"), ("A3", "#cc")], "alias string, target string")
+    got = {r["qid"]: (r["status"], r["asset_id"], r["warnings"]) for r in L.resolve_identifiers(asked, registry, registry.filter("asset_id = 'a1'"), aliases).collect()}
+    assert got[1] == ("matched", "a1", []) and got[2] == ("ambiguous", None, ["ambiguous_asset_match:gold watch"]) and got[3] == ("unknown", None, ["unknown_asset_id:nobody"])
+    assert got[4] == ("category_mismatch", "a3", ["category_mismatch: factors=watches registry=cars", "missing_historical_price_data"])
+    assert got[5][:2] == got[6][:2] == ("matched", "a3") and got[7][0] == "unknown"
