@@ -17,6 +17,7 @@ from tessera.plans.series_plans import AS_OF, daily
 from tessera.plans.story_plans import movers
 from tessera.session import staged
 from tessera.sources import tables as IO
+from tessera.sources.archive import Archive, append_run, read_ledger
 from tessera.sources.market_views import Market
 
 
@@ -135,12 +136,12 @@ def _(m):
 @query("sink_archive_checked", """
     SELECT year(date) AS year, count(*) AS rows, r4(sum(CASE WHEN date >= DATE '2001-01-01' THEN adjusted_close * 2 ELSE adjusted_close END)) AS total FROM benchmarks GROUP BY 1""")
 def _(m):
-    folder = IO.work_folder(m.spark, "archive")
     b = m.benchmarks.withColumn("year", F.year("date"))
-    IO.write_checked(b, folder, "year", ["ticker", "date"])
+    archive = Archive(m.spark, IO.work_folder(m.spark, "archive"), b.schema, "year", ["ticker", "date"])
+    archive.publish(b)
     # a refresh replaces its own partition only
-    IO.write_checked(b.filter("date >= DATE '2001-01-01'").withColumn("adjusted_close", F.col("adjusted_close") * 2), folder, "year", ["ticker", "date"])
-    back = m.spark.read.parquet(folder)
+    archive.publish(b.filter("date >= DATE '2001-01-01'").withColumn("adjusted_close", F.col("adjusted_close") * 2))
+    back = archive.read()
     return back.groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("rows"), rnd(F.sum("adjusted_close"), 4).alias("total"))
 
 
@@ -184,20 +185,34 @@ def _(m):
     return back.groupBy("period").agg(F.count(F.lit(1)).alias("leads"), rnd(F.min(r)).alias("worst"), rnd(F.max(r)).alias("best"))
 
 
-@query("run_ledger", """
-    WITH b AS (SELECT *, FALSE AS rep FROM assets UNION ALL SELECT *, asset_id % 50 <> 7 FROM assets WHERE asset_id % 40 = 3),
+ENCODED = "CASE WHEN {0} IS NULL THEN 'N;' ELSE length(CAST({0} AS VARCHAR)) || ':' || {0} || ';' END"
+CHECKSUM_SQL = "CAST(coalesce(sum(CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)), 0) AS DECIMAL(38,0))"
+
+
+@query("run_ledger", f"""
+    WITH b AS (SELECT *, asset_id AS seq, FALSE AS rep FROM assets UNION ALL SELECT *, asset_id + 1000000000000, asset_id % 50 <> 7 FROM assets WHERE asset_id % 40 = 3),
     r AS (SELECT asset_id % 50 = 7 OR rep OR asset_id % 47 = 5 OR asset_id % 53 = 6 OR asset_id % 41 = 9 OR asset_id % 60 = 5 OR asset_id % 45 = 4 OR asset_id % 33 = 8 OR asset_id % 70 = 9
-          OR (status = 'exited' AND asset_id % 40 <> 0) AS bad, asset_id % 40 = 0 OR asset_id % 25 = 6 OR asset_id % 33 = 8 AS warned FROM b)
-    SELECT 'run-1' AS run_id, count(*) AS input_rows, count(*) FILTER (NOT bad) AS accepted_rows, count(*) FILTER (bad) AS rejected_rows, count(*) FILTER (warned) AS warning_rows, TRUE AS hashed FROM r""")
+          OR (status = 'exited' AND asset_id % 40 <> 0) AS bad, asset_id % 40 = 0 OR asset_id % 25 = 6 OR asset_id % 33 = 8 AS warned,
+          seq, CASE WHEN asset_id % 50 = 7 THEN '  ' ELSE CAST(asset_id AS VARCHAR) END AS k, CASE WHEN asset_id % 60 = 5 THEN 'Bogus' ELSE status END AS state FROM b),
+    one AS (SELECT 'all' AS what, * FROM r UNION ALL SELECT 'even', * FROM r WHERE seq % 2 = 0)
+    SELECT what, count(*) AS input_rows, count(*) FILTER (NOT bad) AS accepted_rows, count(*) FILTER (bad) AS rejected_rows, count(*) FILTER (warned) AS warning_rows,
+           {CHECKSUM_SQL.format(" || ".join(ENCODED.format(c) for c in ("seq", "k", "state")))} AS input_hash, 'completed_with_rejections' AS status
+    FROM one GROUP BY what""")
 def _(m):
-    v = Q.validate_assets(raw_assets(m), "seq")
-    return IO.ledger_row(v, "run-1").select("run_id", "input_rows", "accepted_rows", "rejected_rows", "warning_rows", F.col("input_hash").isNotNull().alias("hashed"))
+    """Both imports run twice; the ledger keeps one row of each."""
+    folder, raw = IO.work_folder(m.spark, "ledger"), raw_assets(m)
+    verdicts = staged(Q.validate_assets(raw, "seq"))
+    for what, rows in (("all", F.lit(True)), ("even", F.col("seq") % 2 == 0)) * 2:
+        append_run(m.spark, folder, IO.ledger_row(verdicts.filter(rows), raw.filter(rows).select("seq", F.col("asset_id").alias("k"), F.col("status").alias("state")), what))
+    return read_ledger(m.spark, folder).select(F.substring_index("run_id", "-", 1).alias("what"), "input_rows", "accepted_rows", "rejected_rows", "warning_rows", "input_hash", "status")
 
 
-@query("source_fingerprint", """
-    SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws('|', asset_id, name, category, size)), 1, 8) AS BIGINT)) AS DECIMAL(38,0)) AS checksum, count(*) AS rows FROM assets""")
+@query("source_fingerprint", f"""
+    SELECT {CHECKSUM_SQL.format(" || ".join(ENCODED.format(c) for c in ("asset_id", "name", "category", "size", "color")))} AS checksum, count(*) AS rows
+    FROM (SELECT asset_id, name, CASE WHEN asset_id % 5 = 0 THEN NULL WHEN asset_id % 5 = 1 THEN '' ELSE category END AS category, size, color FROM assets)""")
 def _(m):
-    return IO.fingerprint(m.assets.select("asset_id", "name", "category", "size"))
+    k = F.col("asset_id")
+    return IO.fingerprint(m.assets.select("asset_id", "name", F.when(k % 5 == 0, None).when(k % 5 == 1, "").otherwise(F.col("category")).alias("category"), "size", "color"))
 
 
 @query("scatter_export", "SELECT asset_id, ticker, r6(p1) AS current_price, r6(years) AS history_years FROM scatter")

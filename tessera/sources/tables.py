@@ -72,30 +72,30 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
 
 
-def write_checked(df: DataFrame, folder: str, partition: str, keys: list[str]) -> None:
-    """Replace only the partitions present in `df`, after the keys proved unique."""
-    repeated = df.groupBy(*keys).count().filter("count > 1")
-    if not repeated.isEmpty():
-        raise ValueError(f"duplicate rows for {keys}; nothing was written")
-    # one writer task per partition value keeps the number of files small
-    df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
-
-
 def write_json_lines(df: DataFrame, folder: str) -> None:
     """One JSON document per row; a large report stays many part files."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(folder)
 
 
+def encoded_row(columns: list[str]) -> Column:
+    """A row as one text that no other row has: every field with its length, a missing one as N."""
+    fields = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.when(f.isNull(), F.lit("N;")).otherwise(F.concat(F.char_length(f).cast("string"), F.lit(":"), f, F.lit(";"))) for f in fields])
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash and row count of a table: sums of row hashes, no sort and no collected rows."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
-    part = F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.sum(part.cast("decimal(20,0)")).cast("decimal(38,0)").alias("checksum"), F.count(F.lit(1)).alias("rows"))
+    """Order-free content hash and row count of a table as a multiset: sums of 60-bit row hashes, no sort and no collected rows."""
+    part = F.conv(F.substring(F.md5(encoded_row(df.columns)), 1, 15), 16, 10).cast("bigint")
+    return df.agg(F.coalesce(F.sum(part.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum"), F.count(F.lit(1)).alias("rows"))
 
 
-def ledger_row(verdicts: DataFrame, run: str) -> DataFrame:
-    """One audit row of an import: counts of accepted, rejected and warned rows and the content hash."""
+def ledger_row(verdicts: DataFrame, source: DataFrame, importer: str, version: str = "1") -> DataFrame:
+    """One audit row of an import: counts of accepted, rejected and warned rows, the content hash of its source, and the key that a
+    repeat of the same import has as well."""
     counts = verdicts.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if("accepted").alias("accepted_rows"), F.count_if(~F.col("accepted")).alias("rejected_rows"),
                           F.count_if(F.col("warning_reason") != "").alias("warning_rows"))
-    return counts.join(fingerprint(verdicts).select(F.col("checksum").alias("input_hash"))).withColumn("run_id", F.lit(run))
-
+    content = fingerprint(source).select(F.col("checksum").alias("input_hash"), F.col("rows").alias("_rows"))
+    key = F.sha2(F.concat_ws("|", F.lit(importer), F.lit(version), F.col("input_hash").cast("string"), F.col("_rows").cast("string")), 256)
+    return counts.join(content).select(
+        key.alias("run_key"), F.concat(F.lit(f"{importer}-"), F.substring(key, 1, 12)).alias("run_id"), "input_hash", "input_rows", "accepted_rows", "rejected_rows", "warning_rows",
+        F.lit(version).alias("importer_version"), F.when(F.col("rejected_rows") > 0, "completed_with_rejections").otherwise("completed").alias("status"))
