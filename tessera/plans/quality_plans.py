@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.columns import change, rnd
 
 from tessera.operators import quality as Q
+from tessera.operators import range_rules as R
 
 from tessera.plans.index_plans import family
 from tessera.plans.market_plans import rounded
@@ -180,6 +181,46 @@ def _(m):
     return Q.quote_ranges(q).select("asset_id", "date", "currency", "violations")
 
 
+#: A sound value and a broken one per rule; record k breaks its type's rule k % FAULTS and no other.
+FAULTS = 23
+SOUND = {"text": "USD", "number": "0.5", "integer": "3", "date": "2000-01-31", "flag": "true"}
+BROKEN = {"positive": "0", "non_negative": "-1", "non_positive": "0.5", "unit": "1.5", "percent": "100.5", "nonempty": "", "category": "Watches", "three_letters": "US", "not_below_bid": "0.25"}
+NAMED_WRONG = {"date": "2000-02-31", "number": "ten", "integer": "3.x", "flag": "perhaps"}
+
+
+def faulty_rules(model: str) -> list[tuple[str, str, str | None]]:
+    """(field, rule that must be reported, bad text) for every rule of a model."""
+    out = []
+    for name, kind, required, rule in R.RULES[model]:
+        out.append((name, rule, BROKEN[rule]) if rule else (name, "missing", None) if required else (name, f"not_{kind}", NAMED_WRONG[kind]))
+    return out
+
+
+MODEL_FAULTS_SQL = ", ".join(f"('{model}', {i}, '{name}', '{rule}')" for model in R.RULES for i, (name, rule, _) in enumerate(faulty_rules(model)))
+
+
+@query("model_ranges", f"""
+    SELECT asset_id, f.model AS model, field, rule FROM assets JOIN (VALUES {MODEL_FAULTS_SQL}) AS f(model, i, field, rule) ON asset_id % {FAULTS} = i""")
+def _(m):
+    parts = []
+    for model, rules in R.RULES.items():
+        bad, columns = faulty_rules(model), {}
+        for name, kind, _, rule in rules:
+            value = F.lit("other" if name == "category" else "-0.5" if rule == "non_positive" else SOUND[kind])
+            for i, (field, _, text) in enumerate(bad):
+                if field == name:
+                    value = F.when(F.col("asset_id") % FAULTS == i, F.lit(text)).otherwise(value)
+                if name == "bid" and (field, text) == ("ask", BROKEN["positive"]):  # an ask of 0 is below any bid
+                    value = F.when(F.col("asset_id") % FAULTS == i, F.lit(None)).otherwise(value)
+            columns.setdefault(name, value)
+        frame = m.assets.select(F.col("asset_id").alias("_id"), *[c.alias(name) for name, c in columns.items()])
+        parts.append(R.range_violations(frame, model, ["_id"]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("_id").alias("asset_id"), "model", "field", "rule")
+
+
 @query("research_coverage", """
     WITH p AS (SELECT * FROM observations WHERE event_type IN ('executed_trade', 'daily_close', 'chart_observation')),
     g AS (SELECT asset_id, count(*) AS n, count(*) FILTER (precision_status = 'exact') AS ex, count(*) FILTER (precision_status = 'rounded') AS ro, count(DISTINCT period_end) AS cap_q,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import rnd
@@ -275,7 +277,7 @@ def _(m):
     return shown(T.index_attribution(T.latest_index_day(res.series, periods(m)), res.contributions), "top_3_positive_share", "constituent_count")
 
 
-def all_leads(m: Market) -> DataFrame:
+def detectors(m: Market) -> list[DataFrame]:
     """Leads of every detector family."""
     p, mk = staged(periods(m)), staged(marks(m))
     r = staged(T.period_returns(mk, p))
@@ -283,19 +285,53 @@ def all_leads(m: Market) -> DataFrame:
     totals = m.observations.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_obs"))
     res = story_index(m)
     days = staged(T.latest_index_day(res.series, p))
-    parts = [T.extreme_movers(r, totals), T.category_moves(r), T.breadth(r), T.contrast(r), T.drawdowns(cur), T.benchmark_gaps(r, bench(m), p), T.stale_marks(cur),
+    return [T.extreme_movers(r, totals), T.category_moves(r), T.breadth(r), T.contrast(r), T.drawdowns(cur), T.benchmark_gaps(r, bench(m), p), T.stale_marks(cur),
              T.exit_stories(T.exits_in_period(exits(m), p)), T.correlation_regimes(m.observations, bench(m), p), T.volatility_regimes(mk, p), T.streaks(mk, p),
              T.exit_benchmark(T.exits_in_period(exits(m), p), bench(m)), T.rank_jumps(archive(m, "latest_quarter_return"), p), T.fair_value_gaps(cur, valuations(m), m.assets.select("asset_id", "share_count")),
              T.index_weighting(days), T.index_attribution(days, res.contributions)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
 
 @query("story_slate")
 def _(m):
-    return T.slate(T.with_score(all_leads(m)))
+    # every detector runs once; its leads are kept without their facts, and pruned before they are united
+    parts = [staged(T.with_score(part).select("period", "family", "kind", "subject_id", "quality", "story_id", "content_score")) for part in detectors(m)]
+    return T.slate(reduce(DataFrame.unionByName, parts), candidates=reduce(DataFrame.unionByName, [T.contenders(part) for part in parts]))
+
+
+def return_leads(m: Market) -> DataFrame:
+    """Every return of a period as a lead, in seven families and few subjects, so that all caps bind."""
+    k = F.col("asset_id")
+    token = F.concat(F.date_format("period", "yyyyMM"), F.lit("-"), F.lpad(k.cast("string"), 8, "0"))
+    return period_returns(m).select(
+        "period", F.concat(F.lit("f"), k % 7).alias("family"), F.concat(F.lit("k"), F.floor(k / 7) % 5).alias("kind"), F.concat(F.lit("s"), F.floor(k / 3) % 40).alias("subject_id"),
+        F.when(k % 11 == 0, 0.2).otherwise(0.5).alias("quality"), token.alias("story_id"), F.round(F.abs("ret") * 100, 1).alias("content_score"))
+
+
+@query("slate_of_returns", """
+    WITH RECURSIVE l AS (
+      SELECT period, 'f' || asset_id % 7 AS family, 'k' || (asset_id // 7) % 5 AS kind, 's' || (asset_id // 3) % 40 AS subject_id, strftime(period, '%Y%m') || '-' || lpad(CAST(asset_id AS VARCHAR), 8, '0') AS story_id,
+             round(abs(ret) * 100, 1) AS content_score FROM st_r WHERE asset_id % 11 <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY content_score DESC, story_id) AS i FROM l),
+    w(period, i, picks, subject_id, kind, what, angle_of) AS (
+      SELECT DISTINCT period, CAST(0 AS BIGINT), CAST([] AS STRUCT(subject_id VARCHAR, family VARCHAR, story_id VARCHAR, i BIGINT)[]), NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM o
+      UNION ALL
+      SELECT o.period, o.i,
+        CASE WHEN len(list_filter(picks, lambda x: x.subject_id = o.subject_id)) < 2 AND len(list_filter(picks, lambda x: x.family = o.family)) < 5 AND len(list_filter(picks, lambda x: x.subject_id = o.subject_id AND x.family = o.family)) = 0
+             THEN list_append(picks, {'subject_id': o.subject_id, 'family': o.family, 'story_id': o.story_id, 'i': o.i}) ELSE picks END,
+        o.subject_id, o.kind,
+        CASE WHEN len(list_filter(picks, lambda x: x.subject_id = o.subject_id AND x.family = o.family)) > 0 THEN 'again'
+             WHEN len(list_filter(picks, lambda x: x.subject_id = o.subject_id)) >= 2 OR len(list_filter(picks, lambda x: x.family = o.family)) >= 5 THEN 'kept out' ELSE 'taken' END,
+        (list_filter(picks, lambda x: x.subject_id = o.subject_id)[1]).story_id
+      FROM w JOIN o ON o.period = w.period AND o.i = w.i + 1),
+    t AS (SELECT o.*, row_number() OVER (PARTITION BY o.period ORDER BY o.i) AS nth, count(*) OVER (PARTITION BY o.period) AS n, row_number() OVER (PARTITION BY o.period, o.family ORDER BY o.i) AS f
+          FROM o JOIN w ON w.period = o.period AND w.i = o.i WHERE w.what = 'taken'),
+    p AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY CASE WHEN n > 20 AND f > 1 THEN 1 ELSE 0 END, nth) AS position FROM t),
+    k AS (SELECT period, angle_of, kind, min(i) AS i FROM w WHERE what = 'kept out' AND angle_of IS NOT NULL GROUP BY ALL),
+    a AS (SELECT period, angle_of, string_agg(kind, ',' ORDER BY i) AS angles FROM k GROUP BY ALL)
+    SELECT p.period, p.story_id, p.family, p.kind, p.subject_id, r6(content_score) AS content_score, position, coalesce(angles, '') AS secondary_angles
+    FROM p LEFT JOIN a ON a.period = p.period AND a.angle_of = p.story_id WHERE position <= 20""")
+def _(m):
+    out = T.slate(staged(return_leads(m)))
+    return out.select("period", "story_id", "family", "kind", "subject_id", rnd("content_score").alias("content_score"), F.col("position").cast("bigint").alias("position"), F.array_join("secondary_angles", ",").alias("secondary_angles"))
 
 
 @query("story_schema", """

@@ -280,3 +280,19 @@ def test_alignment_methods(frame):
     b = frame([("X", "2024-01-31", 10), ("X", "2024-02-10", 11)], "ticker string, date date, adjusted_close double")
     assert B.align(s, b, "exact").count() == 1
     assert [r["benchmark_value"] for r in B.align(s, b, "previous").orderBy("date").collect()] == [10, 11]
+
+
+def test_range_rules_of_every_record_type(spark):
+    from tessera.operators import range_rules as R
+
+    rows = spark.createDataFrame([(1, "2000-01-01", "a", 2.0, 1.0, "x", None, "s"), (2, None, None, 2.0, 3.0, "5", "-1", "s"), (3, "2000-13-01", "a", None, 1.0, "-4", "0", None)],
+                                 "id int, date string, asset_id string, bid double, ask double, last string, volume string, source string")
+    got = {(r["id"], r["field"], r["rule"]) for r in R.range_violations(rows, "price_observation", ["id"]).collect()}
+    assert got == {(1, "last", "not_number"), (1, "ask", "not_below_bid"), (2, "date", "missing"), (2, "asset_id", "missing"), (2, "volume", "non_negative"),
+                   (3, "date", "not_date"), (3, "last", "positive"), (3, "source", "missing")}
+    assert len(R.RULES) == 10
+    for model, rules in R.RULES.items():  # a row without any field breaks every required one
+        empty = {r["field"] for r in R.range_violations(spark.range(1), model, ["id"]).collect()}
+        assert empty == {name for name, _, required, _ in rules if required}
+    sale = R.conformed(spark.createDataFrame([("c", "usd", None), ("d", None, 3)], "comp_id string, currency string, extra int"), "comparable_sale").orderBy("comp_id").collect()
+    assert [r["currency"] for r in sale] == ["USD", "USD"] and sale[1]["extra"] == 3
