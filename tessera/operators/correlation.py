@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.session import staged
 
-PAIR_SCHEMA = "a string, b string, correlation double, overlap bigint, overlap_start date, overlap_end date"
+#: Subjects of a block, and array cells that ranking holds at once.
+PER_BLOCK, RANK_CELLS = 128, 1 << 22
+PAIR_SCHEMA = "a string, b string, correlation double, overlap bigint, first bigint, last bigint"
 
 
 def _ranks(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Average ranks along the last axis inside the mask."""
+    """Average ranks along the last axis inside the mask, a bounded number of rows at a time."""
+    rows = max(1, RANK_CELLS // max(1, x.shape[1] ** 2))
+    if len(x) > rows:
+        return np.concatenate([_ranks(x[k : k + rows], mask[k : k + rows]) for k in range(0, len(x), rows)])
     both = mask[:, :, None] & mask[:, None, :]
     less = ((x[:, None, :] < x[:, :, None]) & both).sum(2)
     same = ((x[:, None, :] == x[:, :, None]) & both).sum(2)
@@ -43,41 +48,41 @@ def _block_pairs(left: np.ndarray, right: np.ndarray, method: str) -> Iterator[t
         yield corr, n, mask
 
 
-def correlation_pairs(returns: DataFrame, method: str = "pearson", minimum_overlap: int = 6, blocks: int = 4) -> DataFrame:
+def correlation_pairs(returns: DataFrame, method: str = "pearson", minimum_overlap: int = 6, per_block: int = PER_BLOCK) -> DataFrame:
     """All unordered pairs `(a, b)` with a < b from `(subject_id, date, ret)`.
 
-    Each subject becomes one vector over the shared calendar. Subjects are spread over blocks and each pair of blocks is
-    one task of dense array work, so pairs are never expanded to rows per period. `blocks` grows with the number of
-    subjects: a task holds 2 x subjects / blocks vectors.
+    Each subject becomes one vector over the shared calendar. Subjects are dealt to blocks of about `per_block`, so their number grows with the
+    subjects, and each pair of blocks is one task of dense array work that holds two blocks, however many subjects there are. Pairs are
+    never expanded to rows per period.
     """
-    cells = F.map_from_entries(F.collect_list(F.struct("date", "ret")))
-    vectors = returns.filter("ret IS NOT NULL").groupBy("subject_id").agg(cells.alias("cells"))
-    calendar = returns.filter("ret IS NOT NULL").agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    dense = vectors.join(calendar).select("subject_id", "dates", F.transform("dates", lambda d: F.col("cells")[d]).alias("v"))
-    block = F.pmod(F.xxhash64("subject_id"), F.lit(blocks))
-    placed = dense.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.select("subject_id", "dates", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = returns.filter("ret IS NOT NULL")
+    calendar = rows.agg(F.sort_array(F.collect_set("date")).alias("dates"))
+    vectors = rows.groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("date", "ret"))).alias("cells"))
+    count = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("subject_id") / F.lit(per_block))).cast("int").alias("blocks"))
+    dense = vectors.join(calendar).join(count).select("subject_id", "blocks", F.transform("dates", lambda d: F.col("cells")[d]).alias("v"))
+    placed = dense.withColumn("block", F.pmod(F.xxhash64("subject_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("subject_id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        dates = np.array(pdf["dates"].iloc[0], dtype=object)
         left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        lm = np.array([np.array(v, dtype=float) for v in left["v"]]).reshape(len(left), -1)
-        rm = np.array([np.array(v, dtype=float) for v in right["v"]]).reshape(len(right), -1)
-        names = right["subject_id"].to_numpy()
-        out = []
+        matrix = lambda f: np.array([np.array(v, dtype=float) for v in f["v"]]).reshape(len(f), -1)
+        names, parts = right["subject_id"].to_numpy(), []
         if len(left) and len(right):
-            for name, (corr, n, mask) in zip(left["subject_id"], _block_pairs(lm, rm, method)):
-                keep = names != name if i != j else names > name
+            for name, (corr, n, mask) in zip(left["subject_id"], _block_pairs(matrix(left), matrix(right), method)):
+                keep = (names != name if i != j else names > name)
                 first, last = mask.argmax(1), mask.shape[1] - 1 - mask[:, ::-1].argmax(1)
-                for k in np.flatnonzero(keep):
-                    a, b = (name, names[k]) if name < names[k] else (names[k], name)
-                    enough = n[k] >= minimum_overlap and not np.isnan(corr[k])
-                    out.append((a, b, float(corr[k]) if enough else None, int(n[k]), dates[first[k]] if n[k] else None,
-                                dates[last[k]] if n[k] else None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
-
-    return placed.groupBy("i", "j").applyInPandas(solve, PAIR_SCHEMA)
+                enough, none = (n >= minimum_overlap) & ~np.isnan(corr), n == 0
+                part = pd.DataFrame({"a": name, "b": names, "correlation": np.where(enough, corr, np.nan), "overlap": n, "first": np.where(none, -1, first), "last": np.where(none, -1, last)})[keep]
+                swap = part["a"] > part["b"]
+                part.loc[swap, ["a", "b"]] = part.loc[swap, ["b", "a"]].to_numpy()
+                parts.append(part)
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in PAIR_SCHEMA.split(", ")})
+
+    pairs = placed.groupBy("i", "j").applyInPandas(solve, PAIR_SCHEMA).join(calendar)
+    value = F.when(~F.isnan("correlation"), F.col("correlation"))
+    day = lambda c: F.when(F.col(c) >= 0, F.get("dates", F.col(c).cast("int")))
+    return pairs.select("a", "b", value.alias("correlation"), "overlap", day("first").alias("overlap_start"), day("last").alias("overlap_end"))
 
 
 def distance(correlation: Column | str, method: str = "sqrt") -> Column:

@@ -236,7 +236,7 @@ def _(m):
     WHERE a.period_return IS NOT NULL AND b.period_return IS NOT NULL GROUP BY ALL""")
 def _(m):
     s = family(m).series.filter("period_return IS NOT NULL").select(F.concat_ws(":", "family", "weighting").alias("subject_id"), "date", F.col("period_return").alias("ret"))
-    return K.correlation_pairs(s, minimum_overlap=2, blocks=2).select("a", "b", F.col("overlap").alias("periods"), rnd("correlation").alias("correlation"))
+    return K.correlation_pairs(s, minimum_overlap=2).select("a", "b", F.col("overlap").alias("periods"), rnd("correlation").alias("correlation"))
 
 
 @query("matrix_export", """

@@ -342,3 +342,25 @@ def test_identifiers_resolve_with_mismatch_and_history(spark):
     assert got[1] == ("matched", "a1", []) and got[2] == ("ambiguous", None, ["ambiguous_asset_match:gold watch"]) and got[3] == ("unknown", None, ["unknown_asset_id:nobody"])
     assert got[4] == ("category_mismatch", "a3", ["category_mismatch: factors=watches registry=cars", "missing_historical_price_data"])
     assert got[5][:2] == got[6][:2] == ("matched", "a3") and got[7][0] == "unknown"
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_correlation_blocks_grow_with_the_subjects(spark, method):
+    """60 subjects in blocks of 8: every pair once, as pandas has it, over more tasks than a fixed few."""
+    from tessera.operators import correlation as K
+
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.normal(size=(24, 60)).round(2), columns=[f"s{i:02d}" for i in range(60)], index=pd.date_range("2000-01-01", periods=24))
+    data[data.abs() > 1.5] = np.nan
+    data["s07"] = 1.0
+    rows = [(c, d.date(), float(v)) for c in data for d, v in data[c].items() if not np.isnan(v)]
+    pairs = K.correlation_pairs(spark.createDataFrame(rows, "subject_id string, date date, ret double"), method, per_block=8)
+    got = {(r["a"], r["b"]): r for r in pairs.collect()}
+    want = data.corr(method=method, min_periods=6)
+    assert len(got) == 60 * 59 // 2
+    for (a, b), r in got.items():
+        both = data[[a, b]].dropna()
+        assert r["overlap"] == len(both) and (r["overlap_start"], r["overlap_end"]) == (both.index[0].date(), both.index[-1].date())
+        assert (r["correlation"] is None) == (bool(np.isnan(want.loc[a, b])) or "s07" in (a, b)) and (r["correlation"] is None or abs(r["correlation"] - want.loc[a, b]) < 1e-9)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
