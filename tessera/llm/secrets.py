@@ -66,7 +66,10 @@ def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tu
             continue
         while at < len(spans) and spans[at][1] <= m.start():
             at += 1
-        if not any(s[0] < m.end() and m.start() < s[1] for s in spans[at:]):
+        k = at  # spans go by start, so only those that begin before the token's end can overlap it
+        while k < len(spans) and spans[k][0] < m.end() and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or spans[k][0] >= m.end():
             yield m.start(), m.end(), token
 
 
