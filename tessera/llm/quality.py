@@ -78,7 +78,11 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _dictionary(texts: list[str | None]) -> bytes:
     import zstandard
 
-    pieces = [p for t in texts for p in _cut(t)[:PIECES]]
+    pieces = []
+    for text in texts:
+        cut = _cut(text)
+        # a long text gives pieces from all of its length
+        pieces += cut if len(cut) <= PIECES else [cut[k * len(cut) // PIECES] for k in range(PIECES)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces, k=200, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
