@@ -9,7 +9,7 @@ group of copies costs work in proportion to its size and never all of its pairs.
    only share a common passage therefore never meet. The order may come from any statistic; it does not affect the result.
 3. Stars. Each document of a tile is compared with one leader of the tile. That joins most of every large group.
 4. Crossing tiles. Only tiles that still hold several components go on. Documents outside the tile's largest component
-   meet all documents of it, block by block, in size bands. Signatures are parity bitmaps whose length follows the size band: a differing bit needs a
+   meet the documents of it in their own and the two adjacent size bands, block by block. Signatures are parity bitmaps whose length follows the size band: a differing bit needs a
    differing shingle, so `(|A| + |B| - differing bits) / 2` bounds the overlap from above. First the best pair between a
    document and a component is verified, then every pair that still crosses components.
 5. Verification intersects the sorted arrays of shingle hashes. Each set travels once to each of its leaders.
@@ -23,6 +23,7 @@ comes out as null, its component being that of the smallest id that is not null,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ HOT_KEYS = 65_536  # frequent shingles that are ordered last; a bound of the bro
 HOT_COUNT = 8  # documents of batches that make a shingle frequent
 BLOCK = 2_048  # documents of a tile that meet in one task
 STAR_ROWS = 20_000  # documents of a frequent shingle that share one star
-FILTER_BITS = 26  # size of the node filter that is broadcast: 2 ** 26 bits are 8 MB
+KEYS, KEY_PARTS = 8_000_000, 8  # shingles of a batch that are counted together, in parts of their range
+SALTS = 64  # parts of a large group of equal sets
+FILTER_BITS = (26, 30)  # the node filter that is broadcast has 16 bits a node, from 8 MB up to 128 MB
 PAIRS = 1_000_000  # candidates that a task looks at together
 
 _DOCS = "kind string, node long, n long, d1 long, d2 long, bits binary, key long, docs long"
@@ -54,28 +57,57 @@ def _first(values: np.ndarray, threshold: int) -> int:
     return len(values) - -(-threshold * len(values) // 100) + 1
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _repeated(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand more than once in sorted runs, and how often: a part of the value range at a time."""
+    keys, counts = [], []
+    for part in range(KEY_PARTS):
+        low, high = (np.uint64(min((1 << 64) // KEY_PARTS * p, (1 << 64) - 1)) for p in (part, part + 1))
+        cut = [r[np.searchsorted(r, low) : len(r) if part == KEY_PARTS - 1 else np.searchsorted(r, high)] for r in runs]
+        found = np.concatenate(cut)
+        found.sort()
+        edges = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True])))
+        times = np.diff(edges)
+        keys.append(found[edges[:-1][times > 1]])
+        counts.append(times[times > 1])
+    return np.concatenate(keys), np.concatenate(counts)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (size, digest of the set, signature) and a row per shingle that a batch holds in two classes."""
-    import hashlib
+    """A row per document (size, digest of the set, signature) and a row per shingle that a batch holds in two classes. Sets are made a
+    slice of the batch at a time; of their shingles, at most KEYS are held before they are counted."""
+
+    def counted(runs):
+        keys, count = _repeated(runs)
+        k, none = len(keys), [None] * len(keys)
+        return _record(["key"] * k, pa.nulls(k, pa.int64()), none, none, none, none, keys.view(np.int64), count)
 
     for batch in batches:
-        node, n, d1, d2, bits, seen, known = batch.column("node"), [], [], [], [], [], set()
-        for values in shingles.shingle_sets(batch.column("text")):
-            digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-            n.append(len(values))
-            d1.append(int.from_bytes(digest[:8], "little", signed=True))
-            d2.append(int.from_bytes(digest[8:], "little", signed=True))
-            bits.append(_signature(values) if len(values) else b"")
-            if digest not in known:
-                known.add(digest)
-                seen.append(values)
-        m = len(n)
-        yield _record(["doc"] * m, node, n, d1, d2, bits, [None] * m, [None] * m)
-        if seen:
-            keys, count = np.unique(np.concatenate(seen), return_counts=True)
-            keys, count = keys[count > 1].view(np.int64), count[count > 1]
-            k, none = len(keys), [None] * len(keys)
-            yield _record(["key"] * k, pa.nulls(k, pa.int64()), none, none, none, none, keys, count)
+        known, runs, held = set(), [], 0
+        for piece in shingles.slices([batch]):
+            node, n, d1, d2, bits, seen = piece.column("node"), [], [], [], [], []
+            for values in shingles.shingle_sets(piece.column("text")):
+                digest = _digest(values)
+                n.append(len(values))
+                d1.append(int.from_bytes(digest[:8], "little", signed=True))
+                d2.append(int.from_bytes(digest[8:], "little", signed=True))
+                bits.append(_signature(values) if len(values) else b"")
+                if len(values) and digest not in known:
+                    known.add(digest)
+                    seen.append(values)
+            m = len(n)
+            yield _record(["doc"] * m, node, n, d1, d2, bits, [None] * m, [None] * m)
+            if seen:
+                runs.append(np.sort(np.concatenate(seen)))
+                held += len(runs[-1])
+            if held > KEYS:
+                yield counted(runs)
+                runs, held = [], 0
+        if runs:
+            yield counted(runs)
 
 
 def _record(kind, node, n, d1, d2, bits, key, docs) -> pa.RecordBatch:
@@ -90,33 +122,43 @@ def _postings(threshold: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank, salts = frequent.value
         for batch in batches:
-            node, known, parts, ids, sizes = batch.column("node").to_numpy(zero_copy_only=False), set(), [], [], []
-            places, salt = [], []
-            for values, doc in zip(shingles.shingle_sets(batch.column("text")), node):
-                same = values.tobytes()
-                if not len(values) or same in known:
-                    continue
-                known.add(same)
-                keep, star = _first(values, threshold), np.zeros(len(values), np.int32)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-                    is_hot = hot[at] == values
-                    order = np.lexsort((values, np.where(is_hot, rank[at], 0)))[:keep]
-                    star = np.where(is_hot & (salts[at] > 1), int(doc) % salts[at] + 1, 0)[order]  # 0 only if the key has one star
-                    values, size = values[order], len(values)
-                else:
-                    values, size, star = values[:keep], len(values), star[:keep]
-                parts.append(values)
-                ids.append(np.full(len(values), doc, np.int64))
-                sizes.append(np.full(len(values), size, np.int32))
-                places.append(np.arange(len(values), dtype=np.int32))
-                salt.append(star.astype(np.int32))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([p.view(np.int64) for p in parts], ids, sizes, places, salt)], names=["key", "node", "n", "place", "star"])
+            known = set()
+            for piece in shingles.slices([batch]):
+                yield from posted(piece, known, hot, rank, salts)
+
+    def posted(batch, known, hot, rank, salts):
+        node, parts, ids, sizes = batch.column("node").to_numpy(zero_copy_only=False), [], [], []
+        places, salt = [], []
+        for values, doc in zip(shingles.shingle_sets(batch.column("text")), node):
+            same = _digest(values)
+            if not len(values) or same in known:
+                continue
+            known.add(same)
+            keep, star = _first(values, threshold), np.zeros(len(values), np.int32)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
+                is_hot = hot[at] == values
+                order = np.lexsort((values, np.where(is_hot, rank[at], 0)))[:keep]
+                star = np.where(is_hot & (salts[at] > 1), int(doc) % salts[at] + 1, 0)[order]  # 0 only if the key has one star
+                values, size = values[order], len(values)
+            else:
+                values, size, star = values[:keep], len(values), star[:keep]
+            parts.append(values)
+            ids.append(np.full(len(values), doc, np.int64))
+            sizes.append(np.full(len(values), size, np.int32))
+            places.append(np.arange(len(values), dtype=np.int32))
+            salt.append(star.astype(np.int32))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([p.view(np.int64) for p in parts], ids, sizes, places, salt)], names=["key", "node", "n", "place", "star"])
 
     return run
 
 
+def size_band(n, threshold: int):
+    """Sizes of a linked pair lie in one band or in two adjacent ones; a band is a little wider than the largest ratio of such sizes."""
+    return F.floor(F.log(n) / float(np.log(100 / threshold * (1 + 1e-6))))
+
+
 def _required(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     """Smallest overlap that links sets of these sizes."""
     total = a.astype(np.int64) + b
@@ -171,7 +213,7 @@ def _whole_tiles(frames):
         if f.empty:
             continue
         f = f if kept is None else pd.concat([kept, f], ignore_index=True)
-        last = (f[["key", "l", "r"]] == f[["key", "l", "r"]].iloc[-1]).all(axis=1).to_numpy()
+        last = (f[["key", "band", "l", "r"]] == f[["key", "band", "l", "r"]].iloc[-1]).all(axis=1).to_numpy()
         kept = f[last]
         if not last.all():
             yield f[~last]
@@ -210,7 +252,7 @@ def _crossing(threshold: int, best_only: bool):
     def run(frames):
         for f in _whole_tiles(frames):
             f = f.reset_index(drop=True)
-            tile = f[["key", "l", "r"]].to_numpy()
+            tile = f[["key", "band", "l", "r"]].to_numpy()
             new = np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1)))
             group, side = np.cumsum(new) - 1, f["side"].to_numpy()
             first = np.flatnonzero(new)
@@ -239,7 +281,7 @@ def _passing(shared):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in shingles.slices(batches):
         values = [v.tobytes() for v in shingles.shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.binary())], names=["node", "shingles"])
 
@@ -271,8 +313,13 @@ class _Join:
         read = self.spark.read.schema(_DOCS).parquet(self.scratch.path("profiles"))
         self.keys = read.where("kind = 'key'").select("key", "docs")
         docs = read.where("kind = 'doc'").select("node", "n", "d1", "d2", "bits")
-        least = docs.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("class"))
-        self.nodes = self.scratch.keep(docs.join(least, ["d1", "d2"], "left").select("node", "n", "bits", F.coalesce("class", "node").alias("class")).distinct(), "nodes")
+        # a large group of copies is one row per salt before it meets its class, and no key of the last join holds all of it
+        docs = docs.withColumn("salt", F.pmod("node", F.lit(SALTS)))
+        some = docs.where("n > 0").groupBy("d1", "d2", "salt").agg(F.min("node").alias("least"))
+        least = some.groupBy("d1", "d2").agg(F.min("least").alias("class"))
+        some = some.join(least, ["d1", "d2"]).select("d1", "d2", "salt", "class")
+        classed = docs.join(some, ["d1", "d2", "salt"], "left")
+        self.nodes = self.scratch.keep(classed.select("node", "n", "bits", F.coalesce("class", "node").alias("class")).distinct(), "nodes")
         return self.nodes
 
     def postings(self) -> DataFrame:
@@ -285,9 +332,13 @@ class _Join:
         # a shingle of one document makes no tile, but a star of one document does: its key's other documents are in other stars;
         # equal sets of other batches fall onto their class here
         met = posted.withColumn("rows", F.count("*").over(tile)).withColumn("leader", F.min("node").over(tile)).where("rows > 1 or star > 0")
+        # kept on its own, so the shuffle of all postings is gone before the few that met anything are joined
+        met = self.scratch.keep(met, "met-postings")
         classes = self.nodes.select("node", "class")
         met = met.join(classes, "node").withColumnRenamed("class", "own").join(classes.select(F.col("node").alias("leader"), F.col("class").alias("lead")), "leader")
-        return self.scratch.keep(met.select("key", F.col("own").alias("node"), "n", "place", "lead"), "tiles")
+        tiles = self.scratch.keep(met.select("key", F.col("own").alias("node"), "n", "place", "lead"), "tiles")
+        self.scratch.drop("met-postings")
+        return tiles
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sets truly reach the threshold."""
@@ -302,10 +353,12 @@ class _Join:
         return found
 
     def likely(self, nodes: DataFrame) -> DataFrame:
-        """The texts that a filter of fixed size lets pass: all of these nodes and few others, so few texts are shuffled."""
-        place = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+        """The texts that a filter of bounded size lets pass: all of these nodes and few others, so few texts are shuffled."""
+        low, high = FILTER_BITS
+        size = min(high, max(low, (16 * nodes.count()).bit_length()))
+        place = F.col("node").bitwiseAND(F.lit((1 << size) - 1)) + 1
         parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        bits = np.zeros(1 << (size - 3), np.uint8)
         for r in parts.collect():
             low = (r["part"] - 1) * 4096
             bits[low : low + 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -326,18 +379,29 @@ class _Join:
         rows = rows.withColumn("low", F.min("comp").over(tile)).withColumn("high", F.max("comp").over(tile)).where("low < high").drop("low", "high")
         return self.scratch.keep(rows.dropDuplicates(["key", "node"]), f"rows-{name}")
 
-    def crossing_links(self, rows: DataFrame, name: str, best_only: bool) -> DataFrame:
+    def banded_tiles(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows of open tiles dealt to blocks (key, band, l, r): only documents of equal or adjacent size bands meet. A tile is a key and
+        a band: documents of the band on the left, those outside the main component of the band and its neighbours on the right."""
         shares = rows.groupBy("key", "comp").agg(F.count("*").alias("rows"))
-        tiles = shares.groupBy("key").agg(F.sum("rows").alias("total"), F.max("rows").alias("most"), F.max_by("comp", F.struct("rows", "comp")).alias("main"))
-        rows = rows.join(tiles, "key").join(self.nodes.select("node", "bits"), "node")
-        lefts, rights = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("total", "rest"))
-        rows = rows.withColumn("rest", F.col("total") - F.col("most")).withColumn("lefts", lefts).withColumn("rights", rights)
-        cols = ["key", "l", "r", "side", "node", "n", "place", "comp", "bits"]
-        left = rows.withColumn("side", F.lit(0)).withColumn("l", F.pmod("node", "lefts").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
-        right = rows.where("comp <> main").withColumn("side", F.lit(1)).withColumn("r", F.pmod("node", "rights").cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-        tiles = left.select(cols).union(right.select(cols)).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side")
+        main = shares.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+        rows = self.scratch.keep(rows.join(main, "key").withColumn("size_band", size_band(F.col("n"), self.threshold)), f"banded-{name}")
+        left = rows.withColumn("band", F.col("size_band"))
+        right = rows.where("comp <> main").withColumn("band", F.explode(F.array(*[F.col("size_band") + d for d in (-1, 0, 1)])))
+        tiles = left.groupBy("key", "band").agg(F.count("*").alias("total")).join(right.groupBy("key", "band").agg(F.count("*").alias("rest")), ["key", "band"])
+        lefts, rights = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int").alias(d) for c, d in (("total", "lefts"), ("rest", "rights")))
+        tiles = tiles.select("key", "band", lefts, rights)
+        cols = ["key", "band", "l", "r", "side", "node", "n", "place", "comp", "size_band"]
+        left = left.join(tiles, ["key", "band"]).withColumn("side", F.lit(0)).withColumn("l", F.pmod("node", "lefts").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+        right = right.join(tiles, ["key", "band"]).withColumn("side", F.lit(1)).withColumn("r", F.pmod("node", "rights").cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+        # signatures come last, so they are shuffled once
+        return left.select(cols).union(right.select(cols)).join(self.nodes.select("node", "bits"), "node").repartition("key", "band", "l", "r").sortWithinPartitions("key", "band", "l", "r", "side", "n")
+
+    def crossing_links(self, rows: DataFrame, name: str, best_only: bool) -> DataFrame:
+        tiles = self.banded_tiles(rows, name).drop("size_band")
         pairs = tiles.mapInPandas(_crossing(self.threshold, best_only), "a long, b long").distinct()
-        return self.links(self.scratch.keep(pairs, f"pairs-{name}"), name)
+        pairs = self.scratch.keep(pairs, f"pairs-{name}")
+        self.scratch.drop(f"banded-{name}")
+        return self.links(pairs, name)
 
     def run(self) -> DataFrame:
         nodes = self.profiles()

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 WIDTH = 5
 _CHUNK = 1 << 20  # bytes hashed at once; longer words make a longer chunk
+SLICE = 3 << 20  # bytes of text whose sets are held at once
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -86,6 +88,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(hashes), np.searchsorted(starts, offsets)
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most `limit` bytes of text; a longer text is a piece of its own. What a task
+    holds beside its input then depends on this limit and on the longest text, not on how many rows a batch has."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(batch.schema.names.index("text"))).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, low = np.cumsum(sizes, dtype=np.int64), 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its 5-word shingles; with fewer words the one hash of the whole
     sequence; without words nothing."""
