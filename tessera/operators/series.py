@@ -201,6 +201,12 @@ def ordinal_rank_distributed(df: DataFrame, keys: Sequence[str], order: Sequence
     return (ranked.withColumn(size, F.col("_total")) if size else ranked).drop("_part", "_ahead", "_total")
 
 
+def ordinal_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`rank`, group size `n` and the percentile that falls from 1 to 0; a group of one row is at 1."""
+    n, rank = F.col("n"), F.col("rank")
+    return ordinal_rank_distributed(df, keys, order, "n").withColumn("percentile", F.when(n == 1, 1.0).otherwise(ratio(n - rank, n - 1)))
+
+
 def rank_average(df: DataFrame, keys: Sequence[str], value: str, out: str, pct: bool = True) -> DataFrame:
     """Average rank of ties, as a share of the group when `pct`; a missing value has no rank and counts for nothing.
 

@@ -383,9 +383,7 @@ def rolling_volatility(df: DataFrame, key: str, width: int = 4) -> DataFrame:
     FROM q_returns WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY date ORDER BY r8(ret) DESC, asset_id)""")
 def _(m):
     r = returns(m).filter("ret IS NOT NULL").select("date", "asset_id", (-rnd("ret", 8)).alias("_down"))
-    n, rank = F.col("n"), F.col("rank")
-    return S.ordinal_rank_distributed(r, ["date"], ["_down", "asset_id"], "n").select(
-        "date", "asset_id", "rank", "n", rnd(F.when(n == 1, 1.0).otherwise(ratio(n - rank, n - 1))).alias("percentile"))
+    return S.ordinal_rank(r, ["date"], ["_down", "asset_id"]).select("date", "asset_id", "rank", "n", rnd("percentile").alias("percentile"))
 
 
 @query("rank_pct_average", """

@@ -218,12 +218,12 @@ def test_point_in_time_metrics(frame):
 
 
 def test_ranks_break_ties_by_id(frame):
-    from tessera.plans.series_plans import ordinal_rank
+    from tessera.operators.series import ordinal_rank
 
-    d = frame([("s", "b", 1), ("s", "a", 1), ("s", "c", 0)], "k string, id string, v double")
-    out = {r["id"]: (r["rank"], r["percentile"]) for r in ordinal_rank(d, ["k"], F.col("v").desc(), "id").collect()}
+    d = frame([("s", "b", 1), ("s", "a", 1), ("s", "c", 0)], "k string, id string, v double").withColumn("down", -F.col("v"))
+    out = {r["id"]: (r["rank"], r["percentile"]) for r in ordinal_rank(d, ["k"], ["down", "id"]).collect()}
     assert out == {"a": (1, 1.0), "b": (2, 0.5), "c": (3, 0.0)}
-    assert ordinal_rank(d.filter("id = 'a'"), ["k"], F.col("v").desc(), "id").first()["percentile"] == 1.0
+    assert ordinal_rank(d.filter("id = 'a'"), ["k"], ["down", "id"]).first()["percentile"] == 1.0
 
 
 PANEL = {"a": [1, 2, 3, None], "b": [2, 4, 6, 8], "c": [5, 5, 5, 5], "d": [3, 2, 1, 0]}
