@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.llm.staging import Scratch
 from tessera.llm.tokens import encode_all, vocabulary_path
 
 BLOCK = 1_024
@@ -52,7 +53,21 @@ def context_table(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return context_table(length_histogram(docs, vocabulary))
+    """The context table of `docs`. The histogram is stored, so texts are encoded once although totals and rows both read it."""
+    return context_table(Scratch(docs.sparkSession, "token-counts").keep(length_histogram(docs, vocabulary), "histogram"))
+
+
+def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
+    """(context, longer_docs, truncated_tokens, lost_tokens) for any context limits, from a context table: documents above the limit, all tokens
+    of documents cut at it, and the tokens lost by the cut. Between two lengths every value follows from the upper one."""
+    limit, n = F.col("context"), F.col("n_tokens")
+    rows = table.withColumn("context", F.explode(F.array(*[F.lit(int(c)).cast("long") for c in limits])))
+    above = F.when(n >= limit, n)
+    found = rows.groupBy("context").agg(
+        F.min(above).alias("upper"), F.min_by(F.struct("docs_at_least", "n_docs", "truncated_tokens"), above).alias("row"), F.max("all_tokens").alias("all_tokens"))
+    docs = F.when(F.col("upper") == limit, F.col("row.docs_at_least") - F.col("row.n_docs")).otherwise(F.coalesce("row.docs_at_least", F.lit(0)))
+    kept = F.coalesce(F.col("row.truncated_tokens") - F.col("row.docs_at_least") * (F.col("upper") - limit), F.col("all_tokens"))
+    return found.select("context", F.when(F.col("upper").isNull(), 0).otherwise(docs).alias("longer_docs"), kept.alias("truncated_tokens"), (F.col("all_tokens") - kept).alias("lost_tokens"))
 
 
 def length_quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
