@@ -29,6 +29,8 @@ from tessera.llm.staging import Scratch
 
 ROLL = 256 << 20  # bytes after which a task begins another archive
 READ, GAP = 4 << 20, 64 << 10
+#: Bytes of archive that a task reads back.
+TASK = 128 << 20
 LEVEL = 3
 
 _INDEX = "page_id long, url string, archive string, offset long, length long, payload_digest string, record_type string"
@@ -148,8 +150,10 @@ def read_ranges(selected: DataFrame) -> DataFrame:
 
 def read_archives(selected: DataFrame, scratch: Scratch) -> DataFrame:
     """The records of the selected index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, for
-    responses, the payload."""
-    spans = read_ranges(selected)
+    responses, the payload. Ranges are dealt by the bytes of archive behind them, not by the few bytes that name them."""
+    spark = selected.sparkSession
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    spans = read_ranges(selected).repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK)), "archive", "low")
     return spans.mapInArrow(_read(scratch.path("archives")), _RECORD)
 
 
