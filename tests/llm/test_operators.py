@@ -109,6 +109,41 @@ def test_jaccard_pairs_of_a_very_common_passage(spark, monkeypatch):
     assert all(got[100 * p + 1][1] == 100 * p for p in range(20))
 
 
+def test_jaccard_tiles_hold_adjacent_size_bands(spark, docs):
+    join = jaccard._Join(docs, 75, jaccard.Scratch(spark, "test"))
+    sizes = [1, 2, 3, 4, 5, 8, 11, 15, 20, 30, 40, 55, 75, 100, 140, 200, 300]
+    rows = spark.createDataFrame([(1, 100 + i, n, 0, 100 + i % 7) for i, n in enumerate(sizes * 4)], "key long, node long, n int, place int, comp long")
+    join.nodes = rows.select("node").withColumn("bits", F.lit(bytearray(8)))
+    tiles = join.banded_tiles(rows, "test").collect()
+    blocks = defaultdict(list)
+    for r in tiles:
+        blocks[(r["key"], r["band"], r["l"], r["r"])].append(r)
+    assert max(abs(a["size_band"] - b["size_band"]) for block in blocks.values() for a in block for b in block if a["side"] != b["side"]) == 1
+    met = {frozenset((a["node"], b["node"])) for block in blocks.values() for a in block for b in block if a["side"] != b["side"]}
+    main = max(range(7), key=lambda c: (sum(i % 7 == c for i in range(len(sizes) * 4)), c)) + 100
+    for a in rows.collect():
+        for b in rows.collect():
+            if a["comp"] != b["comp"] and main != b["comp"] and min(a["n"], b["n"]) * 100 >= 75 * max(a["n"], b["n"]):
+                assert frozenset((a["node"], b["node"])) in met
+
+
+def test_jaccard_sets_come_in_slices_of_bounded_text():
+    """10,000 texts of 10 KB in one batch: a worker holds the sets of a slice, not of the batch."""
+    import pyarrow as pa
+    import tracemalloc
+
+    text = [f"{i} " + f"w{i % 97} x y z " * 700 for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text)], names=["node", "text"])
+    del text
+    assert batch.nbytes > 60 << 20
+    pieces = list(jaccard.shingles.slices([batch]))
+    assert sum(p.num_rows for p in pieces) == batch.num_rows and max(pa.compute.sum(pa.compute.binary_length(p.column("text"))).as_py() for p in pieces) <= jaccard.shingles.SLICE
+    tracemalloc.start()
+    rows = sum(r.num_rows for r in jaccard._profiles(iter([batch])) if r.num_rows and r.column("kind")[0].as_py() == "doc")
+    assert rows == batch.num_rows and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_jaccard_odd_rows(odd):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == odd.count() and jaccard.jaccard_components(odd.where("false")).count() == 0
@@ -141,6 +176,68 @@ def test_line_dedup_odd_rows(odd, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_line_dedup_of_tables_without_keys(spark, docs):
+    """Empty tables, tables without a long line, a batch without a key in the middle, and one id only."""
+    short = [(i, "short") for i in range(8)]
+    gap = [(i, "a line that repeats" if i in (0, 1, 14, 15) else "short") for i in range(16)]
+    one = [(7, "a line that repeats\na line that repeats\nshort"), (7, "a line that repeats")]
+    for rows in ([], short, gap, one):
+        for batches in (1, 4, None):
+            got = linededup.line_digests(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches).collect()
+            want = brute_lines(dict(rows))
+            if rows is one:
+                assert sorted(r["n_dropped"] for r in got) == [0, 0]
+            else:
+                assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
+def _operators_over_runs(plan):
+    """For each bucketed scan of a plan, the operators between it and the join above."""
+    lines, out = plan.split("\n"), []
+    for at, line in enumerate(lines):
+        if "Bucketed: true" in line:
+            depth, above = len(line) - len(line.lstrip(" :+-*()0123456789")), []
+            for upper in reversed(lines[:at]):
+                d = len(upper) - len(upper.lstrip(" :+-*()0123456789"))
+                if d < depth:
+                    depth = d
+                    above.append(upper.lstrip(" :+-*()0123456789").split(" ")[0].split("(")[0])
+                    if "Join" in above[-1]:
+                        break
+            out.append(above)
+    return out
+
+
+def test_line_runs_are_joined_in_place(spark, docs):
+    store = linededup.LineRuns(spark, fanout=10)
+    for low in (60, 80):
+        store.add(docs.where(f"doc_id >= {low} AND doc_id < {low + 20}"))
+    keys = store._rows(store._write(linededup.hashed_lines(docs, 10).groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "batch"))
+    with linededup._in_place(spark):
+        for frame in (store.fresh(keys), store.older(keys), store.merged(store.runs)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            over = _operators_over_runs(plan)
+            assert len(over) >= 2 and all(a[-1] == "SortMergeJoin" for a in over), plan
+            assert not any(op.startswith(("Exchange", "Sort")) and op != "SortMergeJoin" for a in over for op in a), plan
+        assert "Anti" in store.fresh(keys)._jdf.queryExecution().executedPlan().toString()
+        a, b = (store._rows(run).select("h1", "h2") for run in store.runs)
+        assert a.intersect(b).count() == 0
+    store.close()
+
+
+def test_line_store_is_opened_again(spark, docs, tmp_path):
+    texts = texts_of(docs)
+    first = linededup.LineRuns(spark, root=str(tmp_path / "lines"), buckets=3)
+    first.add(docs.where("doc_id < 60"))
+    first.add(docs.where("doc_id >= 60 AND doc_id < 80"))
+    first.close()
+    again = linededup.LineRuns(spark, root=str(tmp_path / "lines"))
+    assert again.buckets == 3 and len(again.runs) == 1
+    lost = {r["doc_id"]: len(r["gone"]) for r in again.add(docs.where("doc_id >= 80")).collect()}
+    assert lost == {i: n for i, (_, n, _) in brute_lines(texts).items() if n and i >= 80}
+    again.close()
+
+
 def test_line_runs_compact(spark, docs):
     store = linededup.LineRuns(spark, buckets=2, fanout=2)
     for low in range(40, 110, 10):
@@ -387,3 +484,52 @@ def test_inferred_automaton_generalises():
     automaton = secrets.infer(["K-" + "".join(rng.choice("01") for _ in range(rng.randrange(6, 12))) for _ in range(400)])
     assert len(automaton.moves) < 40
     assert automaton.log_likelihood("K-0110101") > automaton.log_likelihood("0110101K-") + 10
+
+
+def test_token_counts_at_any_limit(spark, odd):
+    table = tokencount.token_counts(odd)
+    lengths = [len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.select("text").collect()]
+    limits = [0, 1, 7, 33, 100, 5_000, max(lengths), max(lengths) + 1, 10**9]
+    got = {r["context"]: tuple(r)[1:] for r in tokencount.at_limits(table, limits).collect()}
+    assert got == {c: (sum(n > c for n in lengths), sum(min(n, c) for n in lengths), sum(max(0, n - c) for n in lengths)) for c in limits}
+
+
+def test_secret_candidates_of_a_text_with_very_many_spans():
+    import time
+
+    def text(n):
+        return " ".join(f"password={'a' * 6}{k} token abcdef{k:08d}x" for k in range(n))
+
+    t = text(300)
+    spans = secrets.base_spans(t)
+    got = list(secrets.candidates(t, spans))
+    want = [(m.start(), m.end(), m[0]) for m in secrets.CANDIDATE.finditer(t) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(s[0] < m.end() and m.start() < s[1] for s in spans)]
+    assert got == want and len(got) == 300
+    t = text(20_000)
+    spans, start = secrets.base_spans(t), time.process_time()
+    assert len(list(secrets.candidates(t, spans))) == 20_000 and time.process_time() - start < 2
+
+
+def test_archives_are_read_back_by_many_tasks(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    scratch = warc.Scratch(spark, "test")
+    found = warc.read_archives(warc.write_archives(pages.repartition(9), scratch), scratch)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and found.count() == 400
+
+
+def test_quality_learns_from_all_of_a_long_text(monkeypatch):
+    seen = []
+    import zstandard
+
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, pieces, **_: seen.extend(pieces) or (_ for _ in ()).throw(zstandard.ZstdError()))
+    quality._dictionary(["a" * 200_000 + "the very end"])
+    assert len(seen) == quality.PIECES and len(set(map(len, seen))) <= 2
+
+
+def test_repeated_values_of_sorted_runs():
+    rng = np.random.default_rng(1)
+    runs = [np.sort(rng.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2) + np.uint64(k % 2)) for k in range(3)]
+    runs += [runs[0][::3].copy(), np.array([0, 0, (1 << 64) - 1], np.uint64), np.array([(1 << 64) - 1], np.uint64)]
+    keys, counts = jaccard._repeated(runs)
+    want = {k: n for k, n in Counter(np.concatenate(runs).tolist()).items() if n > 1}
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and len(keys) == len(want)
