@@ -292,9 +292,9 @@ def detectors(m: Market) -> list[DataFrame]:
 
 @query("story_slate")
 def _(m):
-    # every detector runs once; its leads are kept without their facts, and pruned before they are united
-    parts = [staged(T.with_score(part).select("period", "family", "kind", "subject_id", "quality", "story_id", "content_score")) for part in detectors(m)]
-    return T.slate(reduce(DataFrame.unionByName, parts), candidates=reduce(DataFrame.unionByName, [T.contenders(part) for part in parts]))
+    # all detectors run once, in one job; their leads are kept without facts
+    leads = T.with_score(reduce(DataFrame.unionByName, detectors(m)))
+    return T.slate(staged(leads.select("period", "family", "kind", "subject_id", "quality", "story_id", "content_score")))
 
 
 def return_leads(m: Market) -> DataFrame:
