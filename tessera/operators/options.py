@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import normal
@@ -122,15 +124,43 @@ def hypothetical_spread(mid: Column, intrinsic: Column, liquidity: Column, confi
     return {"bid": bid, "ask": F.greatest(mid + half, bid)}
 
 
-BOOTSTRAP_BLOCK = 250  # paths that one row draws
+MASK, PRIMES = 2**64 - 1, (11400714785074694791, 14029467366897019727, 1609587929392839161, 2870177450012600261)
+#: Profits this near zero, as a share of the amounts in them, are left to Spark's own `exp`.
+BREAK_EVEN = 1e-9
+
+
+def _xxhash64(value: np.ndarray | int, start: np.ndarray | int) -> np.ndarray:
+    """`xxhash64` of ints after `start`, the hash of the columns before them."""
+    one, two, three, five = PRIMES
+    h = (np.asarray(start, np.uint64) + np.uint64(five + 4)) ^ (value * np.uint64(one) if isinstance(value, np.ndarray) else np.uint64(value * one & MASK))
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * np.uint64(two) + np.uint64(three)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(two)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(three)
+    return h ^ (h >> np.uint64(32))
+
+
+def _path_totals(start: int, returns: np.ndarray, steps: int, paths: int) -> np.ndarray:
+    """The summed returns of each path; the draw of a step is the hash of (seed, subject, path, step) modulo the returns."""
+    lead, total, n = _xxhash64(np.arange(1, paths + 1, dtype=np.uint64), start & MASK), np.zeros(paths), len(returns)
+    for step in range(1, steps + 1):
+        drawn = _xxhash64(step, lead).view(np.int64)
+        total += returns[drawn - drawn // n * n]
+    return total
+
+
+def _profits(strategies: Sequence[str], t: np.ndarray, spot: float, strike: float, premium: float) -> np.ndarray:
+    up, down = np.maximum(t - strike, 0.0), np.maximum(strike - t, 0.0)
+    gain = {"long_call": lambda: up - premium, "long_put": lambda: down - premium, "covered_call": lambda: t - spot + premium - up,
+            "protective_put": lambda: t - spot - premium + down}
+    return np.stack([gain[x]() for x in strategies])
 
 
 def bootstrap_profit(series: DataFrame, base: DataFrame, horizon_years: float, paths: int, seed: int, strategies: Sequence[str] = ("long_call",)) -> DataFrame:
     """Share of resampled paths with a positive profit, per subject and strategy.
 
     Draws are a hash of (seed, subject, path, step), so every retry of a task repeats them, and all strategies see the same
-    paths. Each subject carries its own short return list, so drawing needs no join; a row draws a block of paths, and blocks
-    spread over the cluster.
+    paths. Each subject carries its own short return list, so drawing needs no join; subjects are dealt to all tasks, and a task draws one
+    subject's paths at a time as arrays. A path that ends next to a break-even is decided by Spark's `exp`.
     """
     w = S.over("subject_id")
     r = series.filter("value > 0").withColumns({"r": F.ln(ratio("value", F.lag("value").over(w))), "gap": F.datediff("date", F.lag("date").over(w))})
@@ -138,15 +168,31 @@ def bootstrap_profit(series: DataFrame, base: DataFrame, horizon_years: float, p
         F.transform(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("date", "r")))), lambda x: x["r"]).alias("rs"),
         F.percentile("gap", F.lit(0.5)).alias("gap")).filter(F.size("rs") >= 8)
     lists = lists.withColumn("steps", F.greatest(F.lit(1), F.round(horizon_years * 365.25 / F.col("gap")).cast("int"))).join(base, "subject_id")
-    blocks = lists.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(paths), F.lit(BOOTSTRAP_BLOCK)))).repartition("subject_id", "first")
-
-    def total(path: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.col("steps")), F.lit(0.0), lambda a, i: a + F.element_at(
-            F.col("rs"), (F.pmod(F.xxhash64(F.lit(seed), F.col("subject_id"), path, i), F.size("rs").cast("bigint")) + 1).cast("int")))
-
-    last = F.least(F.col("first") + (BOOTSTRAP_BLOCK - 1), F.lit(paths))
-    ends = blocks.select("subject_id", "spot", "strike", "premium", F.explode(F.transform(F.sequence("first", last), lambda p: F.col("spot") * F.exp(total(p)))).alias("terminal"))
-    wins = [F.avg(F.when(strategy_profit(F.lit(x), F.col("terminal"), F.col("spot"), F.col("strike"), F.col("premium")) > 0, 1.0).otherwise(0.0)).alias(x) for x in strategies]
-    rows = ends.groupBy("subject_id").agg(*wins, F.count(F.lit(1)).alias("paths"))
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("probability_of_profit")) for x in strategies]))
-    return rows.select("subject_id", each.alias("each"), "paths").select("subject_id", "each.strategy", "each.probability_of_profit", "paths")
+    # small rows with much work each: a fixed number of tasks that adaptive execution neither merges nor finds redundant
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lists.select("subject_id", F.xxhash64(F.lit(seed), "subject_id").alias("start"), "rs", "steps", "spot", "strike", "premium").repartition(tasks, "start")
+    names = list(strategies)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for subject, start, rs, steps, *amounts in batch.itertuples(index=False):
+                total = _path_totals(start, np.asarray(rs, float), steps, paths)
+                ends = amounts[0] * np.exp(total)
+                profit = _profits(names, ends, *amounts)
+                close = (np.abs(profit) <= BREAK_EVEN * (ends + sum(map(abs, amounts)))).any(axis=0)
+                near, times = np.unique(total[close], return_counts=True)
+                rows.append((subject, *amounts, ((profit > 0) & ~close).sum(axis=1), near, times))
+            yield pd.DataFrame(rows, columns=["subject_id", "spot", "strike", "premium", "wins", "near", "times"])
+
+    key = dealt.schema["subject_id"].dataType.simpleString()
+    drawn = dealt.mapInPandas(draw, f"subject_id {key}, spot double, strike double, premium double, wins array<bigint>, near array<double>, times array<bigint>")
+
+    def won(i: int, name: str) -> Column:
+        def gains(total: Column, n: Column) -> Column:
+            return F.when(strategy_profit(F.lit(name), F.col("spot") * F.exp(total), F.col("spot"), F.col("strike"), F.col("premium")) > 0, n).otherwise(F.lit(0).cast("bigint"))
+
+        return F.col("wins")[i] + F.aggregate(F.zip_with("near", "times", gains), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("strategy"), (won(i, x) / paths).alias("probability_of_profit")) for i, x in enumerate(names)]))
+    return drawn.select("subject_id", each.alias("each"), F.lit(paths).cast("bigint").alias("paths")).select("subject_id", "each.strategy", "each.probability_of_profit", "paths")

@@ -215,6 +215,18 @@ def test_bootstrap_strategies_by_brute_force(spark):
     assert got == want and {s for _, s in got} == set(O.STRATEGIES)
 
 
+def test_bootstrap_draws_in_all_tasks_and_decides_break_even(spark):
+    """Small rows with much work each stay in as many tasks as the session has; paths that end on a break-even go by Spark's own exp."""
+    start, subjects, paths = dt.date(2020, 1, 1), [f"s{k}" for k in range(40)], 50
+    rows = [(s, start + dt.timedelta(days=365 * i), 100.0 if i % 2 else 110.0) for s in subjects for i in range(10)]
+    series = spark.createDataFrame(rows, "subject_id string, date date, value double")
+    base = series.select("subject_id").distinct().selectExpr("subject_id", "100D AS spot", "100D * exp(ln(110D / 100D)) AS strike", "0D AS premium")
+    out = O.bootstrap_profit(series, base, 1.0, paths, 5, ["long_call", "protective_put"])
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r["subject_id"], r["strategy"]): r["probability_of_profit"] for r in out.collect()}
+    assert got == {k: v for s in subjects for k, v in (((s, "long_call"), 0.0), ((s, "protective_put"), 1.0))}
+
+
 def test_distributed_rank_equals_window_rank(spark):
     from pyspark.sql import Window
 
