@@ -149,24 +149,33 @@ def point_in_time_metrics(subjects: DataFrame, start: str, end: str) -> DataFram
         "observation_count": F.col("obs_no").cast("double"), "observation_age_days": F.col("age").cast("double")})
 
 
-def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Long archive: one row per subject, quarter and metric with eligibility reason, rank and percentile. Only eligible rows
-    are ranked, each (quarter, metric) over many tasks. `wanted` limits the metrics, and with them what is computed."""
+def _rules() -> Column:
+    return F.create_map(*[x for n, (low, r, y) in LEADERBOARD_METRICS.items() for x in (
+        F.lit(n), F.struct(F.lit(low).alias("low"), F.lit(r).alias("returns"), F.lit(y).alias("years")))])[F.col("metric")]
+
+
+def archive_states(metrics: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """One row per subject, quarter and metric with eligibility and the reason against it; rows are made in place, without a shuffle.
+    `wanted` limits the metrics, and with them what is computed."""
     names = wanted or list(LEADERBOARD_METRICS)
     ids = ["date", "subject_id", "subject_type", "obs_no", "age", "years"]
     wide = metrics.withColumn("years", F.col("history_years")).select(*ids, *[F.col(n).cast("double").alias(n) for n in names])
-    long = staged(wide).unpivot(ids, names, "metric", "value")
-    rules = F.create_map(*[x for n, (low, r, y) in LEADERBOARD_METRICS.items() for x in (
-        F.lit(n), F.struct(F.lit(low).alias("low"), F.lit(r).alias("returns"), F.lit(y).alias("years")))])
-    rule = rules[F.col("metric")]
+    rule = _rules()
     reason = (F.when(F.col("obs_no").isNull(), "not_yet_launched").when(F.col("age") > STALE_DAYS, "stale_latest_observation")
               .when(F.col("obs_no") - 1 < rule["returns"], "insufficient_observations")
               .when(F.col("years") < rule["years"], "insufficient_trailing_history")
               .when(F.col("value").isNull(), "invalid_metric_value").otherwise(""))
-    long = long.withColumns({"exclusion_reason": reason, "eligible": reason == ""})
+    return wide.unpivot(ids, names, "metric", "value").withColumns({"exclusion_reason": reason, "eligible": reason == ""})
+
+
+def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Long archive: `archive_states` with rank and percentile. Only eligible rows are ranked, each (quarter, metric) over many tasks."""
+    names = wanted or list(LEADERBOARD_METRICS)
+    used = ["date", "subject_id", "subject_type", "obs_no", "age", "history_years", *[n for n in names if n != "history_years"]]
+    long = archive_states(staged(metrics.select(*used)), names)
     # rank on rounded values: ties are ties, whatever the order sums were taken in
     key = F.when(F.col("metric").isin(*MONEY), F.round("value", MONEY_DIGITS)).otherwise(F.round("value", RANK_DIGITS))
-    directed = F.when(rule["low"], key).otherwise(-key)
+    directed = F.when(_rules()["low"], key).otherwise(-key)
     counts = long.groupBy("date", "metric").agg(F.count_if("eligible").alias("eligible_universe_size"))
     ranked = S.ordinal_rank_distributed(long.filter("eligible").withColumn("_order", directed), ["date", "metric"], ["_order", "subject_id"]).drop("_order")
     long = ranked.unionByName(long.filter("NOT eligible").withColumn("rank", F.lit(None).cast("bigint")))

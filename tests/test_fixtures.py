@@ -226,6 +226,24 @@ def test_ranks_break_ties_by_id(frame):
     assert ordinal_rank(d.filter("id = 'a'"), ["k"], ["down", "id"]).first()["percentile"] == 1.0
 
 
+def shuffles(df):
+    return sum(line.lstrip(" +-:*()0123456789").startswith("Exchange") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def archive_metrics(frame, rows):
+    ids = "date date, subject_id string, subject_type string, obs_no long, age long"
+    d = frame(rows, f"{ids}, total_return double")
+    return d.withColumns({n: F.lit(1.0) for n in X.LEADERBOARD_METRICS if n != "total_return"})
+
+
+def test_archive_states_need_no_shuffle(frame):
+    d = archive_metrics(frame, [("2020-03-31", "a", "asset", 9, 3, 0.5), ("2020-03-31", "b", "asset", None, None, None), ("2020-03-31", "c", "asset", 9, 300, 0.1)])
+    states = X.archive_states(d)
+    assert shuffles(states) == 0 and states.count() == 3 * len(X.LEADERBOARD_METRICS)
+    reasons = {r["subject_id"]: r["exclusion_reason"] for r in states.filter("metric = 'total_return'").collect()}
+    assert reasons == {"a": "", "b": "not_yet_launched", "c": "stale_latest_observation"}
+
+
 PANEL = {"a": [1, 2, 3, None], "b": [2, 4, 6, 8], "c": [5, 5, 5, 5], "d": [3, 2, 1, 0]}
 
 
