@@ -244,6 +244,15 @@ def test_archive_states_need_no_shuffle(frame):
     assert reasons == {"a": "", "b": "not_yet_launched", "c": "stale_latest_observation"}
 
 
+def test_validate_archive_counts_repeats(frame):
+    rows = [("2020-03-31", "a", "m1", 3), ("2020-03-31", "a", "total_return", 3), ("2020-03-31", "a", "total_return", -1), ("2020-03-31", "b", "cagr", -2), ("2020-03-31", "b", "total_return", 1),
+            ("2020-06-30", "a", "total_return", 1), ("2020-06-30", None, "cagr", 1), ("2020-06-30", None, "cagr", 1)]
+    found = X.validate_archive(frame(rows, "date date, subject_id string, metric string, age long")).first()
+    assert found.asDict() == {"duplicate_states": 2, "future_observations": 2, "rows": 8}
+    none = X.validate_archive(frame(rows[4:6], "date date, subject_id string, metric string, age long")).first()
+    assert none.asDict() == {"duplicate_states": 0, "future_observations": 0, "rows": 2}
+
+
 PANEL = {"a": [1, 2, 3, None], "b": [2, 4, 6, 8], "c": [5, 5, 5, 5], "d": [3, 2, 1, 0]}
 
 
