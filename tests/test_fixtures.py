@@ -244,6 +244,14 @@ def test_archive_states_need_no_shuffle(frame):
     assert reasons == {"a": "", "b": "not_yet_launched", "c": "stale_latest_observation"}
 
 
+def test_archive_ranks_move_rows_once(frame):
+    d = archive_metrics(frame, [("2020-03-31", s, "asset", 9, 3, v) for s, v in (("b", 0.5), ("a", 0.5), ("c", 0.9), ("d", None))])
+    full, bare = X.leaderboard_archive(d, ["total_return"]), X.leaderboard_archive(d, ["total_return"], carried=())
+    assert {r["subject_id"]: (r["rank"], r["percentile_rank"], r["eligible"]) for r in bare.collect()} == {"c": (1, 1.0, True), "a": (2, 0.5, True), "b": (3, 0.0, True), "d": (None, None, False)}
+    assert set(full.columns) - set(bare.columns) == set(X.CARRIED)
+    assert "Window" not in bare._jdf.queryExecution().executedPlan().toString()
+
+
 def test_validate_archive_counts_repeats(frame):
     rows = [("2020-03-31", "a", "m1", 3), ("2020-03-31", "a", "total_return", 3), ("2020-03-31", "a", "total_return", -1), ("2020-03-31", "b", "cagr", -2), ("2020-03-31", "b", "total_return", 1),
             ("2020-06-30", "a", "total_return", 1), ("2020-06-30", None, "cagr", 1), ("2020-06-30", None, "cagr", 1)]
