@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.columns import change, ratio
+from tessera.functions.columns import change, ratio, without_noise
 from tessera.operators import series as S
 
 # Source names that do not count as genuine observations.
@@ -57,8 +57,8 @@ def align(subject: DataFrame, benchmarks: DataFrame, method: str) -> DataFrame:
 def series_metrics(series: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Return, risk, drawdown and hit-rate metrics of each series."""
     w = S.over(keys)
-    rows = series.withColumns({"r": change(value, F.lag(value).over(w)), "gap": F.datediff("date", F.lag("date").over(w)),
-                               "dd": change(value, F.max(value).over(S.running(keys)))})
+    rows = series.withColumns({"r": without_noise(change(value, F.lag(value).over(w))), "gap": F.datediff("date", F.lag("date").over(w)),
+                               "dd": without_noise(change(value, F.max(value).over(S.running(keys))))})
     r = F.col("r")
     a = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"), F.count("r").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"),

@@ -87,13 +87,14 @@ def _(m):
 
 
 SERIES_METRICS = """
-    WITH r AS (SELECT *, value / lag(value) OVER w - 1 AS r, date - lag(date) OVER w AS gap, value / max(value) OVER w - 1 AS dd FROM all_series WINDOW w AS (PARTITION BY subject_id ORDER BY date)),
+    WITH x AS (SELECT *, value / lag(value) OVER w - 1 AS x, date - lag(date) OVER w AS gap, value / max(value) OVER w - 1 AS y FROM all_series WINDOW w AS (PARTITION BY subject_id ORDER BY date)),
+    r AS (SELECT *, CASE WHEN abs(x) < 1e-9 THEN 0 ELSE x END AS r, CASE WHEN abs(y) < 1e-9 THEN 0 ELSE y END AS dd FROM x),
     a AS (SELECT subject_id, count(*) AS n, min(date) AS d0, max(date) AS d1, arg_max(value, date) / arg_min(value, date) - 1 AS total, avg(r) AS mean, stddev_samp(r) AS sd,
                  sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) / count(r) AS d2, min(dd) AS mdd, max(r) AS best, min(r) AS worst,
                  avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0 END) AS hits, CASE WHEN median(gap) <= 10 THEN 52 WHEN median(gap) <= 45 THEN 12 WHEN median(gap) <= 120 THEN 4 ELSE 1 END AS ppy FROM r GROUP BY 1)
     SELECT subject_id, n AS observations, ppy::DOUBLE AS periods_per_year, r6(total) AS total_return, r6((1 + total) ** (365.25 / (d1 - d0)) - 1) AS annualized_return, r6(sd * sqrt(ppy)) AS annualized_volatility,
-           r6(mean / sd * sqrt(ppy)) AS sharpe_ratio, r6(mean * ppy / (sqrt(d2) * sqrt(ppy))) AS sortino_ratio, r6(mdd) AS maximum_drawdown,
-           r6(((1 + total) ** (365.25 / (d1 - d0)) - 1) / abs(mdd)) AS calmar_ratio, r6(best) AS best_period, r6(worst) AS worst_period, r6(hits) AS positive_period_percentage FROM a"""
+           r6(CASE WHEN sd > 0 THEN mean / sd * sqrt(ppy) END) AS sharpe_ratio, r6(CASE WHEN d2 > 0 THEN mean * ppy / (sqrt(d2) * sqrt(ppy)) END) AS sortino_ratio, r6(mdd) AS maximum_drawdown,
+           r6(CASE WHEN mdd < 0 THEN ((1 + total) ** (365.25 / (d1 - d0)) - 1) / abs(mdd) END) AS calmar_ratio, r6(best) AS best_period, r6(worst) AS worst_period, r6(hits) AS positive_period_percentage FROM a"""
 shared_sql("all_series", """
     SELECT 'index:' || family || ':' || weighting AS subject_id, date, index_level AS value FROM qidx_series
     UNION ALL SELECT 'benchmark:' || ticker, date, adjusted_close FROM benchmarks""")
