@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.columns import change, quarter_end, ratio
+from tessera.functions.columns import change, quarter_end, ratio, without_noise
 from tessera.operators import series as S
 from tessera.operators.market import live_exits, with_offering_prices
 
@@ -295,11 +295,11 @@ def risk_metrics(series: DataFrame, keys: list[str], risk_free: float = 0.0) ->
     The first row of each path is the starting value, not a return, and is left out of returns and drawdowns.
     """
     w, upto = S.over(keys), S.running(keys)
-    # differences below 1e-12 are rounding noise of a flat path, not gains or losses
-    rows = series.select(*keys, "date", F.round("period_return", 12).alias("period_return")).withColumn("_n", F.row_number().over(w))
+    # differences below `NOISE` are rounding of a flat path, not gains or losses
+    rows = series.select(*keys, "date", without_noise(F.round("period_return", 12)).alias("period_return")).withColumn("_n", F.row_number().over(w))
     rows = rows.withColumn("growth", F.product(1 + F.col("period_return")).over(upto))
     rows = rows.withColumn("_gap", F.datediff("date", F.lag("date").over(w))).withColumn(
-        "dd", change("growth", F.max("growth").over(upto)))
+        "dd", without_noise(change("growth", F.max("growth").over(upto))))
     spacing = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.percentile("_gap", F.lit(0.5)).alias("_m")).select(
         *keys, S.periods_per_year("_c", "_m").alias("periods"))
     body = rows.filter("_n > 1")

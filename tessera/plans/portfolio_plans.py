@@ -212,12 +212,14 @@ def _(m):
 
 
 RISK_SQL = """
-    WITH s AS (SELECT {k}, date, round(coalesce(value / lag(value) OVER w - 1, 0), 12) AS r, row_number() OVER w AS n, date - lag(date) OVER w AS gap
+    WITH x AS (SELECT {k}, date, round(coalesce(value / lag(value) OVER w - 1, 0), 12) AS x, row_number() OVER w AS n, date - lag(date) OVER w AS gap
                FROM {t} WINDOW w AS (PARTITION BY {k} ORDER BY date)),
+    s AS (SELECT * EXCLUDE (x), CASE WHEN abs(x) < 1e-9 THEN 0 ELSE x END AS r FROM x),
     f AS (SELECT {k}, CASE WHEN median(gap) <= 10 THEN 52 WHEN median(gap) <= 45 THEN 12 WHEN median(gap) <= 120 THEN 4 ELSE 1 END::DOUBLE AS ppy
           FROM s GROUP BY {k}),
     c AS (SELECT *, product(1 + r) OVER (PARTITION BY {k} ORDER BY date) AS growth FROM s),
-    d AS (SELECT *, growth / max(growth) OVER (PARTITION BY {k} ORDER BY date) - 1 AS dd FROM c),
+    y AS (SELECT *, growth / max(growth) OVER (PARTITION BY {k} ORDER BY date) - 1 AS y FROM c),
+    d AS (SELECT * EXCLUDE (y), CASE WHEN abs(y) < 1e-9 THEN 0 ELSE y END AS dd FROM y),
     b AS (SELECT * FROM d WHERE n > 1),
     neg AS (SELECT {k}, n - row_number() OVER (PARTITION BY {k} ORDER BY n) AS grp FROM b WHERE dd < 0),
     runs AS (SELECT {k}, max(c) AS longest FROM (SELECT {k}, grp, count(*) AS c FROM neg GROUP BY ALL) GROUP BY {k}),
@@ -228,7 +230,7 @@ RISK_SQL = """
                  max(r) AS best, min(r) AS worst, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS hit, min(dd) AS mdd
           FROM b JOIN f USING ({k}) GROUP BY {k}, ppy)
     SELECT {k}, ppy AS periods_per_year, r6(g ** (ppy / n) - 1) AS annualized_return, r6(sd * sqrt(ppy)) AS annualized_volatility,
-           r6(mean / sd * sqrt(ppy)) AS sharpe_ratio, r6(CASE WHEN d2 > 0 THEN mean * ppy / (sqrt(d2 / n) * sqrt(ppy)) END) AS sortino_ratio,
+           r6(CASE WHEN sd > 0 THEN mean / sd * sqrt(ppy) END) AS sharpe_ratio, r6(CASE WHEN d2 > 0 THEN mean * ppy / (sqrt(d2 / n) * sqrt(ppy)) END) AS sortino_ratio,
            r6(CASE WHEN mdd < 0 THEN (g ** (ppy / n) - 1) / abs(mdd) END) AS calmar_ratio, r6(sqrt(d2 / n) * sqrt(ppy)) AS downside_deviation,
            r6(best) AS best_period_return, r6(worst) AS worst_period_return, r6(hit) AS positive_period_percentage, r6(mdd) AS maximum_drawdown,
            coalesce(longest, 0) AS maximum_drawdown_duration_periods, recovery_date

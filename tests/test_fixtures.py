@@ -226,6 +226,22 @@ def test_ranks_break_ties_by_id(frame):
     assert ordinal_rank(d.filter("id = 'a'"), ["k"], ["down", "id"]).first()["percentile"] == 1.0
 
 
+def test_large_markets_reconcile_to_the_cent(frame):
+    caps = [4e12 / 3 * (1 + 0.37 * k) for k in range(400)]
+    rows = [("2020-01-31", c, c, 0.0) for c in caps] + [("2020-02-29", c * 1.01, 0.0, c * 1.01 - c) for c in caps] + [("2020-03-31", c * 1.01, 0.0, 0.02 if not k else 0.0) for k, c in enumerate(caps)]
+    h = frame(rows, "date date, market_cap double, new_issuance double, price_effect double").withColumns({
+        "removed_capital": F.lit(0.0), "is_direct_observation": F.lit(True), "price_source": F.lit("direct"), "is_stale": F.lit(False), "observation_age_days": F.lit(1), "asset_return": F.lit(0.0)})
+    out = M.exchange_total_history(h).orderBy("date").collect()
+    assert [r["reconciles"] for r in out] == [True, True, False] and out[2]["reconciliation_difference"] == pytest.approx(-0.02)
+
+
+def test_noise_of_sums_is_no_return(frame):
+    path = frame([("p", f"2020-{k:02d}-28", 100 * (1 + (2e-11 if k % 2 else 0)), 2e-11 * (-1) ** k) for k in range(1, 9)], "k string, date date, value double, period_return double")
+    risk, flat = P.risk_metrics(path, ["k"]).first(), B.series_metrics(path.drop("period_return"), ["k"]).first()
+    assert risk["sortino_ratio"] is None and risk["calmar_ratio"] is None and risk["positive_period_percentage"] == 0 and risk["maximum_drawdown_duration_periods"] == 0
+    assert flat["sortino_ratio"] is None and flat["calmar_ratio"] is None and flat["positive_period_percentage"] == 0 and flat["maximum_drawdown"] == 0
+
+
 def shuffles(df):
     return sum(line.lstrip(" +-:*()0123456789").startswith("Exchange") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
 
