@@ -77,6 +77,12 @@ def normal_attribute(df: DataFrame, field: str) -> Column:
     return blank_to_null(F.regexp_replace(fold_text(value.cast("string")), r"^(\d+)\.0$", "$1"))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The other side of a join that is shuffled whatever its estimated size: compressed tables and exploded keys look smaller than they are,
+    and a broadcast would pass through the driver."""
+    return df.hint("merge")
+
+
 def _lists(sales: DataFrame, wanted: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     """The best sales of every wanted (key, asset year): by year bonus, price and id, at most TOP_COMPS each.
 
@@ -84,16 +90,16 @@ def _lists(sales: DataFrame, wanted: DataFrame, sets: list[tuple[str, ...]]) ->
     meet, so a hot key costs a short list per year.
     """
     price = F.col("realized_price_usd").desc()
-    keyed = with_keys(sales, sets).join(wanted.select(KEY).distinct(), KEY, "left_semi")
+    keyed = with_keys(sales, sets).join(merged(wanted.select(KEY).distinct()), KEY, "left_semi")
     year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
     keyed = keyed.withColumn("_k", year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
     bonus = F.coalesce(year_bonus(F.abs(F.col("year") - F.col("comp_year"))), F.lit(0.0))
     best = F.row_number().over(Window.partitionBy(*KEY, "year").orderBy(bonus.desc(), price, "comp_id"))
-    met = keyed.join(wanted, KEY).withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k")
+    met = keyed.join(merged(wanted), KEY).withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k")
     return met.withColumnsRenamed({x: f"c{x}" for x in ATTRIBUTES})
 
 
-def _scored(hits: DataFrame) -> DataFrame:
+def _scored(hits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score and matched fields of pairs that meet in the list of exactly the attributes they share, so each pair once."""
     same = {f: F.coalesce(F.col(f"_{f}") == F.col(f"c_{f}"), F.lit(False)) for f in MATCH_WEIGHTS}
     matched = sum((F.when(same[f], FIELD_BIT[f]).otherwise(0) for f in MATCH_WEIGHTS), F.lit(0))
@@ -102,11 +108,18 @@ def _scored(hits: DataFrame) -> DataFrame:
     fields = F.concat_ws(", ", *[F.when(same[f], f) for f in MATCH_WEIGHTS], F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near"))
     return hits.filter(matched == F.col("mask")).select(
         "profile", "comp_id", F.round(F.least(F.lit(1.0), score + F.coalesce(year_bonus(gap), F.lit(0.0))), 4).alias("similarity_score"),
-        fields.alias("matched_fields"), "realized_price_usd", "sale_date").filter(F.col("similarity_score") >= MIN_SCORE)
+        fields.alias("matched_fields"), "realized_price_usd", "sale_date", *carry).filter(F.col("similarity_score") >= MIN_SCORE)
 
 
 def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The best comparable sales of each asset by weighted attribute match: a rank join over the lattice of attribute sets.
+    """The best comparable sales of each asset by weighted attribute match, see `matched_profiles`."""
+    members, found = matched_profiles(assets, comps)
+    return members.join(merged(found), "profile").select("asset_id", "comp_id", "similarity_score", "matched_fields", "realized_price_usd", "sale_date", "rank")
+
+
+def matched_profiles(assets: DataFrame, comps: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The profile of each asset, and the best comparable sales of each profile: a rank join over the lattice of attribute sets. `carry` names
+    columns of the sales that come along.
 
     Assets that agree in all attributes and the year are one profile and matched once; of sales that agree so, only the best by price and
     id can matter. The attribute sets are visited in falling order of weight, in rounds. In a round the sales that share a set's
@@ -123,7 +136,7 @@ def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
     profiles = staged(profiles)
 
     sales = comps.filter("realized_price_usd IS NOT NULL").select(
-        "comp_id", "realized_price_usd", "sale_date", F.nullif(F.col("year"), F.lit(0)).alias("comp_year"), *[normal_attribute(comps, f).alias(f"_{f}") for f in MATCH_WEIGHTS])
+        "comp_id", "realized_price_usd", "sale_date", F.nullif(F.col("year"), F.lit(0)).alias("comp_year"), *carry, *[normal_attribute(comps, f).alias(f"_{f}") for f in MATCH_WEIGHTS])
     alike = Window.partitionBy(*ATTRIBUTES, "comp_year").orderBy(F.desc("realized_price_usd"), "comp_id")
     sales = staged(sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).drop("_k"))
 
@@ -132,18 +145,18 @@ def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
     for number, sets in enumerate(rounds):
         asked = with_keys(open_, sets)
         lists = _lists(sales, asked.select(*KEY, "year").distinct(), sets).withColumnRenamed("year", "_year")
-        met = asked.join(lists.withColumnsRenamed({k: f"c{k}" for k in KEY}), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
-        hits = _scored(met.drop("_year", *[f"c{k}" for k in KEY]))
+        met = asked.join(merged(lists.withColumnsRenamed({k: f"c{k}" for k in KEY})), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
+        hits = _scored(met.drop("_year", *[f"c{k}" for k in KEY]), carry)
         ranked = (hits if found is None else hits.unionByName(found.drop("rank"))).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= TOP_COMPS)
         found = staged(ranked)
         if number + 1 < len(rounds):
             reachable = max(map(_weight, rounds[number + 1])) + YEAR_BONUS
             closed = found.filter((F.col("rank") == TOP_COMPS) & (F.col("similarity_score") > reachable + 1e-9)).select("profile")
-            open_ = staged(open_.join(closed, "profile", "left_anti"))
+            open_ = staged(open_.join(merged(closed), "profile", "left_anti"))
             if open_.isEmpty():
                 break
-    members = a.select("asset_id", "_same").join(profiles.select("profile", "_same"), "_same").select("asset_id", "profile")
-    return members.join(found, "profile").select("asset_id", "comp_id", "similarity_score", "matched_fields", "realized_price_usd", "sale_date", "rank")
+    members = a.select("asset_id", "_same").join(merged(profiles.select("profile", "_same")), "_same").select("asset_id", "profile")
+    return members, found
 
 
 def recency_weight(age_days: Column) -> Column:
@@ -178,35 +191,29 @@ def nav_recency_weighted(assets: DataFrame, comps: DataFrame, caps: DataFrame, a
         ratio(nav - cap, nav).alias("discount_to_secondary_nav"), (F.datediff(day, "newest") > 180).alias("is_stale"))
 
 
-def momentum(matches: DataFrame, as_of: str, days: int, name: str) -> DataFrame:
-    """Median sale price after a cutoff over the median before it; at most a short list of sales per asset."""
-    cutoff = F.date_sub(F.lit(as_of).cast("date"), days)
-    price, late = F.col("realized_price_usd"), F.col("sale_date") >= cutoff
-    half = F.lit(0.5)
-    a = matches.groupBy("asset_id").agg(F.count_if(late).alias("r"), F.count_if(~late).alias("p"), F.percentile(F.when(late, price), half).alias("mr"),
-                                        F.percentile(F.when(~late, price), half).alias("mp"))
-    ok = (F.col("r") >= 2) & (F.col("p") >= 2)
-    return a.select("asset_id", F.when(ok, change("mr", F.nullif("mp", F.lit(0.0)))).alias(name))
+def momentum(as_of: str, days: int) -> Column:
+    """Median sale price after a cutoff over the median before it, as an aggregate; at most a short list of sales per group."""
+    price, late = F.col("realized_price_usd"), F.col("sale_date") >= F.date_sub(F.lit(as_of).cast("date"), days)
+    after, before = (F.percentile(F.when(side, price), F.lit(0.5)) for side in (late, ~late))
+    return F.when((F.count_if(late) >= 2) & (F.count_if(~late) >= 2), change(after, F.nullif(before, F.lit(0.0))))
 
 
-def nav_similarity_weighted(assets: DataFrame, matches: DataFrame, comps: DataFrame, as_of: str) -> DataFrame:
+def nav_similarity_weighted(assets: DataFrame, matches: DataFrame, as_of: str, key: str = "asset_id") -> DataFrame:
     """NAV from the matched sales with quartile band, confidence, momentum and mispricing score.
 
-    `assets` carries current_market_cap_usd, offering_market_cap_usd, bid and ask.
+    `assets` carries current_market_cap_usd, offering_market_cap_usd, bid and ask. `matches` carries the sales' source_confidence and estimates, for
+    each asset, or for each value of another `key` of the assets: those that match alike are then valued once, in one pass.
     """
-    extra = comps.select("comp_id", "estimate_low_usd", "estimate_high_usd", F.coalesce("source_confidence", F.lit(0.5)).alias("conf"))
-    m = matches.join(extra, "comp_id")
+    m = matches.withColumn("conf", F.coalesce("source_confidence", F.lit(0.5)))
     mid = (F.col("estimate_low_usd") + F.col("estimate_high_usd")) / 2
     w = F.col("similarity_score") * F.col("conf") * F.when(mid.isNotNull(), 1.1).otherwise(1.0)
     price = F.col("realized_price_usd")
     q = {k: F.percentile(price, F.lit(v)) for k, v in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
-    a = m.groupBy("asset_id").agg(
+    a = m.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), ratio(F.sum(price * w), F.sum(w)).alias("weighted"), q["median"].alias("median_comp_sale_usd"),
         F.avg(price).alias("mean_comp_sale_usd"), q["q1"].alias("q1"), q["q3"].alias("q3"), F.min(price).alias("lo"), F.max(price).alias("hi"),
-        F.avg("similarity_score").alias("sim"), F.avg("conf").alias("conf"))
-    d = assets.join(a, "asset_id", "left")
-    for days in (90, 180, 365):
-        d = d.join(momentum(matches, as_of, days, f"momentum_{days}d"), "asset_id", "left")
+        F.avg("similarity_score").alias("sim"), F.avg("conf").alias("conf"), *[momentum(as_of, days).alias(f"momentum_{days}d") for days in (90, 180, 365)])
+    d = assets.join(merged(a), key, "left")
     n = F.coalesce("n", F.lit(0))
     nav = falsy_or("weighted", "median_comp_sale_usd", "mean_comp_sale_usd")
     conf = F.when(n > 0, F.least(F.lit(0.95), F.col("sim") * F.col("conf") * F.least(F.lit(1.0), n / 5))).otherwise(0.0)

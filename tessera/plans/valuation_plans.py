@@ -110,7 +110,8 @@ def nav_inputs(m: Market) -> DataFrame:
 
 
 def navs(m: Market) -> DataFrame:
-    return V.nav_similarity_weighted(nav_inputs(m), matches(m), m.comps, AS_OF)
+    members, found = V.matched_profiles(*match_inputs(m), carry=("source_confidence", "estimate_low_usd", "estimate_high_usd"))
+    return V.nav_similarity_weighted(nav_inputs(m).join(V.merged(members), "asset_id", "left"), found, AS_OF, "profile")
 
 
 @query("nav_similarity_weighted", """

@@ -87,6 +87,22 @@ def test_similarity_join_stops_when_all_lists_are_full(spark, monkeypatch):
     assert V.similarity_join(a.where("false"), c).count() == 0 == V.similarity_join(a, c.where("false")).count()
 
 
+def test_similarity_join_broadcasts_nothing_and_values_equal_profiles_once(spark):
+    """Compressed tables and exploded keys look small; what is joined goes through shuffles. Two assets of one profile share its sales."""
+    attrs = "brand string, model string, size string, material string, color string, hardware string, year int"
+    a = spark.createDataFrame([(f"a{i}", "b", "m", "30", "t", "r", "A", 1999) for i in range(2)], "asset_id string, " + attrs)
+    c = spark.createDataFrame([(f"c{i}", "b", "m", "30", "t", "r", "A", 1999, 10.0 * (i + 1), dt.date(2020, 1, 1 + i), 0.5, 1.0, 2.0) for i in range(4)],
+                              "comp_id string, " + attrs + ", realized_price_usd double, sale_date date, source_confidence double, estimate_low_usd double, estimate_high_usd double")
+    joined = V.similarity_join(a, c)
+    joined.count()
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 8
+    members, found = V.matched_profiles(a, c, carry=("source_confidence", "estimate_low_usd", "estimate_high_usd"))
+    assert found.count() == 4 and members.select("profile").distinct().count() == 1
+    market = members.selectExpr("*", "50.0D AS current_market_cap_usd", "40.0D AS offering_market_cap_usd", "1.0D AS bid", "1.0D AS ask")
+    rows = V.nav_similarity_weighted(market, found, "2020-01-02", "profile").orderBy("asset_id").collect()
+    assert [(r["asset_id"], r["comp_count"], r["estimated_nav_usd"], r["momentum_90d"]) for r in rows] == [("a0", 4, pytest.approx(25.0), None), ("a1", 4, pytest.approx(25.0), None)]
+
+
 def sequential_total_return(assets, prices, exits, dates, marks, weighting):
     """Unit accounting date by date for one universe."""
     units, cash, pending, path = {}, 100.0, {}, []
