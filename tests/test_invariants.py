@@ -27,6 +27,20 @@ def test_exact_quantiles_with_a_hot_group(spark):
         assert [r["q10"], r["q50"], r["q95"], r["q100"]] == pytest.approx(list(values.quantile([0.1, 0.5, 0.95, 1.0])))
 
 
+@pytest.mark.parametrize("noise", [0.2, 50.0])
+def test_exact_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch, noise):
+    """Sketches merged in another order, here at every evaluation, or far off, give the same quantiles."""
+    sound = F.percentile_approx
+    stir = F.udf(lambda b: sorted(x + random.uniform(-noise, noise) for x in b), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda v, b, accuracy: stir(sound(v, b, accuracy)))
+    rows = [(f"k{i % 3}", float((i * 7919) % 30_011)) for i in range(60_000)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["q50"], r["q95"]) for r in exact_quantiles(d, ["k"], "v", {"q50": 0.5, "q95": 0.95}).collect()}
+    frame = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"]
+    assert got == {k: (pytest.approx(frame.get_group(k).quantile(0.5)), pytest.approx(frame.get_group(k).quantile(0.95))) for k in ("k0", "k1", "k2")}
+    assert exact_quantiles(d, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(float(np.median([v for _, v in rows])))
+
+
 FIELDS = ["brand", "model", "size", "material", "color", "hardware"]
 
 
