@@ -3,14 +3,17 @@
 Signals depend on component returns only, never on the portfolio. With proceeds kept in cash and no rebalancing each
 position is its buy-and-hold value times the product of its past cuts. With rebalancing every quarter the weights after
 the rules are known in advance, so the path is a running product. Only proceeds handed to other components without
-rebalancing couple the components; those are folded per strategy.
+rebalancing couple the components; those are folded over the quarters, strategies side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.columns import change, quarter_ordinal, ratio
@@ -100,30 +103,45 @@ FOLD_SCHEMA = "def_id string, date date, elapsed int, events bigint, growth_valu
 
 
 def coupled_path(sig: DataFrame, rules: Rules) -> DataFrame:
-    """Proceeds to other components without rebalancing: one short fold over the quarters of each strategy."""
+    """Proceeds to other components without rebalancing: a fold over the quarters, of many strategies at once.
+
+    A strategy is one row with its prices and cuts as arrays in order of date and component; strategies of equal shape step together.
+    """
     start, to_target = rules.start, rules.proceeds == "target"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        prices = pdf.pivot(index="date", columns="asset_id", values="price").sort_index()
-        cuts = pdf.pivot(index="date", columns="asset_id", values="cut").sort_index()
-        gaps = pdf.groupby("date")["elapsed"].first()
-        weight = pdf.groupby("asset_id")["weight"].first()
-        units, cash, out = start * weight / prices.iloc[0], 0.0, []
-        for date, price in prices.iterrows():
-            value, cut = units * price, cuts.loc[date]
-            total = value.sum() + cash
-            kept = value * (1 - cut)
-            sold = (value * cut).sum()
-            share = (weight if to_target else kept).where(cut == 0, 0.0)
-            after = kept + sold * share / share.sum() if share.sum() > 0 else kept
-            new_cash = cash + (0.0 if share.sum() > 0 else sold)
-            moved = (after - value).abs().sum() + abs(new_cash - cash)
-            out.append((pdf["def_id"].iloc[0], date, int(gaps[date]), int((cut > 0).sum()), total, new_cash,
-                        moved / 2 / total if total else 0.0))
-            units, cash = after / price, new_cash
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
-
-    folded = sig.groupBy("def_id").applyInPandas(fold, FOLD_SCHEMA)
+    def step_all(price: np.ndarray, cut: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        units, cash, out = start * weight / price[:, 0], np.zeros(len(price)), []
+        for t in range(price.shape[1]):
+            value, cuts = units * price[:, t], cut[:, t]
+            total = value.sum(axis=1) + cash
+            kept, sold = value * (1 - cuts), (value * cuts).sum(axis=1)
+            share = np.where(cuts == 0, weight if to_target else kept, 0.0)
+            shares = share.sum(axis=1)
+            handed = np.divide(sold, shares, out=np.zeros_like(sold), where=shares > 0)
+            after = kept + handed[:, None] * share
+            new_cash = cash + np.where(shares > 0, 0.0, sold)
+            moved = np.abs(after - value).sum(axis=1) + np.abs(new_cash - cash)
+            out.append(((cuts > 0).sum(axis=1), total, new_cash, np.divide(moved / 2, total, out=np.zeros_like(total), where=total != 0)))
+            units, cash = after / price[:, t], new_cash
+        return [np.stack(column, axis=1).ravel() for column in zip(*out)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = np.stack([pc.list_value_length(batch["price"]).to_numpy(), batch["members"].to_numpy()], axis=1)
+            for size, members in np.unique(shapes, axis=0):
+                part = batch.take(pa.array(np.flatnonzero((shapes == (size, members)).all(axis=1))))
+                quarters = size // members
+                price, cut, weight, elapsed = (part[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, quarters, members) for c in ("price", "cut", "weight", "elapsed"))
+                days = part["date"].flatten().take(pa.array(np.arange(0, part.num_rows * size, members)))
+                names = part["def_id"].take(pa.array(np.repeat(np.arange(part.num_rows), quarters)))
+                events, total, cash, turnover = step_all(price, cut, weight[:, 0])
+                yield pa.RecordBatch.from_arrays(
+                    [names, days, pa.array(elapsed[:, :, 0].ravel(), pa.int32()), pa.array(events, pa.int64()), pa.array(total), pa.array(cash), pa.array(turnover)],
+                    names=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+
+    fields = ["date", "asset_id", "price", "cut", "weight", "elapsed"]
+    rows = sig.groupBy("def_id", F.col("members").cast("bigint").alias("members")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_r"))
+    folded = rows.select(F.col("def_id").cast("string").alias("def_id"), "members", *[F.col(f"_r.{c}").alias(c) for c in fields if c != "asset_id"]).mapInArrow(fold, FOLD_SCHEMA)
     return _finish(folded, rules)
 
 

@@ -201,6 +201,36 @@ def test_coupled_fold_equals_closed_form_when_nothing_triggers(frame):
     assert coupled == pytest.approx(cash)
 
 
+@pytest.mark.parametrize("proceeds", ["remaining", "target"])
+def test_coupled_fold_of_strategies_of_any_shape_steps_together(frame, proceeds):
+    """Strategies of two, three and one components against a plain fold; no strategy is a pandas group of its own."""
+    days = ("2020-03-31", "2020-06-30", "2020-09-30", "2020-12-31")
+    paths = {"p": {"a": (0.5, 100, 130, 90, 95), "b": (0.5, 100, 70, 80, 120)}, "q": {"a": (0.2, 50, 80, 80, 20), "b": (0.3, 10, 9, 14, 13), "c": (0.5, 7, 7, 7, 9)},
+             "r": {"a": (0.6, 20, 30, 10, 10), "b": (0.4, 20, 30, 10, 40)}, "s": {"a": (1.0, 10, 20, 5, 5)}}
+    c = frame([(d, a, v[0], day, x) for d, members in paths.items() for a, v in members.items() for day, x in zip(days, v[1:])],
+              "def_id string, asset_id string, weight double, date date, price double")
+    rules = R.Rules(proceeds=proceeds)
+    got = R.backtest(c, rules)
+    want = {}
+    for d, members in paths.items():
+        units, cash, last = {a: rules.start * v[0] / v[1] for a, v in members.items()}, 0.0, None
+        for t, day in enumerate(days, 1):
+            now = {a: v[t] for a, v in members.items()}
+            ret = {a: now[a] / last[a] - 1 if last else 0.0 for a in members}
+            cut = {a: rules.gain_cut if r > rules.gain else rules.loss_cut if r < -rules.loss else 0.0 for a, r in ret.items()}
+            value = {a: units[a] * now[a] for a in members}
+            total, sold = sum(value.values()) + cash, sum(value[a] * cut[a] for a in members)
+            share = {a: 0.0 if cut[a] else members[a][0] if proceeds == "target" else value[a] for a in members}
+            whole = sum(share.values())
+            after = {a: value[a] * (1 - cut[a]) + (sold * share[a] / whole if whole else 0.0) for a in members}
+            left = cash + (0.0 if whole else sold)
+            moved = sum(abs(after[a] - value[a]) for a in members) + abs(left - cash)
+            want[d, dt.date.fromisoformat(day)] = (sum(x > 0 for x in cut.values()), *(pytest.approx(x) for x in (total, left, moved / 2 / total)))
+            units, cash, last = {a: after[a] / now[a] for a in members}, left, now
+    assert {(r["def_id"], r["date"]): (r["events"], r["growth_value"], r["cash_value"], r["turnover"]) for r in got.collect()} == want
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_asof_staleness(frame):
     v = frame([("s", "2021-04-01", 10), ("s", "2021-06-29", 20)], "k string, date date, value double")
     grid = frame([("s", "2021-03-31"), ("s", "2021-06-30"), ("s", "2021-09-30")], "k string, date date")
