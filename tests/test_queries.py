@@ -48,3 +48,8 @@ def test_no_fact_window_in_one_partition(spark, name):
     for above, below in zip(plan, plan[1:]):
         assert not ("Sort" in above and "SinglePartition" in below), above
     assert not any("CartesianProduct" in line for line in plan)
+
+
+def test_calendar_grid_reads_its_bounds_once(spark):
+    plan = QUERIES["calendar_grid"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("l_shipdate") and sum("Relation" in line and "l_shipdate" in line for line in plan.splitlines()) == 1
