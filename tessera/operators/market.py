@@ -196,7 +196,8 @@ def with_offering_prices(quotes: DataFrame, assets: DataFrame) -> DataFrame:
                            F.lit(1).alias("rank"))
     offered = assets.select("asset_id", F.col("offering_date").alias("date"), F.col("offering_price_usd").alias("price"),
                             F.lit(False).alias("is_direct"), F.lit(0).alias("rank"))
-    return S.keep_last(quoted.unionByName(offered), ["asset_id", "date"], ["rank"]).drop("rank")
+    # placed by asset, so that the steps per asset that follow need no further shuffle
+    return S.keep_last(quoted.unionByName(offered).repartition("asset_id"), ["asset_id", "date"], ["rank"]).drop("rank")
 
 
 def exchange_asset_history(assets: DataFrame, quotes: DataFrame, exits: DataFrame, as_of: str, frequency: str = "quarter",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions.columns import change, quarter_end, ratio, without_noise
 from tessera.operators import series as S
 from tessera.operators.market import live_exits, with_offering_prices
+from tessera.session import staged
 
 
 @dataclass(frozen=True)
@@ -31,24 +32,38 @@ def price_panel(members: DataFrame, prices: DataFrame, grid: DataFrame, exits: D
     `grid` has one row per date with its rebalance flag and may differ per portfolio (`keys`). Prices off the grid are
     dropped before filling forward. After an exit a unit is worth its terminal price (0 when unknown), as pending money until settlement and as cash afterwards.
     """
-    owned = prices.join(members.select(*keys, "asset_id"), "asset_id") if keys else prices
-    on_grid = owned.join(grid.select(*keys, "date"), [*keys, "date"], "left_semi").select(
-        *keys, "asset_id", "date", "price")
-    calendar = grid.groupBy(*keys).agg(F.collect_list(F.struct("date", "is_rebalance")).alias("_days"))
-    held = members.join(calendar, list(keys)) if keys else members.join(calendar)
+    w = Window.partitionBy(*keys).orderBy("date")
+    marked = F.when(F.col("is_rebalance"), F.struct(F.col("_at").alias("at"), "date"))
+    days = grid.select(*keys, "date", "is_rebalance", F.row_number().over(w).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    days = days.withColumn("_mark", F.last(marked, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     if exits is not None:
         gone = live_exits(exits).select("asset_id", F.col("exit_effective_date").alias("gone"), "settlement_date",
                                         F.coalesce("terminal_price", F.lit(0.0)).alias("terminal"),
                                         (F.col("exit_status") == "pending_settlement").alias("waits"))
-        held = held.join(gone, "asset_id", "left")
+        held = members.join(gone, "asset_id", "left")
     else:
-        held = held.withColumns({"gone": F.lit(None).cast("date"), "settlement_date": F.lit(None).cast("date"),
-                                 "terminal": F.lit(None).cast("double"), "waits": F.lit(False)})
-    rows = held.withColumn("_day", F.explode("_days")).select("*", "_day.date", "_day.is_rebalance").drop("_days", "_day")
-    filled = S.asof_backward(on_grid, rows, [*keys, "asset_id"], ["price"]).filter("price IS NOT NULL")
+        held = members.withColumns({"gone": F.lit(None).cast("date"), "settlement_date": F.lit(None).cast("date"),
+                                    "terminal": F.lit(None).cast("double"), "waits": F.lit(False)})
+    # A price holds from its place in the calendar to that of the next one, so rows are shuffled by asset, and their windows run, before
+    # they become days. A day's mark, the rebalance before it, lies in its own span or is the one before the span, `_m`.
+    priced = prices.filter("price IS NOT NULL").select("asset_id", "date", "price").join(held, "asset_id").join(
+        days.select(*keys, "date", "_at", "_n", F.col("_mark.at").alias("_m")), [*keys, "date"]).drop("date")
+    own = Window.partitionBy(*keys, "asset_id")
+    earlier = F.max_by("price", "_at").over(own.orderBy("_m").rangeBetween(Window.unboundedPreceding, -1))
+    spans = priced.withColumn("_next", F.coalesce(F.lead("_at").over(own.orderBy("_at")), F.col("_n") + 1)).withColumn("_earlier", earlier).filter("_next > _at")
+    kept = [c for c in spans.columns if c not in ("_n", "_m", "_next")]
+    filled = spans.select(*kept, F.explode(F.sequence(F.col("_at").cast("long"), F.col("_next").cast("long") - 1)).alias("_day")).join(
+        days.withColumnRenamed("_at", "_day").drop("_n"), [*keys, "_day"])
+    filled = filled.withColumn("mark_price", F.when(F.col("_mark.at") >= F.col("_at"), F.col("price")).otherwise(F.col("_earlier")))
+    filled = filled.withColumn("mark_date", F.when(F.col("mark_price").isNotNull(), F.col("_mark.date"))).drop("_at", "_day", "_earlier", "_mark")
+    return with_worth(filled)
+
+
+def with_worth(rows: DataFrame) -> DataFrame:
+    """What a unit is worth on a date, and whether it is held, pending money or cash."""
     out = F.coalesce(F.col("date") >= F.col("gone"), F.lit(False))
     pending = out & F.coalesce(F.col("waits") & (F.col("date") < F.col("settlement_date")), F.lit(False))
-    return filled.withColumn("is_out", out).withColumn("worth", F.when(out, F.col("terminal")).otherwise(F.col("price"))).withColumn(
+    return rows.withColumn("is_out", out).withColumn("worth", F.when(out, F.col("terminal")).otherwise(F.col("price"))).withColumn(
         "bucket", F.when(pending, "pending").when(out, "cash").otherwise("held"))
 
 
@@ -73,10 +88,18 @@ def segment_sums(panel: DataFrame, keys: list[str], targets: dict[str, Column])
 
 
 def with_holdings(panel: DataFrame, keys: list[str], targets: dict[str, Column]) -> DataFrame:
-    """Each row with the price and raw weights at the last rebalance before it."""
-    rows = panel.withColumns({f"_t_{n}": c for n, c in targets.items()})
-    mark = F.when(F.col("is_rebalance"), F.struct(F.col("worth").alias("p"), *[
-        F.coalesce(f"_t_{n}", F.lit(0.0)).alias(n) for n in targets]))
+    """Each row with the price and raw weights at the last rebalance before it. A panel that carries this date and its price (`mark_date`,
+    `mark_price`) is read as it was then; any other one takes them from its earlier rows."""
+    raw = {f"_t_{n}": c for n, c in targets.items()}
+    weights = [F.coalesce(f"_t_{n}", F.lit(0.0)).alias(n) for n in targets]
+    if "mark_date" in panel.columns:
+        swap = {"date": "_date", "price": "_price", "mark_date": "date", "mark_price": "price"}
+        then = with_worth(panel.withColumnsRenamed(swap)).withColumns(raw)
+        held = then.withColumn("_held", F.when(F.col("date").isNotNull(), F.struct(F.col("worth").alias("p"), *weights)))
+        now = held.drop("date", "price", *raw).withColumnsRenamed({"_date": "date", "_price": "price"})
+        return with_worth(now).withColumns(raw)
+    rows = panel.withColumns(raw)
+    mark = F.when(F.col("is_rebalance"), F.struct(F.col("worth").alias("p"), *weights))
     before = S.over([*keys, "asset_id"]).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_held", F.last(mark, ignorenulls=True).over(before))
 
@@ -118,8 +141,12 @@ def value_path(sums: DataFrame, keys: list[str], base: float = 100.0, absolute_w
 
 def held_positions(panel: DataFrame, keys: list[str], target: Column, path: DataFrame) -> DataFrame:
     """Value, units and weight of every position after each date's trades, and its weight just before them."""
-    rows = with_holdings(panel, keys, {"w": target}).join(
-        path.select(*keys, "date", "value", "opening", "growth", "scale", "prior_scale"), [*keys, "date"])
+    return positions_on(with_holdings(panel, keys, {"w": target}), keys, path)
+
+
+def positions_on(held: DataFrame, keys: list[str], path: DataFrame) -> DataFrame:
+    """Positions from rows with holdings (one target, `w`) and the value path of their portfolios."""
+    rows = held.join(path.select(*keys, "date", "value", "opening", "growth", "scale", "prior_scale"), [*keys, "date"])
     old = F.when(F.col("_held.w") > 0, F.col("_held.w") * F.col("worth") / F.col("_held.p") / F.col("prior_scale"))
     now = F.when(F.col("is_rebalance"), F.col("_t_w") / F.col("scale") * F.col("value")).when(
         F.col("bucket") == "held", old * F.col("opening"))
@@ -141,11 +168,6 @@ def grid_dates(known: DataFrame, frequency: str) -> DataFrame:
     return bounds.select(F.explode(ends).alias("date"))
 
 
-def small_calendar(days: DataFrame) -> DataFrame:
-    """A calendar as literal rows: it is bounded by the days of the history, whatever the number of assets."""
-    return days.sparkSession.createDataFrame(days.collect(), days.schema)
-
-
 def known_dates(assets: DataFrame, observed: DataFrame, exits: DataFrame) -> DataFrame:
     """Every date the inputs know: offerings, observations, and of all exit events the announcement, the last trading, the effective and
     the settlement date."""
@@ -163,16 +185,20 @@ class TotalReturn:
     series: DataFrame
 
     def positions(self, last_only: bool = False) -> DataFrame:
-        panel, series = self.panel, self.series
+        """What is held after each date's trades, in one pass over the panel: it meets the stored value path, which has a row per
+        portfolio and date, without being shuffled again, and becomes a row per portfolio only then."""
+        series = self.series
         if last_only:
             newest = series.agg(F.max("date").alias("_last"))
             series = series.join(newest).filter(F.col("date") == F.col("_last")).drop("_last")
-        parts = []
-        for name, target in self.targets.items():
-            wide = panel.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category"))))
-            path = series.filter(F.col("weighting") == name)
-            parts.append(held_positions(wide, ["universe"], target, path).withColumn("weighting", F.lit(name)))
-        return parts[0].unionByName(parts[1])
+        rows = with_holdings(self.panel, ["category"], self.targets)
+        sides = F.array(*[F.struct(F.lit(n).alias("weighting"), F.col(f"_t_{n}").alias("_t_w"), F.struct(F.col("_held.p"), F.col(f"_held.{n}").alias("w")).alias("_held"))
+                          for n in self.targets])
+        kept = ["asset_id", "date", "worth", "bucket", "is_rebalance"]
+        wide = rows.select("category", *kept, F.explode(sides).alias("_s")).select("category", *kept, "_s.weighting", "_s._t_w", "_s._held")
+        # an asset without a category is in the whole market only
+        wide = wide.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category")))).filter("universe IS NOT NULL")
+        return positions_on(wide, ["universe", "weighting"], series)
 
 
 def total_return_index(assets: DataFrame, quotes: DataFrame, exits: DataFrame, grid: DataFrame, rebalance: str = "quarter",
@@ -184,18 +210,18 @@ def total_return_index(assets: DataFrame, quotes: DataFrame, exits: DataFrame, g
     master = assets.filter("share_count > 0 AND offering_price_usd > 0 AND offering_date IS NOT NULL")
     prices = with_offering_prices(quotes, master)
     marks = S.rebalance_dates(grid, rebalance).withColumn("is_rebalance", F.lit(True))
-    days = small_calendar(grid.join(marks, "date", "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False))))
+    days = staged(grid.join(marks, "date", "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False))))
     panel = price_panel(master.select("asset_id", "category", "share_count", "offering_date"), prices, days, exits)
     buyable = ~F.col("is_out") & (F.col("offering_date") <= F.col("date")) & F.col("price").isNotNull()
     targets = {"equal_weight": F.when(buyable, 1.0), "market_cap_weight": F.when(buyable, F.col("price") * F.col("share_count"))}
     by_category = segment_sums(panel, ["category"], targets)
     added = [F.sum(c).alias(c) for c in ("target_sum", "bought", "grown", "cash", "pending", "active")]
-    rolled = by_category.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category")))).groupBy(
-        "universe", "weighting", "date").agg(*added)
+    rolled = staged(by_category.withColumn("universe", F.explode(F.array(F.lit("all"), F.col("category")))).groupBy(
+        "universe", "weighting", "date").agg(*added))
     calendar = days.agg(F.collect_list(F.struct("date", "is_rebalance")).alias("_d"))
     whole = rolled.select("universe", "weighting").distinct().join(calendar).select("universe", "weighting", F.inline("_d"))
     full = whole.join(rolled, ["universe", "weighting", "date"], "left")
-    return TotalReturn(panel, targets, value_path(full, ["universe", "weighting"], base))
+    return TotalReturn(panel, targets, staged(value_path(full, ["universe", "weighting"], base)))
 
 
 def basket_portfolio(definitions: DataFrame, assets: DataFrame, quotes: DataFrame, exits: DataFrame, rebalance: str,
@@ -208,14 +234,14 @@ def basket_portfolio(definitions: DataFrame, assets: DataFrame, quotes: DataFram
     known = prices.select("asset_id", "date").union(events.filter("date IS NOT NULL"))
     grid = known.join(definitions.select("def_id", "asset_id"), "asset_id").select("def_id", "date").distinct()
     marks = S.rebalance_dates(grid, rebalance, ["def_id"]).withColumn("is_rebalance", F.lit(True))
-    days = grid.join(marks, ["def_id", "date"], "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False)))
+    days = staged(grid.join(marks, ["def_id", "date"], "left").withColumn("is_rebalance", F.coalesce("is_rebalance", F.lit(False))))
     panel = price_panel(members, prices, days, exits, ("def_id",))
     buyable = ~F.col("is_out") & (F.col("offering_date") <= F.col("date")) & F.col("price").isNotNull()
     return _one_weighting(panel, F.when(buyable, F.col("weight")), base)
 
 
 def _one_weighting(panel: DataFrame, target: Column, base: float, absolute: bool = False) -> PortfolioResult:
-    path = value_path(segment_sums(panel, ["def_id"], {"w": target}).drop("weighting"), ["def_id"], base, absolute)
+    path = staged(value_path(segment_sums(panel, ["def_id"], {"w": target}).drop("weighting"), ["def_id"], base, absolute))
     return PortfolioResult(path, held_positions(panel, ["def_id"], target, path))
 
 
@@ -230,7 +256,7 @@ def category_strategy(definitions: DataFrame, canonical: DataFrame, exits: DataF
     grid = periods.join(definitions.select("def_id", "asset_id"), "asset_id").select("def_id", "date").distinct()
     due = {"none": F.lit(False), "quarter": F.lit(True), "year": F.quarter("date") == 4}[rebalance]
     first = F.col("date") == F.min("date").over(Window.partitionBy("def_id"))
-    days = grid.withColumn("is_rebalance", first | due)
+    days = staged(grid.withColumn("is_rebalance", first | due))
     at_quarter = exits.withColumn("exit_effective_date", quarter_end("exit_effective_date")).withColumn(
         "settlement_date", F.col("exit_effective_date"))
     panel = price_panel(definitions, canonical, days, at_quarter, ("def_id",))

@@ -377,3 +377,12 @@ def test_range_rules_of_every_record_type(spark):
         assert empty == {name for name, _, required, _ in rules if required}
     sale = R.conformed(spark.createDataFrame([("c", "usd", None), ("d", None, 3)], "comp_id string, currency string, extra int"), "comparable_sale").orderBy("comp_id").collect()
     assert [r["currency"] for r in sale] == ["USD", "USD"] and sale[1]["extra"] == 3
+
+
+def test_price_panel_marks(frame):
+    # the price of the last rebalance before a day: in the day's own span, before it, or none
+    panel = P.price_panel(frame([("a",)], "asset_id string"), frame([("a", f"2024-0{k}-01", p) for k, p in ((2, 10.0), (3, None), (4, 20.0), (6, 30.0))], "asset_id string, date date, price double"),
+                          frame([(f"2024-0{k}-01", k in (1, 3, 4, 7)) for k in range(1, 9)], "date date, is_rebalance boolean"))
+    rows = P.with_holdings(panel, [], {"w": F.lit(1.0)}).orderBy("date").collect()
+    assert [(r["date"].month, r["price"], r["_held"] and r["_held"]["p"]) for r in rows] == [
+        (2, 10, None), (3, 10, None), (4, 20, 10), (5, 20, 20), (6, 30, 20), (7, 30, 20), (8, 30, 30)]

@@ -53,3 +53,10 @@ def test_no_fact_window_in_one_partition(spark, name):
 def test_calendar_grid_reads_its_bounds_once(spark):
     plan = QUERIES["calendar_grid"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("l_shipdate") and sum("Relation" in line and "l_shipdate" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("name", ["total_return_constituents", "canonical_index_slice"])
+def test_total_return_positions_meet_their_path_where_they_are(spark, name):
+    # rows per asset and day are shuffled by asset before they are made, and not again by portfolio and date
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(universe" not in plan and "Generate explode(sequence(" in plan
