@@ -386,3 +386,12 @@ def test_price_panel_marks(frame):
     rows = P.with_holdings(panel, [], {"w": F.lit(1.0)}).orderBy("date").collect()
     assert [(r["date"].month, r["price"], r["_held"] and r["_held"]["p"]) for r in rows] == [
         (2, 10, None), (3, 10, None), (4, 20, 10), (5, 20, 20), (6, 30, 20), (7, 30, 20), (8, 30, 30)]
+
+
+def test_index_rows_carry_the_quote_before(frame):
+    rows = [("a", "x", "2024-01-01", 10, 100), ("a", "y", "2024-01-02", 11, None), ("a", "x", "2024-01-03", 12, 90), ("a", None, "2024-01-04", 13, 80)]
+    out = I.index_rows(frame(rows, QUOTE)).collect()
+    seen = {(r["family"], r["weighting"], r["date"].day): r["before"] and r["before"]["price"] for r in out}
+    assert seen == {("all", "equal", 1): None, ("all", "equal", 2): 10, ("all", "equal", 3): 11, ("all", "equal", 4): 12,
+                    ("all", "market_cap", 1): None, ("all", "market_cap", 3): 10, ("all", "market_cap", 4): 12,
+                    ("x", "equal", 1): None, ("x", "equal", 3): 10, ("y", "equal", 2): None, ("x", "market_cap", 1): None, ("x", "market_cap", 3): 10}
