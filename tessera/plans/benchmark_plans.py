@@ -43,7 +43,9 @@ def aligned(m: Market, method: str = "quarter_end") -> DataFrame:
     f"SELECT '{x}' AS method, date, ticker, r6(subject_value) AS subject_value, r6(benchmark_value) AS benchmark_value FROM al_{x}"
     for x in ("exact", "previous", "month_end", "quarter_end")))
 def _(m):
-    parts = [aligned(m, x).withColumn("method", F.lit(x)) for x in ("exact", "previous", "month_end", "quarter_end")]
+    # one row per date, aligned four times
+    s = subject(m)
+    parts = [B.align(s, m.benchmarks, x).withColumn("method", F.lit(x)) for x in ("exact", "previous", "month_end", "quarter_end")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return out.select("method", "date", "ticker", rnd("subject_value").alias("subject_value"), rnd("benchmark_value").alias("benchmark_value"))
 

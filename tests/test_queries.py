@@ -60,3 +60,9 @@ def test_total_return_positions_meet_their_path_where_they_are(spark, name):
     # rows per asset and day are shuffled by asset before they are made, and not again by portfolio and date
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(universe" not in plan and "Generate explode(sequence(" in plan
+
+
+def test_align_series_builds_its_subject_once(spark):
+    # four alignments read one stored series, not the sales four times
+    plan = QUERIES["align_series"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "index_level" in plan
