@@ -43,7 +43,7 @@ shared_sql("title_truth", f"""
 
 @query("parse_titles", "SELECT asset_id, brand, color, material, model, size, hardware, CAST(year AS INT) AS year FROM title_truth")
 def _(m):
-    return titles(m).select("asset_id", *[v.alias(k) for k, v in T.title_fields("title").items()])
+    return T.with_title_fields(titles(m), "title").select("asset_id", "brand", "model", "size", "material", "hardware", "year", "color")
 
 
 @query("infer_category", """

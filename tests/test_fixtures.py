@@ -334,6 +334,25 @@ def test_title_fields(spark):
     assert row == {"brand": "", "model": "Birkin", "size": "25", "material": "Togo", "hardware": "Gold Hardware", "year": 2021, "color": "Gold"}
 
 
+def test_title_columns_equal_title_fields(spark):
+    lines = ["Gold Togo Birkin 25 Gold Hardware, 2021", "Vintage Hermès Étoupe Porosus Crocodile Kelly 32", "A Rare 1998 35 cm Bleu Nuit Box", "Rolex Daytona 40", "", None]
+    d = spark.createDataFrame([(x,) for x in lines], "t string")
+    names = ["brand", "model", "size", "material", "hardware", "year", "color"]
+    want = d.select(*[v.alias(k) for k, v in T.title_fields("t").items()]).select(*names).collect()
+    assert T.with_title_fields(d, "t").select(*names).collect() == want
+
+
+def test_captures_are_cut_into_lots_in_place(spark):
+    text = "\nResults 2\n\n\u0085 1. page\n12A.\tHermès \t \n  Gold  Togo Kelly 25\r\n\n 3.5 kg\nLOT SOLD: 1,200 USD\n7. \n8.  Rolex\u2028Daytona\n9. Box"
+    d = spark.createDataFrame([("c", text), ("n", None), ("e", ""), ("o", "no lot\n"), ("f", "1. A\nLOT SOLD: 5 EUR\n")], "capture_id string, text string")
+    blocks = T.capture_blocks(d)
+    assert sorted((r["capture_id"], r["lot_id"], r["label"], r["second"], r["block"]) for r in blocks.collect()) == [
+        ("c", "12A", "Hermès", "Gold Togo Kelly 25", "12A. Hermès Gold Togo Kelly 25 3.5 kg LOT SOLD: 1,200 USD 7. 8. Rolex\u2028Daytona"), ("c", "9", "Box", None, "9. Box"),
+        ("f", "1", "A", "LOT SOLD: 5 EUR", "1. A LOT SOLD: 5 EUR")]
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_filing_table(spark):
     def row(*cells):
         return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
