@@ -88,9 +88,13 @@ def validate_prices(raw: DataFrame, master: DataFrame, seq: str, tolerance: floa
         "asset_id": text("asset_id"), "period": date("period_end"), "observed": date("observed_at"), "price": number("price_per_share"), "cap": number("market_cap"),
         "event": F.lower(text("event_type")), "precision": F.lower(text("precision_status")), "vol": number("volume")})
     key = ["asset_id", "period", "event"]
-    rows = mark_repeats(rows, [*key, "price", "cap"], seq, "_repeat")
-    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min_by(F.struct("price", "cap"), seq).alias("_payload"))
-    rows = rows.join(first, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)], "left")
+    # rows are aggregated once, by key and payload, and meet the result in one join: when a payload came first, and which one its key began with
+    whole = [*key, "price", "cap"]
+    met = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(whole)]).agg(F.min(seq).alias("_first"))
+    payload = F.struct(F.col("_k3").alias("price"), F.col("_k4").alias("cap"))
+    began = met.groupBy(*[F.col(f"_k{i}").alias(f"_b{i}") for i in range(len(key))]).agg(F.min_by(payload, "_first").alias("_payload"))
+    first = met.join(began, [F.col(f"_k{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(key))]).drop("_b0", "_b1", "_b2")
+    rows = rows.join(first, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(whole)], "left").withColumn("_repeat", F.col(seq) != F.col("_first"))
     known = master.select(F.col("asset_id").cast("string").alias("asset_id"), F.col("share_count").alias("_shares"), F.col("exit_date").alias("_exit"), F.lit(True).alias("_known"))
     rows = rows.join(known, "asset_id", "left")
     early = F.datediff("period", "observed")
@@ -109,7 +113,7 @@ def validate_prices(raw: DataFrame, master: DataFrame, seq: str, tolerance: floa
         "non_price_event_has_price": F.col("event").isin("distribution", "asset_sale") & F.col("price").isNotNull(),
         "observed_market_cap_reconciliation_difference": material_difference(F.col("_shares") * F.col("price"), F.col("cap"), tolerance)}
     out = _verdict(rows, reasons, warnings)
-    return out.drop("_repeat", "_payload", "_shares", "_exit", "_known", "_k0", "_k1", "_k2")
+    return out.drop("_repeat", "_first", "_payload", "_shares", "_exit", "_known", *[f"_k{i}" for i in range(len(whole))])
 
 
 def merge_assets(stored: DataFrame, incoming: DataFrame, columns: list[str]) -> DataFrame:
