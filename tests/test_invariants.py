@@ -294,6 +294,75 @@ def test_share_of_history_equals_counting(spark):
     assert abs(last["s"] - sum(x <= values[-1] for x in values) / len(values)) < 1e-12
 
 
+def test_share_of_history_at_block_borders(spark):
+    """Short histories are compared with neighbours only; at block borders nothing is counted twice or left out, and only pairs with a right block are made."""
+    from tessera.operators.series import share_of_history
+
+    rng = random.Random(5)
+    rows = [(n, d, rng.choice([None, float(rng.randrange(9))])) for n in (1, 15, 16, 17, 31, 32, 33, 48, 49, 80) for d in range(n + 5)]
+    df = spark.createDataFrame(rows, "k int, d int, v double")
+    got = {(r["k"], r["d"]): r["s"] for r in share_of_history(df, "k", "v", "s", "d").collect()}
+    for k, d, v in rows:
+        past = [x for kk, dd, x in rows if kk == k and dd <= d and x is not None]
+        assert got[(k, d)] is None if v is None else abs(got[(k, d)] - sum(x <= v for x in past) / len(past)) < 1e-12
+    out = share_of_history(spark.range(16_000).selectExpr("id % 1000 AS k", "id AS d", "CAST(id % 7 AS DOUBLE) AS v"), "k", "v", "s", "d")
+    assert out.count() == 16_000
+    assert made_rows(out) == 0
+
+
+def made_rows(df) -> int:
+    """Rows that the explode of a plan makes, after running it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    todo, n = [plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan], 0
+    while todo:
+        x = todo.pop()
+        if x.nodeName() == "Generate":
+            n += x.metrics().apply("numOutputRows").value()
+        todo += [x.plan()] if x.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage") else [x.children().apply(i) for i in range(x.children().length())]
+    return n
+
+
+def counted(spark, rows, schema):
+    """A table that counts how often its rows are read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(row):
+        reads.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(read), schema), reads
+
+
+def test_evidence_of_a_valuation_is_read_once(spark):
+    from tessera.operators.valuation import research_valuation
+
+    rows = [("a", 10.0, 1.0, True, True, "2001-01-02"), ("a", 10.0, 1.0, True, False, "2001-01-03"), ("a", 30.0, 2.0, True, True, "2001-01-01"), ("a", 99.0, 0.0, False, False, "2001-05-01"),
+            ("a", None, 0.0, False, True, "2001-04-01"), ("b", 5.0, 0.0, False, False, "2001-02-01")]
+    evidence, reads = counted(spark, rows, "asset_id string, usd_price double, weight double, included boolean, verified boolean, sale_date string")
+    factors = spark.createDataFrame([("a", True, True)], "asset_id string, has_condition boolean, has_history boolean")
+    out = {r["asset_id"]: r for r in research_valuation(evidence, factors).collect()}
+    assert reads.value == len(rows)
+    a, b = out["a"], out["b"]
+    assert (a["raw_count"], a["eligible_count"], a["conservative_value_usd"], a["base_value_usd"], a["optimistic_value_usd"]) == (5, 3, 10, 10, 30)
+    assert a["weighted_comparable_value_usd"] == 20 and a["dispersion_pct"] == 2 and a["last_sale_date"] == "2001-05-01"
+    assert (b["raw_count"], b["eligible_count"], b["valuation_status"], b["weighted_comparable_value_usd"]) == (1, 0, "insufficient_evidence", None)
+
+
+def test_price_rows_are_aggregated_once(spark):
+    from tessera.operators.quality import validate_prices
+
+    names = ["seq", "asset_id", "period_end", "observed_at", "price_per_share", "market_cap", "event_type", "precision_status", "volume", "source_reference"]
+    make = lambda seq, price, cap, event="daily_close": (seq, "1", "2001-03-31", "2001-03-30", price, cap, event, "exact", "1", "x")
+    rows = [make(1, "5", None), make(2, "5", None), make(3, "6", None), make(4, "5", "500"), make(5, "6", None), make(6, "6", None, "executed_trade")]
+    raw, reads = counted(spark, rows, ", ".join("seq int" if n == "seq" else f"{n} string" for n in names))
+    master = spark.createDataFrame([(1, 100.0, None)], "asset_id int, share_count double, exit_date date")
+    out = {r["seq"]: r["rejection_reason"] for r in validate_prices(raw, master, "seq").collect()}
+    again, other = "duplicate_price_observation", "conflicting_price_observation"
+    assert out == {1: "", 2: again, 3: other, 4: other, 5: f"{again}; {other}", 6: ""}
+    assert reads.value == 2 * len(rows)
+
+
 def test_ranks_of_one_large_date_use_many_tasks(spark):
     """A million rows of one date: both ranks agree with numpy and no task orders the whole date."""
     from tessera.operators.series import ordinal_rank_distributed, rank_average
