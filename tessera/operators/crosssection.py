@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -173,12 +174,14 @@ def archive_states(metrics: DataFrame, wanted: list[str] | None = None) -> DataF
 CARRIED = ("subject_type", "obs_no", "age", "years")
 
 
-def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None, carried: Sequence[str] = CARRIED) -> DataFrame:
+def leaderboard_archive(metrics: DataFrame, wanted: list[str] | None = None, carried: Sequence[str] = CARRIED, dates: Sequence[str] | None = None) -> DataFrame:
     """Long archive: `archive_states` with rank and percentile. Only eligible rows are ranked, each (quarter, metric) over many tasks, and only
-    they are shuffled, with what is `carried` along; the others stay where they were made."""
+    they are shuffled, with what is `carried` along; the others stay where they were made. A quarter is ranked by itself, so where a caller
+    shows some `dates` only, only theirs are stored and ranked."""
     names = wanted or list(LEADERBOARD_METRICS)
     used = ["date", "subject_id", "subject_type", "obs_no", "age", "history_years", *[n for n in names if n != "history_years"]]
-    long = archive_states(staged(metrics.select(*used)), names)
+    shown = metrics if dates is None else metrics.filter(F.col("date").isin(*[dt.date.fromisoformat(d) for d in dates]))
+    long = archive_states(staged(shown.select(*used)), names)
     # rank on rounded values: ties are ties, whatever the order sums were taken in
     key = F.when(F.col("metric").isin(*MONEY), F.round("value", MONEY_DIGITS)).otherwise(F.round("value", RANK_DIGITS))
     directed = F.when(_rules()["low"], key).otherwise(-key)

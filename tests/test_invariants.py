@@ -334,6 +334,19 @@ def counted(spark, rows, schema):
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(read), schema), reads
 
 
+def test_archive_of_some_dates_equals_the_whole_one(spark, monkeypatch):
+    from tessera.operators import crosssection as X
+
+    stored = []
+    monkeypatch.setattr(X, "staged", lambda df: stored.append(df.count()) or df)
+    rows = [(f"s{i}", "asset", dt.date(2000, 3 * q, 31 if q in (1, 4) else 30), 9 if i % 5 else None, 10 * (i % 3), 4.0, float((i * q) % 11)) for i in range(30) for q in (1, 2, 3, 4)]
+    m = spark.createDataFrame(rows, "subject_id string, subject_type string, date date, obs_no int, age int, history_years double, total_return double")
+    whole = X.leaderboard_archive(m, ["total_return"]).filter("date = DATE '2000-06-30'")
+    some = X.leaderboard_archive(m, ["total_return"], dates=["2000-06-30"])
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.collect())) and some.count() == 30
+    assert stored == [120, 30]
+
+
 def test_evidence_of_a_valuation_is_read_once(spark):
     from tessera.operators.valuation import research_valuation
 
