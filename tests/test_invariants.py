@@ -347,6 +347,47 @@ def test_archive_of_some_dates_equals_the_whole_one(spark, monkeypatch):
     assert stored == [120, 30]
 
 
+def shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {n for n in names if "shuffle_" in n}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """The shuffle behind a stored table goes with its writing, not when the driver next collects garbage."""
+    from tessera.session import staged
+
+    before = shuffle_files(spark)
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.format("noop").mode("overwrite").save()
+    assert shuffle_files(spark) - before
+    before = shuffle_files(spark)
+    stored = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffle_files(spark) - before and stored.count() == 7
+
+
+def test_archive_ranks_few_metrics_at_a_time_and_stores_no_order(spark, monkeypatch):
+    """All metrics, ties and rows without a value: equal to a window, with at most RANKED_TOGETHER metrics in a shuffle."""
+    from pyspark.sql import Window
+
+    from tessera.operators import crosssection as X, series as S
+
+    stored, sound = [], S.store
+    monkeypatch.setattr(S, "store", lambda df: stored.append((df.columns, df.select("metric").distinct().count())) or sound(df))
+    names = list(X.LEADERBOARD_METRICS)
+    rows = [(f"s{i:02d}", "asset", dt.date(2000, 3 * q, 31 if q in (1, 4) else 30), 99, 10, *[None if (i + j) % 9 == 0 else float((i * q + j) % 7) for j in range(len(names))])
+            for i in range(25) for q in (1, 2)]
+    m = spark.createDataFrame(rows, "subject_id string, subject_type string, date date, obs_no int, age int, " + ", ".join(f"{n} double" for n in names))
+    got = X.leaderboard_archive(m, carried=())
+    assert len(stored) == -(-len(names) // X.RANKED_TOGETHER)
+    assert all("_order" not in columns and n <= X.RANKED_TOGETHER for columns, n in stored)
+    states = X.archive_states(m)
+    low = F.create_map(*[F.lit(x) for n, rule in X.LEADERBOARD_METRICS.items() for x in (n, rule[0])])[F.col("metric")]
+    group = Window.partitionBy("date", "metric", "eligible")
+    want = states.withColumns({"rank": F.when(F.col("eligible"), F.row_number().over(group.orderBy(F.when(low, F.col("value")).otherwise(-F.col("value")), "subject_id"))).cast("bigint"),
+                               "eligible_universe_size": F.count_if("eligible").over(Window.partitionBy("date", "metric"))})
+    shown = ["subject_id", "date", "metric", "value", "eligible", "exclusion_reason", "rank", "eligible_universe_size"]
+    assert got.count() == len(rows) * len(names) and got.select(shown).exceptAll(want.select(shown)).isEmpty()
+
+
 def test_evidence_of_a_valuation_is_read_once(spark):
     from tessera.operators.valuation import research_valuation
 
