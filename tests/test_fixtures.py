@@ -247,6 +247,17 @@ def test_point_in_time_metrics(frame):
     assert row["maximum_drawdown"] == 0 and row["best_quarter"] < 1
 
 
+def test_point_in_time_metrics_move_rows_once(frame):
+    """A second category of a subject gives it a second set of quarters, as its rows say; a quarter before its first value is there too."""
+    s = frame([("s", "asset", "c", "2020-02-01", 10, 5, 2), ("s", "asset", "d", "2020-04-30", 11, 5, 2), ("s", "asset", "c", "2020-05-31", 12, 5, 2), ("t", "asset", "c", "2020-09-30", 7, None, None)],
+              "subject_id string, subject_type string, category string, date date, value double, shares double, offering_price double")
+    d = X.point_in_time_metrics(s, "2020-01-01", "2020-09-30")
+    assert shuffles(d) == 1
+    got = sorted((r["subject_id"], r["category"], str(r["date"]), r["obs_no"], r["current_price"], r["age"]) for r in d.filter("date < DATE '2020-09-30'").collect())
+    assert got == [("s", "c", "2020-03-31", 1, 10, 59), ("s", "c", "2020-06-30", 3, 12, 30), ("s", "d", "2020-03-31", 1, 10, 59), ("s", "d", "2020-06-30", 3, 12, 30),
+                   ("t", "c", "2020-03-31", None, None, None), ("t", "c", "2020-06-30", None, None, None)]
+
+
 def test_ranks_break_ties_by_id(frame):
     from tessera.operators.series import ordinal_rank
 

@@ -388,6 +388,17 @@ def test_archive_ranks_few_metrics_at_a_time_and_stores_no_order(spark, monkeypa
     assert got.count() == len(rows) * len(names) and got.select(shown).exceptAll(want.select(shown)).isEmpty()
 
 
+def test_a_sound_archive_is_validated_in_one_reading(spark):
+    from tessera.operators import crosssection as X
+
+    rows = [(dt.date(2000, 3, 31), f"s{i}", name, i - 1) for i in range(3) for name in ("cagr", "total_return")]
+    archive, reads = counted(spark, rows, "date date, subject_id string, metric string, age long")
+    assert X.validate_archive(archive).first().asDict() == {"duplicate_states": 0, "future_observations": 2, "rows": 6} and reads.value == len(rows)
+    assert X.validate_archive(archive.where("false")).first().asDict() == {"duplicate_states": 0, "future_observations": 0, "rows": 0}
+    twice = X.validate_archive(archive.unionAll(archive.filter("subject_id = 's0' AND metric = 'cagr'"))).first()
+    assert twice.asDict() == {"duplicate_states": 1, "future_observations": 2, "rows": 7}
+
+
 def test_evidence_of_a_valuation_is_read_once(spark):
     from tessera.operators.valuation import research_valuation
 
