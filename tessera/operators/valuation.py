@@ -84,37 +84,47 @@ def merged(df: DataFrame) -> DataFrame:
 
 
 def _lists(sales: DataFrame, wanted: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    """The best sales of every wanted (key, asset year): by year bonus, price and id, at most TOP_COMPS each.
+    """The best sales of every wanted (key, asset year) as one row with their list: by year bonus, price and id, at most TOP_COMPS each.
 
-    Only keys somebody asks for go on. Of a key, at most TOP_COMPS sales per sale year can be in any list, which is decided before the rows
-    meet, so a hot key costs a short list per year.
+    Only keys somebody asks for go on. The first, heaviest sets are asked by every profile, and all sales go to their keys; later few profiles are
+    open, and the distinct attributes of sales find out which are asked for, so that sales are not copied once per set. Of a key, at most TOP_COMPS
+    sales per sale year can be in any list, which is decided before the rows meet, so a hot key costs a short list per year.
     """
     price = F.col("realized_price_usd").desc()
-    keyed = with_keys(sales, sets).join(merged(wanted.select(KEY).distinct()), KEY, "left_semi")
+    asked = merged(wanted.select(KEY).distinct())
+    if len(sets) <= ROUND_SETS[0]:
+        keyed = with_keys(sales, sets).join(asked, KEY, "left_semi")
+    else:
+        kinds = with_keys(sales.select(ATTRIBUTES).distinct(), sets).join(asked, KEY, "left_semi")
+        keyed = sales.select(F.struct(ATTRIBUTES).alias("_kind"), "comp_year", "_sales").join(
+            merged(kinds.select(F.struct(ATTRIBUTES).alias("_kind"), *KEY)), "_kind").select("_kind.*", "comp_year", "_sales", *KEY)
+    keyed = keyed.select(*KEY, *ATTRIBUTES, "comp_year", F.explode("_sales").alias("_sale")).select(*KEY, *ATTRIBUTES, "comp_year", "_sale.*")
     year = F.row_number().over(Window.partitionBy(*KEY, "comp_year").orderBy(price, "comp_id"))
     keyed = keyed.withColumn("_k", year).filter(F.col("_k") <= TOP_COMPS).drop("_k")
     bonus = F.coalesce(year_bonus(F.abs(F.col("year") - F.col("comp_year"))), F.lit(0.0))
     best = F.row_number().over(Window.partitionBy(*KEY, "year").orderBy(bonus.desc(), price, "comp_id"))
     met = keyed.join(merged(wanted), KEY).withColumn("_k", best).filter(F.col("_k") <= TOP_COMPS).drop("_k")
-    return met.withColumnsRenamed({x: f"c{x}" for x in ATTRIBUTES})
+    met = met.withColumnsRenamed({x: f"c{x}" for x in ATTRIBUTES})
+    return met.groupBy(*KEY, "year").agg(F.collect_list(F.struct(*[c for c in met.columns if c not in (*KEY, "year")])).alias("_list"))
 
 
 def _scored(hits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Score and matched fields of pairs that meet in the list of exactly the attributes they share, so each pair once."""
+    """Score, matched set and nearness of years of pairs that meet in the list of exactly the attributes they share, so each pair once."""
     same = {f: F.coalesce(F.col(f"_{f}") == F.col(f"c_{f}"), F.lit(False)) for f in MATCH_WEIGHTS}
     matched = sum((F.when(same[f], FIELD_BIT[f]).otherwise(0) for f in MATCH_WEIGHTS), F.lit(0))
     score = sum((F.when(same[f], w).otherwise(0.0) for f, w in MATCH_WEIGHTS.items()), F.lit(0.0))
     gap = F.abs(F.col("year") - F.col("comp_year"))
-    fields = F.concat_ws(", ", *[F.when(same[f], f) for f in MATCH_WEIGHTS], F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near"))
+    near = F.when(gap <= NEAR_YEARS, "year").when(gap <= FAR_YEARS, "year_near")
     return hits.filter(matched == F.col("mask")).select(
         "profile", "comp_id", F.round(F.least(F.lit(1.0), score + F.coalesce(year_bonus(gap), F.lit(0.0))), 4).alias("similarity_score"),
-        fields.alias("matched_fields"), "realized_price_usd", "sale_date", *carry).filter(F.col("similarity_score") >= MIN_SCORE)
+        "mask", near.alias("near"), "realized_price_usd", "sale_date", *carry).filter(F.col("similarity_score") >= MIN_SCORE)
 
 
 def similarity_join(assets: DataFrame, comps: DataFrame) -> DataFrame:
     """The best comparable sales of each asset by weighted attribute match, see `matched_profiles`."""
     members, found = matched_profiles(assets, comps)
-    return members.join(merged(found), "profile").select("asset_id", "comp_id", "similarity_score", "matched_fields", "realized_price_usd", "sale_date", "rank")
+    fields = F.concat_ws(", ", *[F.when(F.col("mask").bitwiseAND(bit) != 0, f) for f, bit in FIELD_BIT.items()], "near")
+    return members.join(merged(found), "profile").select("asset_id", "comp_id", "similarity_score", fields.alias("matched_fields"), "realized_price_usd", "sale_date", "rank")
 
 
 def matched_profiles(assets: DataFrame, comps: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +148,9 @@ def matched_profiles(assets: DataFrame, comps: DataFrame, carry: tuple[str, ...]
     sales = comps.filter("realized_price_usd IS NOT NULL").select(
         "comp_id", "realized_price_usd", "sale_date", F.nullif(F.col("year"), F.lit(0)).alias("comp_year"), *carry, *[normal_attribute(comps, f).alias(f"_{f}") for f in MATCH_WEIGHTS])
     alike = Window.partitionBy(*ATTRIBUTES, "comp_year").orderBy(F.desc("realized_price_usd"), "comp_id")
-    sales = staged(sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).drop("_k"))
+    sale = F.struct("comp_id", "realized_price_usd", "sale_date", *carry)
+    # sales alike are one row with their list, so that attributes and keys are not repeated with each
+    sales = staged(sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).groupBy(*ATTRIBUTES, "comp_year").agg(F.collect_list(sale).alias("_sales")))
 
     order = Window.partitionBy("profile").orderBy(F.desc("similarity_score"), F.desc("realized_price_usd"), "comp_id")
     open_, found, rounds = profiles.drop("_same"), None, lattice_rounds()
@@ -146,7 +158,8 @@ def matched_profiles(assets: DataFrame, comps: DataFrame, carry: tuple[str, ...]
         asked = with_keys(open_, sets)
         lists = _lists(sales, asked.select(*KEY, "year").distinct(), sets).withColumnRenamed("year", "_year")
         met = asked.join(merged(lists.withColumnsRenamed({k: f"c{k}" for k in KEY})), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
-        hits = _scored(met.drop("_year", *[f"c{k}" for k in KEY]), carry)
+        met = met.select("profile", "year", *ATTRIBUTES, "mask", F.explode("_list").alias("_sale")).select("profile", "year", *ATTRIBUTES, "mask", "_sale.*")
+        hits = _scored(met, carry)
         ranked = (hits if found is None else hits.unionByName(found.drop("rank"))).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= TOP_COMPS)
         found = staged(ranked)
         if number + 1 < len(rounds):
