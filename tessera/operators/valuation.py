@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.columns import blank_to_null, change, clip, falsy_or, first_nonblank, fold_text, ratio, rule_names
 from tessera.operators.quantiles import exact_quantiles
-from tessera.session import staged
+from tessera.session import drop_stored, staged, store
 
 # Weights of matching attributes, year bonus by distance, and the score that counts as a match.
 MATCH_WEIGHTS = {"brand": 0.25, "model": 0.25, "size": 0.15, "material": 0.15, "color": 0.08, "hardware": 0.07}
@@ -150,24 +150,38 @@ def matched_profiles(assets: DataFrame, comps: DataFrame, carry: tuple[str, ...]
     alike = Window.partitionBy(*ATTRIBUTES, "comp_year").orderBy(F.desc("realized_price_usd"), "comp_id")
     sale = F.struct("comp_id", "realized_price_usd", "sale_date", *carry)
     # sales alike are one row with their list, so that attributes and keys are not repeated with each
-    sales = staged(sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).groupBy(*ATTRIBUTES, "comp_year").agg(F.collect_list(sale).alias("_sales")))
+    sales = sales.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= TOP_COMPS).groupBy(*ATTRIBUTES, "comp_year").agg(F.collect_list(sale).alias("_sales"))
+    sold = store(sales)
+    sales = assets.sparkSession.read.schema(sales.schema).parquet(sold)
 
     order = Window.partitionBy("profile").orderBy(F.desc("similarity_score"), F.desc("realized_price_usd"), "comp_id")
     open_, found, rounds = profiles.drop("_same"), None, lattice_rounds()
+    spark, last = assets.sparkSession, None
     for number, sets in enumerate(rounds):
         asked = with_keys(open_, sets)
         lists = _lists(sales, asked.select(*KEY, "year").distinct(), sets).withColumnRenamed("year", "_year")
-        met = asked.join(merged(lists.withColumnsRenamed({k: f"c{k}" for k in KEY})), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
-        met = met.select("profile", "year", *ATTRIBUTES, "mask", F.explode("_list").alias("_sale")).select("profile", "year", *ATTRIBUTES, "mask", "_sale.*")
-        hits = _scored(met, carry)
+        # lists of the first sets are long: one set at a time is shuffled, and only its hits are stored
+        masks = [sum(FIELD_BIT[f] for f in fields) for fields in sets]
+        stored = []
+        for group in ([[m] for m in masks] if number == 0 else [masks]):
+            some = lists.filter(F.col("mask").isin(group)).withColumnsRenamed({k: f"c{k}" for k in KEY})
+            met = asked.filter(F.col("mask").isin(group)).join(merged(some), reduce(Column.__and__, [F.col(k) == F.col(f"c{k}") for k in KEY]) & F.col("year").eqNullSafe(F.col("_year")))
+            met = met.select("profile", "year", *ATTRIBUTES, "mask", F.explode("_list").alias("_sale")).select("profile", "year", *ATTRIBUTES, "mask", "_sale.*")
+            hits = _scored(met, carry)
+            stored.append(store(hits))
+        hits = spark.read.schema(hits.schema).parquet(*stored)
         ranked = (hits if found is None else hits.unionByName(found.drop("rank"))).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= TOP_COMPS)
-        found = staged(ranked)
+        path = store(ranked)
+        found = spark.read.schema(ranked.schema).parquet(path)
+        drop_stored(spark, *stored, *([last] if last else []))
+        last = path
         if number + 1 < len(rounds):
             reachable = max(map(_weight, rounds[number + 1])) + YEAR_BONUS
             closed = found.filter((F.col("rank") == TOP_COMPS) & (F.col("similarity_score") > reachable + 1e-9)).select("profile")
             open_ = staged(open_.join(merged(closed), "profile", "left_anti"))
             if open_.isEmpty():
                 break
+    drop_stored(spark, sold)
     members = a.select("asset_id", "_same").join(merged(profiles.select("profile", "_same")), "_same").select("asset_id", "profile")
     return members, found
 

@@ -117,6 +117,23 @@ def test_similarity_join_broadcasts_nothing_and_values_equal_profiles_once(spark
     assert [(r["asset_id"], r["comp_count"], r["estimated_nav_usd"], r["momentum_90d"]) for r in rows] == [("a0", 4, pytest.approx(25.0), None), ("a1", 4, pytest.approx(25.0), None)]
 
 
+def test_similarity_join_copies_sales_for_the_first_sets_only(spark, monkeypatch, tmp_path):
+    """Later sets are looked up by the distinct attributes of sales; of what is stored meanwhile only profiles, open ones and the result stay."""
+    keyed, sound = [], V.with_keys
+    monkeypatch.setattr(V, "with_keys", lambda df, sets: keyed.append((len(sets), df.columns)) or sound(df, sets))
+    paths, store = [], V.store
+    monkeypatch.setattr(V, "store", lambda df: paths.append(store(df)) or paths[-1])
+    attrs = "brand string, model string, size string, material string, color string, hardware string, year int"
+    a = spark.createDataFrame([("a0", "b", "m", "30", "t", "r", "A", 1999), ("a1", "b", None, "31", None, "g", "N", None)], "asset_id string, " + attrs)
+    c = spark.createDataFrame([(f"c{i}", "b", "m", "30", "t", "r", "A", 1999, 10.0 * (i + 1), dt.date(2020, 1, 1)) for i in range(4)], "comp_id string, " + attrs + ", realized_price_usd double, sale_date date")
+    rows = V.similarity_join(a, c).collect()
+    assert sorted((r["asset_id"], r["comp_id"], r["matched_fields"]) for r in rows) == [
+        (x, f"c{i}", fields) for x, fields in (("a0", "brand, model, size, material, color, hardware, year"), ("a1", "brand")) for i in range(4)]
+    assert all(n <= V.ROUND_SETS[0] or not {"comp_id", "_sales"} & set(columns) for n, columns in keyed) and max(n for n, _ in keyed) > V.ROUND_SETS[0]
+    from pathlib import Path
+    assert sum(Path(p).exists() for p in paths) == 1
+
+
 def sequential_total_return(assets, prices, exits, dates, marks, weighting):
     """Unit accounting date by date for one universe."""
     units, cash, pending, path = {}, 100.0, {}, []
